@@ -19,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _stamp(sf_dir: str) -> str:
+    import hashlib
+    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    for f in sorted(os.listdir(sf_dir)):
+        st = os.stat(os.path.join(sf_dir, f))
+        h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
+    return h.hexdigest()[:16]
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived fixture written once as Parquet under the session's shared
+    checkpoint folder (keyed by the input files), then read back. Cuts the
+    fixture's lineage out of every job that uses it."""
+    from leadlake.session import configure, publish_table, table_exists, work_dir
+    configure(spark)
+    path = work_dir(spark, f"fixtures/{_stamp(sf_dir)}/{name}")
+    if not table_exists(spark, path):
+        publish_table(build(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -62,3 +83,235 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     status = (F.when(i % 17 == 0, F.lit(404)).when(i % 29 == 0, F.lit(500)).otherwise(F.lit(200)))
     return d.select(i.alias("page_id"), url.alias("url"), status.cast("int").alias("status_code"), html.alias("html"))
+
+
+# --------------------------------------------------------------------------- discovery
+
+# Fixture brand stems (test data of ours, not application values).
+BRANDS = ["Apex", "Nova", "Summit", "Blue River", "Clay", "Bright Path", "Iron Oak", "Zenith"]
+SUB_CHANNELS = {1: ["web", "quora", "googlemaps", "g2", "web", "nope"],
+                3: ["linkedin", "clutch", "crunchbase", "yellowpages", "web"]}
+PROFILE_PATH = {"clutch": "/profile/", "g2": "/products/", "crunchbase": "/organization/", "linkedin": "/company/"}
+PROFILE_DOMAIN = {"clutch": "clutch.co", "g2": "g2.com", "crunchbase": "crunchbase.com", "linkedin": "linkedin.com"}
+
+
+def _pick(arr: list[str], idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in arr]), (idx + 1).cast("int"))
+
+
+def brand_of(key: Column) -> Column:
+    return F.concat(_pick(BRANDS, key % len(BRANDS)), F.lit(" "), key.cast("string"))
+
+
+def slug_of(brand: Column) -> Column:
+    return F.lower(F.replace(brand, F.lit(" "), F.lit("")))
+
+
+def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_specs``: market segment x the first four nations, with messy niches,
+    limits and channel lists so every normalisation branch is hit."""
+    cust = table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey")
+    nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    pairs = (cust.where(F.col("c_nationkey") < 4)
+                 .select(F.lower("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("n_nationkey"))
+                 .distinct().join(nat, "n_nationkey"))
+    from pyspark.sql import Window as W
+    o = F.row_number().over(W.orderBy("seg", "n_nationkey")) - 1
+    base = pairs.select(o.cast("int").alias("spec_ord"), "seg", "n_nationkey", "n_name")
+    so = F.col("spec_ord")
+    niche = F.when(so % 5 == 0, F.concat(F.lit("  "), F.col("seg"), F.lit(" "))).otherwise(F.col("seg"))
+    loc = (F.when(F.col("n_nationkey") == 3, F.lit(None).cast("string"))
+           .when(so % 7 == 2, F.lit("   "))
+           .otherwise(F.concat(F.col("n_name"), F.lit(", TX"))))
+    lim = (F.when(so % 7 == 0, F.lit(0)).when(so % 7 == 6, F.lit(99))
+           .otherwise(5 + 5 * (F.col("n_nationkey") % 3))).cast("int")
+    ch = (F.when(so % 2 == 0, F.lit(None).cast("array<string>"))
+          .when(so % 4 == 1, F.array(*[F.lit(c) for c in SUB_CHANNELS[1]]))
+          .otherwise(F.array(*[F.lit(c) for c in SUB_CHANNELS[3]])))
+    return base.select("spec_ord", niche.alias("niche"), loc.alias("location"), lim.alias("lim"), ch.alias("channels"))
+
+
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadlake.plans.planning import normalize_specs, plan_queries
+    from pyspark.sql import Window as W
+    q = plan_queries(normalize_specs(specs(spark, sf_dir)))
+    return q.withColumn("query_no", (F.row_number().over(W.orderBy("spec_ord", "channel_ord", "query_ord")) - 1)
+                        .cast("long"))
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadlake.functions.html import extract_title
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(extract_title(F.col("html")),
+                                                                             F.lit("")).alias("ptitle"))
+
+
+def serp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_serp``: every page is a hit of 12 web/intent/listing queries; some
+    urls are aggregators, microsites or malformed; titles vary by page; queries
+    with ``gno % 3 = 0`` have no results from provider 0."""
+    from pyspark.sql import Window as W
+    h = _serp_assign(spark, sf_dir)
+    pid = F.col("page_id")
+    url = (F.when(pid % 11 == 0, F.concat(F.lit("https://www.yelp.com/biz/p"), pid.cast("string")))
+           .when(pid % 11 == 1, F.concat(F.lit("https://p"), pid.cast("string"), F.lit(".square.site/")))
+           .when(pid % 11 == 2, F.concat(F.lit("notaurl p"), pid.cast("string")))
+           .otherwise(F.col("url")))
+    t = F.col("ptitle")
+    title = (F.when(pid % 7 == 0, F.concat(F.lit("Top 10 "), t))
+             .when(pid % 7 == 1, F.concat(F.lit("Home - "), t))
+             .when(pid % 7 == 2, F.concat(t, F.lit(" | Brand")))
+             .when(pid % 7 == 3, F.concat(t, F.lit(", TX")))
+             .when(pid % 7 == 4, F.lit(""))
+             .otherwise(t))
+    b1, b2 = brand_of(pid), brand_of(pid + 1)
+    desc = F.when(F.col("channel") == "yellowpages", F.concat(
+        F.lit("Austin, TX 78701. "), b1, F.lit(" - Plumbers, open now. 1200 Main St. Call today. From Business: "),
+        b2, F.lit(" is a family company."))).otherwise(F.concat(F.lit("Snippet "), pid.cast("string")))
+    prov = F.when(F.col("gno") % 3 == 0, 1 + F.col("j") % 2).otherwise(F.col("j") % 2).cast("int")
+    out = h.select(prov.alias("provider_ord"), "query", url.alias("url"), title.alias("title"),
+                   desc.alias("description"), "page_id", "j")
+    rank = F.row_number().over(W.partitionBy("query", "provider_ord").orderBy("page_id", "j"))
+    return out.select("provider_ord", "query", rank.cast("int").alias("rank"), "url", "title", "description")
+
+
+def _serp_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page -> query assignment of ``fx_serp`` (12 hits per page)."""
+    from pyspark.sql import Window as W
+    q = planned(spark, sf_dir).where(F.col("channel").isin("web", "quora", "yellowpages"))
+    qn = q.select("query", "channel", "location",
+                  (F.row_number().over(W.orderBy("query_no")) - 1).cast("long").alias("gno"))
+    n = qn.count()
+    p = page_titles(spark, sf_dir)
+    pid = F.col("page_id")
+    hits = p.select("page_id", "url", "ptitle", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
+    hits = hits.withColumn("gno", ((pid * 7 + F.col("j") * 13) % F.lit(n)).cast("long"))
+    return hits.join(qn, "gno")
+
+
+def _profile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier -> profile query assignment of ``fx_profile_hits`` (4 per supplier)."""
+    from pyspark.sql import Window as W
+    q = planned(spark, sf_dir).where(F.col("channel").isin("clutch", "g2", "crunchbase", "linkedin"))
+    qn = q.select("query", "channel", "location",
+                  (F.row_number().over(W.orderBy("query_no")) - 1).cast("long").alias("pno"))
+    n = qn.count()
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    k = F.col("k")
+    return (s.select("k", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+             .withColumn("pno", ((k * 3 + F.col("j") * 7) % F.lit(n)).cast("long")).join(qn, "pno"))
+
+
+def profile_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_profile_hits``: suppliers as profile pages on the channel domains, with
+    sub-domain and ``/compare`` rows mixed in and junk title suffixes."""
+    from pyspark.sql import Window as W
+    h = _profile_assign(spark, sf_dir)
+    k = F.col("k")
+    dom = F.col("channel")
+    domain = F.coalesce(*[F.when(dom == c, F.lit(d)) for c, d in PROFILE_DOMAIN.items()])
+    path = F.coalesce(*[F.when(dom == c, F.lit(p)) for c, p in PROFILE_PATH.items()])
+    host = (F.when(k % 10 == 0, F.concat(F.lit("ai."), domain))
+            .when(k % 10 == 2, F.concat(F.lit("www."), domain)).otherwise(domain))
+    path = F.when(k % 10 == 1, F.lit("/compare/")).otherwise(path)
+    url = F.concat(F.lit("https://"), host, path, F.lit("s"), k.cast("string"))
+    b = brand_of(k)
+    title = (F.when(k % 6 == 0, F.concat(b, F.lit(" - Overview | LinkedIn")))
+             .when(k % 6 == 1, F.concat(b, F.lit(" | Clutch.co")))
+             .when(k % 6 == 2, F.concat(b, F.lit(" Reviews 2024: Details, Pricing")))
+             .when(k % 6 == 3, F.concat(b, F.lit(" - Crunchbase Company Profile & Funding")))
+             .when(k % 6 == 4, F.concat(F.lit("Top "), b, F.lit(" Agencies")))
+             .otherwise(b))
+    w1 = F.concat(_pick(["Moz", "Ahrefs", "Semrush", "Ubersuggest"], k % 4), k.cast("string"))
+    w2 = F.concat(F.lit("Spy"), k.cast("string"))
+    desc = F.when(dom == "g2", F.concat(
+        F.lit("Popular: "), b, F.lit(" · Analytics · "), brand_of(k + 1), F.lit(" (1,234) · best · tools like "),
+        w1, F.lit(", "), w2, F.lit(", and Nova"), k.cast("string"))).otherwise(F.lit(""))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("k", "j"))
+    return h.select(F.lit(0).alias("provider_ord"), "query", rank.cast("int").alias("rank"),
+                    url.alias("url"), title.alias("title"), desc.alias("description"))
+
+
+def resolve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_resolve_hits``: for every (brand, spec location) that a profile or
+    listing hit can produce, the two resolution queries; hosts that match the
+    name, that belong to another name, and blocked hosts."""
+    pa = _profile_assign(spark, sf_dir).select("k", "location")
+    sa = _serp_assign(spark, sf_dir).where(F.col("channel") == "yellowpages")
+    names = (pa.unionByName(sa.select(F.col("page_id").alias("k"), "location"))
+               .unionByName(sa.select((F.col("page_id") + 1).alias("k"), "location"))
+               .unionByName(pa.select((F.col("k") + 1).alias("k"), "location"))
+               .distinct())
+    k = F.col("k")
+    b = brand_of(k)
+    loc = F.when(F.col("location").isNotNull(), F.concat(F.lit(" "), F.col("location"))).otherwise(F.lit(""))
+    q1 = F.concat(F.lit('"'), b, F.lit('"'), loc, F.lit(" official website"))
+    q2 = F.concat(b, loc, F.lit(" website"))
+    slug, other = slug_of(b), slug_of(brand_of(k + 1))
+    h1 = F.array(
+        F.struct(F.lit(1).alias("rank"), F.concat(F.lit("https://www.yelp.com/biz/"), slug).alias("url")),
+        F.struct(F.lit(2).alias("rank"),
+                 F.when(k % 3 == 0, F.concat(F.lit("https://"), other, F.lit(".example.com/")))
+                  .otherwise(F.concat(F.lit("https://www."), slug, F.lit(".example.com/"))).alias("url")))
+    h2 = F.array(
+        F.struct(F.lit(1).alias("rank"), F.concat(F.lit("https://"), slug, F.lit("-co.example.net/about")).alias("url")))
+    rows = names.select(F.explode(F.array(F.struct(q1.alias("query"), h1.alias("h")),
+                                          F.struct(q2.alias("query"), h2.alias("h")))).alias("x"))
+    return (rows.select(F.col("x.query").alias("query"), F.explode("x.h").alias("y")).distinct()
+                .select(F.lit(0).alias("provider_ord"), "query", F.col("y.rank").cast("int").alias("rank"),
+                        F.col("y.url").alias("url"), F.lit("").alias("title"), F.lit("").alias("description")))
+
+
+def all_serp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serp(spark, sf_dir).unionByName(profile_hits(spark, sf_dir)).unionByName(resolve_hits(spark, sf_dir))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_places``: suppliers as places of the googlemaps queries, 20 per page."""
+    from pyspark.sql import Window as W
+    q = planned(spark, sf_dir).where(F.col("channel") == "googlemaps").select("query").distinct()
+    qn = q.select("query", (F.row_number().over(W.orderBy("query")) - 1).cast("long").alias("gno"))
+    n = qn.count()
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    k = F.col("k")
+    h = s.withColumn("gno", (k % F.lit(n)).cast("long")).join(qn, "gno")
+    pos0 = F.row_number().over(W.partitionBy("query").orderBy("k")) - 1
+    b = brand_of(k)
+    slug = slug_of(b)
+    digits4 = F.lpad((k % 10000).cast("string"), 4, "0")
+    place = F.struct(
+        F.struct(F.when(k % 13 != 0, b).alias("text")).alias("displayName"),
+        (F.when(k % 9 == 0, F.lit(None).cast("string"))
+          .when(k % 9 == 1, F.concat(F.lit("https://www.yelp.com/biz/"), slug))
+          .otherwise(F.concat(F.lit("https://www."), slug, F.lit(".example.com/")))).alias("websiteUri"),
+        F.when(k % 4 != 0, F.concat(F.lit("(512) 555-"), digits4)).alias("nationalPhoneNumber"),
+        F.concat(F.lit("+1 512-555-"), digits4).alias("internationalPhoneNumber"),
+        F.when(k % 5 != 0, F.concat(k.cast("string"), F.lit(" Main St, Austin, TX"))).alias("formattedAddress"),
+        F.when(k % 7 != 0, ((k % 41) + 10) / 10.0).alias("rating"),
+        (k % 50).cast("long").alias("userRatingCount"),
+    )
+    out = h.select("query", pos0.alias("p0"), place.alias("p"))
+    return out.select("query", (F.floor(F.col("p0") / 20)).cast("int").alias("page_no"),
+                      (F.col("p0") % 20).cast("int").alias("pos"), "p")
+
+
+def home_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_home_pages`` + ``fx_contact_pages``: per host, the lowest page is the
+    home page (404 / failed fetch for some), the second lowest is ``/contact``."""
+    from pyspark.sql import Window as W
+    from leadlake.functions.urls import host_of
+    p = table(spark, sf_dir, "pages").select("page_id", "html", host_of(F.col("url")).alias("host"))
+    r = F.row_number().over(W.partitionBy("host").orderBy("page_id"))
+    p = p.withColumn("r", r).where(F.col("r") <= 2)
+    pid = F.col("page_id")
+    status = (F.when(F.col("r") == 2, F.lit(200)).when(pid % 17 == 0, F.lit(404))
+              .when(pid % 19 == 0, F.lit(None)).otherwise(F.lit(200))).cast("int")
+    url = F.when(F.col("r") == 1, F.concat(F.lit("https://"), F.col("host"))) \
+           .otherwise(F.concat(F.lit("https://"), F.col("host"), F.lit("/contact")))
+    return p.select(url.alias("url"), status.alias("status_code"), "html")
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_known``: hosts of every fifth page are already stored."""
+    from leadlake.functions.urls import host_of
+    p = table(spark, sf_dir, "pages")
+    return p.where(F.col("page_id") % 5 == 0).select(host_of(F.col("url")).alias("domain")).distinct()

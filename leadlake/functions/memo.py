@@ -1,0 +1,43 @@
+"""Reuse of built column expressions.
+
+Building a large expression tree from Python costs one Py4J round trip per
+node. Column expressions are immutable, so a builder called again with the
+same input columns (compared by their SQL text) returns the tree it built
+before. Only the driver-side construction is cached; nothing about execution.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from pyspark.sql import Column
+
+
+def _key(v):
+    if isinstance(v, Column):
+        return ("col", v._jc.toString())
+    if isinstance(v, (list, tuple)):
+        return tuple(_key(x) for x in v)
+    if isinstance(v, dict):
+        return tuple(sorted((k, _key(x)) for k, x in v.items()))
+    return v
+
+
+def memo_expr(fn):
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        try:
+            k = (_key(args), _key(kwargs))
+            hash(k)
+        except TypeError:
+            return fn(*args, **kwargs)
+        hit = cache.get(k)
+        if hit is None:
+            hit = fn(*args, **kwargs)
+            if len(cache) < 512:
+                cache[k] = hit
+        return hit
+
+    return wrapper

@@ -41,7 +41,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(FX.rich_pages(spark, sf_dir))
+    return spread(FX.materialized(spark, sf_dir, "rich_pages", FX.rich_pages))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,3 +153,427 @@ def scrape_report(spark, sf_dir):
 @job("successful_pages")
 def successful_pages(spark, sf_dir):
     return P.successful_pages(_rich(spark, sf_dir)).select("page_id", "success", "error")
+
+
+# ---------------------------------------------------------------- discovery inputs
+
+from leadlake.functions import names as N  # noqa: E402
+from leadlake.functions import urls as U  # noqa: E402
+from leadlake.operators import discovery as D  # noqa: E402
+from leadlake.operators import enrich as EN  # noqa: E402
+from leadlake.plans import planning as PL  # noqa: E402
+
+
+def _fx(spark, sf_dir, name):
+    builders = {"specs": FX.specs, "serp": FX.all_serp, "places": FX.places, "home_pages": FX.home_pages,
+                "known": FX.known, "profile_hits": FX.profile_hits, "resolve_hits": FX.resolve_hits,
+                "rich_pages": FX.rich_pages}
+    return FX.materialized(spark, sf_dir, name, builders[name])
+
+
+def _specs(spark, sf_dir):
+    return PL.normalize_specs(_fx(spark, sf_dir, "specs"))
+
+
+def _planned(spark, sf_dir):
+    return PL.plan_queries(_specs(spark, sf_dir))
+
+
+def _serp(spark, sf_dir):
+    return _fx(spark, sf_dir, "serp")
+
+
+def _ords(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c) if c != "ord" else F.col("ord.o1").alias("o1") for c in df.columns],
+                     *([F.col("ord.o2").alias("o2"), F.col("ord.o3").alias("o3")] if "ord" in df.columns else []))
+
+
+# ---------------------------------------------------------------- planning
+
+@job("normalize_specs")
+def normalize_specs(spark, sf_dir):
+    s = _specs(spark, sf_dir)
+    return s.select(big("spec_ord").alias("spec_ord"), "niche", "location", big("lim").alias("lim"),
+                    F.coalesce(joined("channels"), F.lit("<all>")).alias("channels"))
+
+
+@job("normalize_specs_saved")
+def normalize_specs_saved(spark, sf_dir):
+    s = PL.normalize_specs(_fx(spark, sf_dir, "specs"), mode="saved")
+    return s.select(big("spec_ord").alias("spec_ord"), big("lim").alias("lim"))
+
+
+@job("spec_channels")
+def spec_channels(spark, sf_dir):
+    s = PL.spec_channels(_specs(spark, sf_dir))
+    return s.select(big("spec_ord").alias("spec_ord"), "channel", big("channel_ord").alias("channel_ord"))
+
+
+def _expansion(df):
+    return df.select(big("spec_ord").alias("spec_ord"), "channel", big("query_ord").alias("query_ord"), "query",
+                     big("depth").alias("depth"), "label")
+
+
+@job("expand_web_queries")
+def expand_web_queries(spark, sf_dir):
+    return _expansion(PL.expand_web_queries(_specs(spark, sf_dir)))
+
+
+@job("expand_profile_queries")
+def expand_profile_queries(spark, sf_dir):
+    s = _specs(spark, sf_dir)
+    out = None
+    for ch in ("clutch", "g2", "crunchbase"):
+        e = PL.expand_profile_queries(s, ch)
+        out = e if out is None else out.unionByName(e)
+    return _expansion(out)
+
+
+@job("expand_linkedin_queries")
+def expand_linkedin_queries(spark, sf_dir):
+    return _expansion(PL.expand_linkedin_queries(_specs(spark, sf_dir)))
+
+
+@job("expand_intent_queries")
+def expand_intent_queries(spark, sf_dir):
+    return _expansion(PL.expand_intent_queries(_specs(spark, sf_dir)))
+
+
+@job("expand_listing_queries")
+def expand_listing_queries(spark, sf_dir):
+    return _expansion(PL.expand_listing_queries(_specs(spark, sf_dir)))
+
+
+@job("expand_places_queries")
+def expand_places_queries(spark, sf_dir):
+    return _expansion(PL.expand_places_queries(_specs(spark, sf_dir)))
+
+
+@job("plan_queries")
+def plan_queries(spark, sf_dir):
+    p = _planned(spark, sf_dir)
+    return p.select(big("spec_ord").alias("spec_ord"), "channel", big("channel_ord").alias("channel_ord"),
+                    big("query_ord").alias("query_ord"), "query", big("depth").alias("depth"), "label")
+
+
+def _geo(spark, sf_dir):
+    c = FX.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = FX.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = FX.table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    g = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    country = F.when(F.col("r_regionkey") == 1, F.lit("United States")).otherwise(F.col("r_name"))
+    return g.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("country_code"),
+                    country.alias("country"),
+                    F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("state_code"),
+                    F.col("n_name").alias("state"),
+                    F.when(F.col("c_custkey") % 11 == 0, F.lit(" "))
+                     .otherwise(F.concat(F.lit("City "), (F.col("c_custkey") % 37).cast("string"))).alias("city"))
+
+
+@job("compose_location")
+def compose_location(spark, sf_dir):
+    g = _geo(spark, sf_dir).distinct()
+    return g.select("country_code", "state_code", "city",
+                    PL.compose_location(F.col("city"), F.col("state"), F.col("country")).alias("location"),
+                    PL.compose_location(F.lit(None), F.lit(None), F.col("country")).alias("country_only"),
+                    PL.compose_location(F.lit(None), F.col("state"), F.col("country")).alias("state_only"))
+
+
+@job("location_cascade")
+def location_cascade(spark, sf_dir):
+    g = _geo(spark, sf_dir)
+    countries = PL.location_cascade(g).select(F.lit("country").alias("level"), F.lit("").alias("parent"),
+                                              "name", "iso_code")
+    states = (g.select("country_code", F.col("state").alias("name"), F.col("state_code").alias("iso_code"))
+               .distinct().select(F.lit("state").alias("level"), F.col("country_code").alias("parent"), "name",
+                                  "iso_code"))
+    cities = (g.select(F.concat_ws("/", "country_code", "state_code").alias("parent"), F.col("city").alias("name"))
+               .distinct().select(F.lit("city").alias("level"), "parent", "name", F.lit("").alias("iso_code")))
+    return countries.unionByName(states).unionByName(cities)
+
+
+# ---------------------------------------------------------------- hosts and names
+
+def _hit_hosts(spark, sf_dir):
+    s = _serp(spark, sf_dir).select("url").distinct()
+    return s.select("url", U.host_of(F.col("url")).alias("host"))
+
+
+@job("host_of")
+def host_of(spark, sf_dir):
+    return _hit_hosts(spark, sf_dir)
+
+
+@job("is_aggregator")
+def is_aggregator(spark, sf_dir):
+    h = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select("host").distinct()
+    return h.select("host", N.is_aggregator(F.col("host")).alias("aggregator"),
+                    N.is_microsite(F.col("host")).alias("microsite"))
+
+
+@job("is_microsite")
+def is_microsite(spark, sf_dir):
+    h = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select("host").distinct()
+    return h.where(N.is_microsite(F.col("host"))).select("host")
+
+
+@job("exclude_known")
+def exclude_known(spark, sf_dir):
+    h = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select(F.col("host").alias("domain")).distinct()
+    return D.exclude_known(h, _fx(spark, sf_dir, "known"))
+
+
+@job("website_contact_url")
+def website_contact_url(spark, sf_dir):
+    h = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select("host").distinct()
+    w = U.website_of(F.col("host"))
+    return h.select("host", w.alias("website"), U.contact_url(w).alias("contact_url"))
+
+
+@job("domain_matches_name")
+def domain_matches_name(spark, sf_dir):
+    r = _fx(spark, sf_dir, "resolve_hits")
+    x = r.select(F.regexp_extract("query", r'^"?(.*?)"? ?(?:\w.*?)?(?: official)? website$', 1).alias("name"), "url")
+    x = r.select(F.regexp_extract("query", r'^"([^"]+)"', 1).alias("name"), "url").where(F.col("name") != "")
+    x = x.select("name", U.host_of(F.col("url")).alias("host")).where(F.col("host").isNotNull()).distinct()
+    return x.select("name", "host", N.domain_matches_name(F.col("host"), F.col("name")).alias("matches"))
+
+
+@job("profile_hit_filter")
+def profile_hit_filter(spark, sf_dir):
+    from leadlake import constants as K
+    h = _fx(spark, sf_dir, "profile_hits")
+    p = _planned(spark, sf_dir).select("query", "channel").distinct()
+    j = h.join(p, "query")
+    dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
+    keep = (F.coalesce(U.host_of(F.col("url")) == dom, F.lit(False))
+            & ~F.col("url").rlike("(?i)" + K.PROFILE_URL_REJECT))
+    return j.select("channel", "url", keep.alias("kept")).distinct()
+
+
+def _titles(spark, sf_dir):
+    s = _serp(spark, sf_dir).select("url", "title").distinct()
+    return s.select("title", U.host_of(F.col("url")).alias("host")).where(F.col("host").isNotNull()).distinct()
+
+
+@job("derive_name")
+def derive_name(spark, sf_dir):
+    t = _titles(spark, sf_dir)
+    return t.select("title", "host", N.derive_name(F.col("title"), F.col("host")).alias("name"),
+                    N.derive_name(F.lit(None).cast("string"), F.col("host")).alias("host_name"))
+
+
+@job("looks_like_listicle")
+def looks_like_listicle(spark, sf_dir):
+    t = _serp(spark, sf_dir).select("title").distinct()
+    return t.select("title", N.looks_like_listicle(F.col("title")).alias("listicle"))
+
+
+def _all_hosts(spark, sf_dir):
+    a = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select("host")
+    b = _fx(spark, sf_dir, "places").select(U.host_of(F.col("p.websiteUri")).alias("host")).where(F.col("host").isNotNull())
+    return a.unionByName(b).distinct()
+
+
+@job("clean_name_from_domain")
+def clean_name_from_domain(spark, sf_dir):
+    h = _all_hosts(spark, sf_dir)
+    return h.select("host", N.clean_name_from_domain(F.col("host")).alias("name"))
+
+
+@job("pick_name")
+def pick_name(spark, sf_dir):
+    t = _titles(spark, sf_dir)
+    return t.select("title", "host", N.pick_name(F.col("title"), F.col("host")).alias("name"))
+
+
+@job("extract_company_name")
+def extract_company_name(spark, sf_dir):
+    t = _fx(spark, sf_dir, "profile_hits").select("title").distinct()
+    return t.select("title", N.extract_company_name(F.col("title")).alias("name"))
+
+
+@job("extract_names_listing")
+def extract_names_listing(spark, sf_dir):
+    h = D.query_hits(_planned(spark, sf_dir), _serp(spark, sf_dir), ["yellowpages"])
+    d = h.select("description", "niche").distinct()
+    return d.select("description", "niche", joined(N.extract_names_listing(F.col("description"), F.col("niche")))
+                    .alias("names"))
+
+
+@job("extract_names_bullets")
+def extract_names_bullets(spark, sf_dir):
+    d = _fx(spark, sf_dir, "profile_hits").select("description").distinct()
+    return d.select("description", joined(N.extract_names_bullets(F.col("description"))).alias("names"))
+
+
+@job("brand_name")
+def brand_name(spark, sf_dir):
+    s = P.page_signals(_rich(spark, sf_dir))
+    return s.select("page_id", N.brand_name(F.col("og_title"), F.col("title")).alias("brand"))
+
+
+@job("place_description")
+def place_description(spark, sf_dir):
+    p = _fx(spark, sf_dir, "places")
+    return p.select("query", big("page_no").alias("page_no"), big("pos").alias("pos"),
+                    N.place_description(F.col("p.formattedAddress"), F.col("p.rating"),
+                                        F.col("p.userRatingCount")).alias("description"))
+
+
+# ---------------------------------------------------------------- discovery
+
+def _cands_out(df: DataFrame) -> DataFrame:
+    return df.select(big("spec_ord").alias("spec_ord"), "channel", big("channel_ord").alias("channel_ord"),
+                     big("ord.o1").alias("o1"), big("ord.o2").alias("o2"), big("ord.o3").alias("o3"),
+                     "name", "website", "domain", "description", "query", "phone")
+
+
+@job("provider_fallback")
+def provider_fallback(spark, sf_dir):
+    s = D.provider_fallback(_serp(spark, sf_dir))
+    return s.select("query", big("provider_ord").alias("provider_ord"), big("rank").alias("rank"), "url")
+
+
+@job("top_hits")
+def top_hits(spark, sf_dir):
+    h = D.query_hits(_planned(spark, sf_dir), _serp(spark, sf_dir))
+    return h.select(big("spec_ord").alias("spec_ord"), "channel", big("query_ord").alias("query_ord"),
+                    big("rank").alias("rank"), "url")
+
+
+@job("discover_web")
+def discover_web(spark, sf_dir):
+    return _cands_out(D.discover_web(_planned(spark, sf_dir), _serp(spark, sf_dir), _fx(spark, sf_dir, "known")))
+
+
+@job("resolve_websites")
+def resolve_websites(spark, sf_dir):
+    pl = _planned(spark, sf_dir).select("spec_ord", "channel", "location").distinct()
+    names = _fx(spark, sf_dir, "profile_hits").select("query", N.extract_company_name(F.col("title")).alias("name"))
+    qs = _planned(spark, sf_dir).select("query", "spec_ord", "channel", "location")
+    n = names.join(qs, "query").where(F.col("name").isNotNull()).select("spec_ord", "channel", "name", "location")
+    r = D.resolve_websites(n, _serp(spark, sf_dir))
+    del pl
+    return r.select(big("spec_ord").alias("spec_ord"), "channel", "name", "host")
+
+
+@job("discover_profile")
+def discover_profile(spark, sf_dir):
+    return _cands_out(D.discover_profile(_planned(spark, sf_dir), _serp(spark, sf_dir)))
+
+
+@job("discover_listing")
+def discover_listing(spark, sf_dir):
+    return _cands_out(D.discover_listing(_planned(spark, sf_dir), _serp(spark, sf_dir)))
+
+
+@job("discover_intent")
+def discover_intent(spark, sf_dir):
+    return _cands_out(D.discover_intent(_planned(spark, sf_dir), _serp(spark, sf_dir)))
+
+
+@job("discover_places")
+def discover_places(spark, sf_dir):
+    return _cands_out(D.discover_places(_planned(spark, sf_dir), _fx(spark, sf_dir, "places")))
+
+
+def _channels(spark, sf_dir):
+    return D.discover_channels(_planned(spark, sf_dir), _serp(spark, sf_dir), _fx(spark, sf_dir, "places"),
+                               _fx(spark, sf_dir, "known"))
+
+
+@job("discover_channels")
+def discover_channels(spark, sf_dir):
+    return _cands_out(_channels(spark, sf_dir))
+
+
+@job("per_channel_counts")
+def per_channel_counts(spark, sf_dir):
+    c = D.per_channel_counts(_channels(spark, sf_dir), _planned(spark, sf_dir), _fx(spark, sf_dir, "known"))
+    return c.select(big("spec_ord").alias("spec_ord"), "channel", "kept")
+
+
+def _merged(spark, sf_dir):
+    c = D.exclude_known(_channels(spark, sf_dir), _fx(spark, sf_dir, "known"))
+    return D.merge_candidates(c)
+
+
+@job("merge_candidates")
+def merge_candidates(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return m.select(big("spec_ord").alias("spec_ord"), "domain", "name", "website", "query", "phone",
+                    "description", joined("channels").alias("channels"))
+
+
+@job("cap_candidates")
+def cap_candidates(spark, sf_dir):
+    c = D.cap_candidates(_merged(spark, sf_dir), _specs(spark, sf_dir))
+    return c.select(big("spec_ord").alias("spec_ord"), "domain", big("cand_rank").alias("cand_rank"),
+                    joined("channels").alias("channels"))
+
+
+# ---------------------------------------------------------------- enrichment and leads
+
+def _capped(spark, sf_dir):
+    return D.cap_candidates(_merged(spark, sf_dir), _specs(spark, sf_dir))
+
+
+def _lead_out(df: DataFrame) -> DataFrame:
+    return df.select(
+        big("spec_ord").alias("spec_ord"), "domain", "name", "website", "query",
+        joined("channels").alias("channels"), big("score").alias("score"),
+        joined("score_reasons").alias("reasons"),
+        joined("outreach.emails").alias("emails"), joined("outreach.phones").alias("phones"),
+        joined("outreach.socials").alias("socials"), F.col("outreach.contact_url").alias("contact_url"),
+        F.col("outreach").isNotNull().alias("has_outreach"), F.col("seo").isNotNull().alias("has_seo"),
+        big("seo.opportunity_score").alias("opportunity_score"), joined("seo.issues").alias("issues"))
+
+
+@job("enrich")
+def enrich(spark, sf_dir):
+    e = EN.enrich(_capped(spark, sf_dir), _fx(spark, sf_dir, "home_pages"))
+    return e.select(big("spec_ord").alias("spec_ord"), "domain", F.col("outreach").isNotNull().alias("enriched"),
+                    joined("outreach.emails").alias("emails"), joined("outreach.phones").alias("phones"),
+                    joined("outreach.socials").alias("socials"), F.col("outreach.contact_url").alias("contact_url"),
+                    big("seo.opportunity_score").alias("opportunity_score"), "brand")
+
+
+@job("fold_phone")
+def fold_phone(spark, sf_dir):
+    from leadlake.functions import contacts as CC
+    e = EN.enrich(_capped(spark, sf_dir), _fx(spark, sf_dir, "home_pages"))
+    f = CC.fold_phone(F.col("outreach"), F.col("phone"))
+    return e.select(big("spec_ord").alias("spec_ord"), "domain", "phone", joined(f["phones"]).alias("phones"),
+                    f.isNotNull().alias("has_outreach"))
+
+
+@job("build_leads")
+def build_leads(spark, sf_dir):
+    return _lead_out(EN.build_leads(_capped(spark, sf_dir), _fx(spark, sf_dir, "home_pages")))
+
+
+@job("build_leads_no_enrich")
+def build_leads_no_enrich(spark, sf_dir):
+    return _lead_out(EN.build_leads(_capped(spark, sf_dir), None, enrich_pages=False))
+
+
+@job("run_search")
+def run_search(spark, sf_dir):
+    r = EN.run_search(_specs(spark, sf_dir), _serp(spark, sf_dir), _fx(spark, sf_dir, "places"),
+                      _fx(spark, sf_dir, "home_pages"), _fx(spark, sf_dir, "known"))
+    return _lead_out(r).orderBy("spec_ord", F.col("score").desc())
+
+
+@job("run_discovery")
+def run_discovery(spark, sf_dir):
+    r = EN.run_search(_specs(spark, sf_dir), _serp(spark, sf_dir), _fx(spark, sf_dir, "places"),
+                      _fx(spark, sf_dir, "home_pages"), _fx(spark, sf_dir, "known"), cross_spec=True)
+    return _lead_out(r)
+
+
+@job("score_band")
+def score_band(spark, sf_dir):
+    from leadlake.functions.scoring import score_band as sb
+    s = P.score_pages(_pages(spark, sf_dir))
+    return s.select("page_id", big("score").alias("score"), sb(F.col("score")).alias("band"))

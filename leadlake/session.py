@@ -17,8 +17,26 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Constraint propagation re-derives filters from every aliased expression;
+    # with the wide regex/struct expressions here it grows combinatorially in
+    # planning time and driver memory, while inferring nothing useful.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
+# Runtime SQL settings a job applies to whatever session it is handed.
+RUNTIME_CONF = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the library relies on to a given session."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
 
 def get_spark(master: str = "local[8]", app: str = "leadlake", shuffle_partitions: int = 8,
               extra: dict | None = None) -> SparkSession:
@@ -26,6 +44,7 @@ def get_spark(master: str = "local[8]", app: str = "leadlake", shuffle_partition
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -52,4 +71,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    return base.rstrip("/") + "/" + name
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """A completely written Parquet folder (``_SUCCESS`` present) on any file system."""
+    fs, _ = _fs(spark, path)
+    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS"))
+
+
+def publish_table(df, path: str) -> None:
+    """Write to a temporary sibling folder, then rename into place, so readers
+    never see a half-written table and a retried writer never clobbers one."""
+    import uuid
+    spark = df.sparkSession
+    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
+    df.write.mode("overwrite").parquet(tmp)
+    fs, dst = _fs(spark, path)
+    _, src = _fs(spark, tmp)
+    if not fs.exists(dst):
+        fs.mkdirs(dst.getParent())
+        if fs.rename(src, dst):
+            return
+    fs.delete(src, True)

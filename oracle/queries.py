@@ -111,3 +111,8 @@ SELECT page_id, coalesce(status_code BETWEEN 200 AND 299, false) AS success,
        WHEN status_code IS NULL THEN 'fetch failed' ELSE 'HTTP ' || status_code END AS error
 FROM ({RICH_PAGES})
 """
+
+
+from oracle.discsql import Q as _DISCOVERY  # noqa: E402
+
+ORACLE.update(_DISCOVERY)
