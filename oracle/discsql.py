@@ -342,3 +342,95 @@ SELECT CAST(spec_ord AS BIGINT) AS spec_ord, domain, name, website, query, phone
 Q["cap_candidates"] = f"""{FIX}, {MERGED}
 SELECT CAST(spec_ord AS BIGINT) AS spec_ord, domain, CAST(cand_rank AS BIGINT) AS cand_rank,
   array_to_string(channels, '; ') AS channels FROM capped"""
+
+
+# ------------------------------------------------------------------ enrichment and leads
+
+def leads_ctes(capped: str, enrich: bool = True) -> str:
+    """CTEs ep (enriched pages), en (enriched candidates), fo (phone folded), ld (leads)."""
+    if not enrich:
+        en = f"""en AS (SELECT c.*, false AS ok, CAST(NULL AS VARCHAR[]) AS emails, CAST(NULL AS VARCHAR[]) AS phones,
+  CAST(NULL AS VARCHAR[]) AS socials, CAST(NULL AS VARCHAR) AS contact_url, CAST(NULL AS VARCHAR) AS brand,
+  CAST(NULL AS INTEGER) AS opp, CAST(NULL AS VARCHAR[]) AS issues, CAST(NULL AS INTEGER) AS seo_status
+  FROM {capped} c)"""
+    else:
+        en = f"""cu AS (SELECT *, 'https://' || domain || '/contact' AS cu FROM {capped}),
+ep_src AS (SELECT url AS page_key, url, status_code, html FROM home
+           WHERE url IN (SELECT website FROM cu UNION SELECT cu FROM cu)),
+{PS.signals_cte('ep_src', 'page_key')},
+ep0 AS (SELECT *, {PS.emails('text')} AS emails, {PS.phones('text')} AS phones,
+               {PS.socials('external')} AS socials, {NS.brand('og_title', 'title')} AS brand FROM sig),
+ep AS (SELECT page_key AS url, coalesce(status_code BETWEEN 200 AND 299, false) AS success,
+              opportunity_score, issues, status_code, emails, phones, socials, brand
+       FROM ({PS.audit_cte('ep0')})),
+j1 AS (SELECT c.*, coalesce(h.success, false) AS ok, h.emails AS h_emails, h.phones AS h_phones,
+              h.socials AS h_socials, h.brand AS h_brand, h.opportunity_score AS h_opp, h.issues AS h_issues,
+              h.status_code AS h_status
+       FROM cu c LEFT JOIN ep h ON c.website = h.url),
+j2 AS (SELECT j1.*, x.url AS x_url, x.emails AS x_emails, x.phones AS x_phones, x.socials AS x_socials
+       FROM j1 LEFT JOIN (SELECT * FROM ep WHERE success) x
+         ON x.url = (CASE WHEN j1.ok AND len(j1.h_emails) = 0 THEN j1.cu END)),
+en AS (SELECT * EXCLUDE (x_url, x_emails, x_phones, x_socials, h_emails, h_phones, h_socials, h_brand, h_opp, h_issues,
+                         h_status, cu),
+  CASE WHEN ok THEN m_emails END AS emails, CASE WHEN ok THEN m_phones END AS phones,
+  CASE WHEN ok THEN m_socials END AS socials,
+  CASE WHEN ok AND x_url IS NOT NULL AND (len(m_emails) > 0 OR len(m_phones) > 0) THEN cu END AS contact_url,
+  CASE WHEN ok THEN h_brand END AS brand, CASE WHEN ok THEN h_opp END AS opp,
+  CASE WHEN ok THEN h_issues END AS issues, CASE WHEN ok THEN h_status END AS seo_status
+  FROM (SELECT *,
+    CASE WHEN x_url IS NOT NULL THEN x_emails ELSE h_emails END AS m_emails,
+    CASE WHEN x_url IS NOT NULL THEN {PS.clean_distinct('list_concat(h_phones, x_phones)')} ELSE h_phones END AS m_phones,
+    CASE WHEN x_url IS NOT NULL THEN {PS.clean_distinct('list_concat(h_socials, x_socials)')} ELSE h_socials END AS m_socials
+    FROM j2))"""
+    digits = "regexp_replace({}, '[^0-9]', '', 'g')"
+    has_phone = "(phone IS NOT NULL AND phone <> '')"
+    known = f"len(list_filter(coalesce(phones, []), lambda p: {digits.format('p')} = {digits.format('phone')})) > 0"
+    return f"""{en},
+fo AS (SELECT * EXCLUDE (emails, phones, socials, contact_url),
+  CASE WHEN NOT {has_phone} THEN ok ELSE true END AS has_out,
+  CASE WHEN NOT {has_phone} THEN emails ELSE coalesce(emails, []) END AS emails,
+  CASE WHEN NOT {has_phone} THEN phones WHEN {known} THEN coalesce(phones, [])
+       ELSE list_append(coalesce(phones, []), phone) END AS phones,
+  CASE WHEN NOT {has_phone} THEN socials ELSE coalesce(socials, []) END AS socials,
+  contact_url
+  FROM en),
+ld AS (SELECT *, coalesce(brand, name) AS lead_name,
+  {PS.score_cols('ok', 'opp', 'len(issues)', 'seo_status', 'has_out', 'len(emails)', 'len(phones)', 'len(socials)', '0')}
+  FROM fo)"""
+
+
+LEAD_OUT = """CAST(spec_ord AS BIGINT) AS spec_ord, domain, lead_name AS name, website, query,
+  array_to_string(channels, '; ') AS channels, CAST(score AS BIGINT) AS score,
+  array_to_string(reasons, '; ') AS reasons, array_to_string(emails, '; ') AS emails,
+  array_to_string(phones, '; ') AS phones, array_to_string(socials, '; ') AS socials, contact_url,
+  has_out AS has_outreach, ok AS has_seo, CAST(opp AS BIGINT) AS opportunity_score,
+  array_to_string(issues, '; ') AS issues"""
+
+Q["enrich"] = f"""{FIX}, {MERGED}, {leads_ctes('capped')}
+SELECT CAST(spec_ord AS BIGINT) AS spec_ord, domain, ok AS enriched,
+  CASE WHEN ok THEN array_to_string(emails, '; ') END AS emails,
+  CASE WHEN ok THEN array_to_string(phones, '; ') END AS phones,
+  CASE WHEN ok THEN array_to_string(socials, '; ') END AS socials, contact_url,
+  CAST(opp AS BIGINT) AS opportunity_score, brand FROM en"""
+
+Q["fold_phone"] = f"""{FIX}, {MERGED}, {leads_ctes('capped')}
+SELECT CAST(spec_ord AS BIGINT) AS spec_ord, domain, phone,
+  CASE WHEN has_out THEN array_to_string(phones, '; ') END AS phones, has_out AS has_outreach FROM fo"""
+
+Q["build_leads"] = f"""{FIX}, {MERGED}, {leads_ctes('capped')}
+SELECT {LEAD_OUT} FROM ld"""
+
+Q["build_leads_no_enrich"] = f"""{FIX}, {MERGED}, {leads_ctes('capped', enrich=False)}
+SELECT {LEAD_OUT} FROM ld"""
+
+Q["run_search"] = Q["build_leads"]
+
+Q["run_discovery"] = f"""{FIX}, {MERGED},
+firsts AS (SELECT * FROM merged WHERE spec_ord = (SELECT min(spec_ord) FROM merged m2 WHERE m2.domain = merged.domain)),
+capped2 AS (
+  SELECT * FROM (
+    SELECT m.*, s.lim, row_number() OVER (PARTITION BY m.spec_ord ORDER BY len(m.channels) DESC, m.first_ord) AS cand_rank
+    FROM firsts m JOIN specs s USING (spec_ord))
+  WHERE cand_rank <= greatest(3 * lim, 40)),
+{leads_ctes('capped2')}
+SELECT {LEAD_OUT} FROM ld"""

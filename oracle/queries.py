@@ -116,3 +116,13 @@ FROM ({RICH_PAGES})
 from oracle.discsql import Q as _DISCOVERY  # noqa: E402
 
 ORACLE.update(_DISCOVERY)
+
+ORACLE["score_band"] = f"""{_sig(PAGES)},
+c AS (SELECT *, {PS.emails('text')} AS emails, {PS.phones('text')} AS phones,
+             {PS.socials('external')} AS socials FROM sig),
+a AS ({PS.audit_cte('c')}),
+s AS (SELECT *, {PS.score_cols('true', 'opportunity_score', 'len(issues)', 'status_code', 'true',
+                               'len(emails)', 'len(phones)', 'len(socials)', '0')} FROM a)
+SELECT page_id, CAST(score AS BIGINT) AS score,
+  CASE WHEN score >= 70 THEN 'hot' WHEN score >= 40 THEN 'warm' ELSE 'cold' END AS band FROM s
+"""

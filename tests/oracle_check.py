@@ -31,6 +31,12 @@ def duck(sf_dir: str):
 def _norm(v):
     if v is None:
         return None
+    try:
+        import pandas as pd
+        if v is pd.NA or v is pd.NaT:
+            return None
+    except ImportError:
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
