@@ -315,3 +315,186 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadlake.functions.urls import host_of
     p = table(spark, sf_dir, "pages")
     return p.where(F.col("page_id") % 5 == 0).select(host_of(F.col("url")).alias("domain")).distinct()
+
+
+# --------------------------------------------------------------------------- store
+
+NOW = "1999-06-15 12:00:00"
+NOW_EPOCH = 929448000
+FALLBACK_EPOCH = 928195200  # 1999-06-01 00:00:00
+
+
+def _epoch(c: Column) -> Column:
+    return c.cast("timestamp").cast("long")
+
+
+def _lpad4(k: Column) -> Column:
+    return F.lpad((k % 10000).cast("string"), 4, "0")
+
+
+def _seo_struct(k: Column, title: Column, website: Column, opp: Column, issues: Column) -> Column:
+    return F.struct(
+        website.alias("final_url"), F.lit(True).alias("https_ok"), F.lit(200).alias("status_code"),
+        title.alias("title"), F.length(title).alias("title_length"), F.lit(None).cast("string").alias("description"),
+        F.lit(0).alias("description_length"), F.lit(False).alias("has_h1"), F.lit(False).alias("has_og_title"),
+        F.lit(False).alias("has_og_image"), F.lit(False).alias("has_favicon"), F.lit(100).alias("word_count"),
+        issues.alias("issues"), opp.cast("int").alias("opportunity_score"))
+
+
+def lead_domain(k: Column) -> Column:
+    return (F.when(k % 23 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit(".square.site")))
+            .when((k % 10 == 0) | (k % 10 == 2), F.concat(F.lit("acme-roofing"), k.cast("string"), F.lit(".com")))
+            .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit(".example.com"))))
+
+
+def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_leads``: one stored lead per customer; created/updated from the
+    customer's first/last order (some pinned near ``NOW``)."""
+    from leadlake.sources import schemas as S
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_nationkey",
+                                                "c_acctbal", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("dmin"),
+                                                                F.max("o_orderdate").alias("dmax"))
+    j = c.join(o, c.k == o.o_custkey, "left")
+    k = F.col("k")
+    name = (F.when(k % 10 == 0, F.lit("Top 10 Plumbers in Austin")).when(k % 10 == 1, F.lit("smithplumbing"))
+            .when(k % 10 == 2, F.lit("Best Dentist")).when(k % 10 == 3, F.lit("familydentalandair"))
+            .otherwise(F.col("c_name")))
+    domain = lead_domain(k)
+    website = F.concat(F.lit("https://"), domain)
+    chans = F.filter(F.array(*[F.lit(x) for x in K.CHANNEL_IDS]),
+                     lambda x, i: F.floor(k / F.pow(F.lit(2), i)) % 2 == 1)
+    outreach = F.when(k % 11 != 0, F.struct(
+        F.when(k % 3 == 0, F.array(F.concat(F.lit("info@c"), k.cast("string"), F.lit(".example.com"))))
+         .otherwise(F.array().cast("array<string>")).alias("emails"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("(512) 555-"), _lpad4(k))))
+         .otherwise(F.array().cast("array<string>")).alias("phones"),
+        F.when(k % 5 == 0, F.array(F.concat(F.lit("https://linkedin.com/company/c"), k.cast("string"))))
+         .otherwise(F.array().cast("array<string>")).alias("socials"),
+        F.when(k % 7 == 1, F.concat(website, F.lit("/contact"))).alias("contact_url"),
+        F.when(k % 7 == 0, F.array(F.struct(F.concat(F.lit("Owner "), k.cast("string")).alias("name"),
+                                            F.lit("CEO").alias("role"))))
+         .otherwise(F.array().cast("array<struct<name:string,role:string>>")).alias("people")))
+    issues = F.when(k % 2 == 0, F.array(F.lit("Missing meta description"))) \
+              .otherwise(F.array(F.lit("Site not served over HTTPS"), F.lit("No favicon detected")))
+    seo = F.when(k % 13 != 0, _seo_struct(k, F.col("c_name"), website, k % 101, issues))
+    created = (F.when(k % 50 == 0, F.lit(NOW_EPOCH) - (k % 9) * 86400 - (k % 3600))
+               .otherwise(F.coalesce(_epoch(F.col("dmin")), F.lit(FALLBACK_EPOCH)) + k % 86400))
+    updated = F.coalesce(_epoch(F.col("dmax")), F.lit(FALLBACK_EPOCH)) + k % 86400
+    statuses = F.array(*[F.lit(s) for s in K.LEAD_STATUSES])
+    t = j.select(
+        k.cast("long").alias("id"), name.alias("name"), domain.alias("domain"), website.alias("website"),
+        F.when(k % 4 != 0, F.concat(F.lit("Customer of nation "), F.col("c_nationkey").cast("string"))).alias("description"),
+        F.lower("c_mktsegment").alias("query"), chans.alias("channels"), outreach.alias("outreach"), seo.alias("seo"),
+        (F.floor(F.abs("c_acctbal")) % 101).cast("int").alias("score"),
+        F.array(F.concat(F.lit("seed "), k.cast("string"))).alias("score_reasons"),
+        F.element_at(statuses, (k % 6 + 1).cast("int")).alias("status"),
+        F.when(k % 3 == 1, F.concat(F.lit("note "), k.cast("string"))).alias("notes"),
+        (k % 4).cast("long").alias("run_id"),
+        F.timestamp_seconds(created).alias("created_at"), F.timestamp_seconds(updated).alias("updated_at"))
+    t = t.withColumn("opportunity_score", F.coalesce(F.col("seo.opportunity_score"), F.lit(0))) \
+         .withColumn("issues_count", F.coalesce(F.size("seo.issues"), F.lit(0))) \
+         .withColumn("has_email", F.coalesce(F.size("outreach.emails") > 0, F.lit(False)))
+    return t.select(*S.STORED_LEAD.fieldNames())
+
+
+def new_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_new_leads``: a run's leads; half of them hit stored domains with
+    lower, equal and higher scores, null or present audit/outreach."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_nationkey", "c_acctbal")
+    k = F.col("k")
+    c = c.where((k % 2 == 0) | (k % 7 == 3))
+    upd = k % 2 == 0
+    domain = F.when(upd, lead_domain(k)).otherwise(F.concat(F.lit("new"), k.cast("string"), F.lit(".example.org")))
+    website = F.concat(F.lit("https://"), domain)
+    old = (F.floor(F.abs("c_acctbal")) % 101)
+    score = F.greatest(F.lit(0), old + (k % 3 - 1) * 5).cast("int")
+    outreach = F.when(k % 5 != 0, F.struct(
+        F.array(F.concat(F.lit(" info@c"), k.cast("string"), F.lit(".example.com ")),
+                F.concat(F.lit("sales@c"), k.cast("string"), F.lit(".example.com"))).alias("emails"),
+        F.array(F.concat(F.lit("(512) 555-"), _lpad4(k))).alias("phones"),
+        F.array().cast("array<string>").alias("socials"),
+        F.concat(F.lit("https://x"), k.cast("string"), F.lit("/contact")).alias("contact_url"),
+        F.array(F.struct(F.concat(F.lit("Owner "), k.cast("string")).alias("name"), F.lit("CTO").alias("role")),
+                F.struct(F.concat(F.lit("Staff "), k.cast("string")).alias("name"),
+                         F.lit(None).cast("string").alias("role"))).alias("people")))
+    seo = F.when(k % 4 != 2, _seo_struct(k, F.col("c_name"), website, (k * 7) % 101,
+                                         F.array(F.lit("Missing <title> tag"))))
+    return c.select(
+        F.concat(F.lit("New "), F.col("c_name")).alias("name"), website.alias("website"), domain.alias("domain"),
+        F.when(k % 8 != 0, F.concat(F.lit("fresh "), k.cast("string"))).alias("description"),
+        F.concat(F.lit("q"), F.col("c_nationkey").cast("string")).alias("query"),
+        F.when(k % 3 != 0, F.array(F.lit("web"), F.lit("g2"))).alias("channels"),
+        outreach.alias("outreach"), seo.alias("seo"), score.alias("score"),
+        F.array(F.concat(F.lit("new "), k.cast("string"))).alias("score_reasons"))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_patches``: status/notes patches incl. unknown ids, duplicates, an
+    invalid status and empty patches."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k")
+    m = k % 10
+    statuses = F.array(*[F.lit(s) for s in K.LEAD_STATUSES])
+    one = F.struct(
+        F.when(m == 3, k + 1000000).otherwise(k).cast("long").alias("id"),
+        (F.when(m == 0, F.element_at(statuses, ((F.floor(k / 10) % 6) + 1).cast("int")))
+          .when(m == 2, F.lit("bogus")).when(m == 3, F.lit("won")).when(m == 4, F.lit("qualified"))).alias("status"),
+        F.when(m == 1, F.lit("")).alias("notes"), (m == 1).alias("set_notes"), (k * 2).alias("patch_ord"))
+    two = F.struct(k.cast("long").alias("id"), F.lit("lost").alias("status"), F.lit(None).cast("string").alias("notes"),
+                   F.lit(False).alias("set_notes"), (k * 2 + 1).alias("patch_ord"))
+    rows = F.when(m == 4, F.array(one, two)).when(m <= 5, F.array(one)).otherwise(F.array().cast(
+        "array<struct<id:bigint,status:string,notes:string,set_notes:boolean,patch_ord:bigint>>"))
+    return c.select(F.explode(rows).alias("p")).select("p.*")
+
+
+def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_delete_ids``: ids to delete, with duplicates, unknown and non-integer ids."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k")
+    m = k % 10
+    ids = (F.when(m == 7, F.array(k.cast("double"), k.cast("double")))
+           .when(m == 8, F.array((k + 1000000).cast("double")))
+           .when(m == 9, F.array(k.cast("double") + 0.5))
+           .otherwise(F.array().cast("array<double>")))
+    return c.select(F.explode(ids).alias("id"))
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_searches``: the saved searches behind ``fx_specs``."""
+    from leadlake.plans.planning import normalize_specs
+    s = normalize_specs(specs(spark, sf_dir), mode="saved")
+    o = F.col("spec_ord")
+    return s.select((o + 1).cast("long").alias("id"), "niche", "location", "lim", "channels",
+                    F.when(o % 3 != 0, F.concat(F.lit("label "), o.cast("string"))).alias("label"),
+                    (o % 4 != 3).alias("active"),
+                    F.timestamp_seconds(F.lit(FALLBACK_EPOCH) + (o % 5) * 3600).alias("created_at"))
+
+
+def new_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_new_searches``: re-saved keys (update) and new niches (insert)."""
+    from leadlake.plans.planning import normalize_specs
+    s = normalize_specs(specs(spark, sf_dir), mode="saved")
+    o = F.col("spec_ord")
+    upd = s.where(o % 2 == 0).select(
+        "niche", "location", F.lit(7).alias("lim"),
+        F.when(o % 4 == 0, F.array(F.lit("web"))).otherwise(F.array().cast("array<string>")).alias("channels"),
+        F.lit("new").alias("label"), o.cast("long").alias("input_ord"))
+    ins = s.where(o % 3 == 1).select(
+        F.concat(F.col("niche"), F.lit(" pro")).alias("niche"), "location", F.lit(None).cast("int").alias("lim"),
+        F.lit(None).cast("array<string>").alias("channels"), F.lit(None).cast("string").alias("label"),
+        (o + 100).cast("long").alias("input_ord"))
+    return upd.unionByName(ins)
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_runs``: a run ledger, one run per nation."""
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("id"), "n_regionkey")
+    i = F.col("id")
+    err = i % 5 == 0
+    return n.select(
+        "id", F.timestamp_seconds(F.lit(FALLBACK_EPOCH) + i * 86400).alias("started_at"),
+        F.timestamp_seconds(F.lit(FALLBACK_EPOCH) + i * 86400 + 3600).alias("finished_at"),
+        F.when(err, F.lit("error")).otherwise(F.lit("done")).alias("status"),
+        (F.col("n_regionkey") + 1).cast("int").alias("search_count"), (i * 3).cast("int").alias("lead_count"),
+        (i % 2 == 0).alias("enrich"), F.when(err, F.concat(F.lit("boom "), i.cast("string"))).alias("error"))

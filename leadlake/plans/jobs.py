@@ -577,3 +577,264 @@ def score_band(spark, sf_dir):
     from leadlake.functions.scoring import score_band as sb
     s = P.score_pages(_pages(spark, sf_dir))
     return s.select("page_id", big("score").alias("score"), sb(F.col("score")).alias("band"))
+
+
+# ---------------------------------------------------------------- lead table maintenance
+
+from leadlake.operators import store as ST  # noqa: E402
+from leadlake.operators import views as V  # noqa: E402
+
+
+def _sfx(spark, sf_dir, name):
+    builders = {"leads": FX.leads, "new_leads": FX.new_leads, "patches": FX.patches, "delete_ids": FX.delete_ids,
+                "searches": FX.searches, "new_searches": FX.new_searches, "runs": FX.runs}
+    return FX.materialized(spark, sf_dir, name, builders[name])
+
+
+def tstr(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def _lead_rows(df: DataFrame) -> DataFrame:
+    return df.select(
+        "id", "name", "domain", "website", "description", "query", joined("channels").alias("channels"),
+        joined("outreach.emails").alias("emails"), joined("outreach.phones").alias("phones"),
+        joined("outreach.socials").alias("socials"), F.col("outreach.contact_url").alias("contact_url"),
+        joined(F.transform("outreach.people", lambda p: F.concat_ws("/", p["name"], p["role"]))).alias("people"),
+        big("seo.opportunity_score").alias("seo_opportunity"), big("score").alias("score"),
+        big("opportunity_score").alias("opportunity_score"), big("issues_count").alias("issues_count"),
+        "has_email", joined("score_reasons").alias("reasons"), "status", "notes", "run_id",
+        tstr("created_at").alias("created_at"), tstr("updated_at").alias("updated_at"))
+
+
+@job("merge_outreach")
+def merge_outreach(spark, sf_dir):
+    o = _sfx(spark, sf_dir, "leads").select("domain", F.col("outreach").alias("prev"))
+    n = _sfx(spark, sf_dir, "new_leads").select("domain", F.col("outreach").alias("next"))
+    m = o.join(n, "domain").select("domain", ST.merge_outreach(F.col("prev"), F.col("next")).alias("m"))
+    return m.select("domain", F.col("m").isNotNull().alias("present"), joined("m.emails").alias("emails"),
+                    joined("m.phones").alias("phones"), joined("m.socials").alias("socials"),
+                    F.col("m.contact_url").alias("contact_url"),
+                    joined(F.transform("m.people", lambda p: F.concat_ws("/", p["name"], p["role"]))).alias("people"))
+
+
+@job("upsert_leads")
+def upsert_leads(spark, sf_dir):
+    u = ST.upsert_leads(_sfx(spark, sf_dir, "leads"), _sfx(spark, sf_dir, "new_leads"), 9, FX.NOW)
+    return _lead_rows(u)
+
+
+@job("known_domains")
+def known_domains(spark, sf_dir):
+    return ST.known_domains(_sfx(spark, sf_dir, "leads"))
+
+
+@job("patch_leads")
+def patch_leads(spark, sf_dir):
+    out, _ = ST.patch_leads(_sfx(spark, sf_dir, "leads"), _sfx(spark, sf_dir, "patches"), FX.NOW)
+    return out.select("id", "status", "notes", tstr("updated_at").alias("updated_at"))
+
+
+@job("patch_leads_rejected")
+def patch_leads_rejected(spark, sf_dir):
+    _, rej = ST.patch_leads(_sfx(spark, sf_dir, "leads"), _sfx(spark, sf_dir, "patches"), FX.NOW)
+    return rej.select("id", "status")
+
+
+@job("delete_leads")
+def delete_leads(spark, sf_dir):
+    rem, _ = ST.delete_leads(_sfx(spark, sf_dir, "leads"), _sfx(spark, sf_dir, "delete_ids"))
+    return rem.select("id", "domain")
+
+
+@job("delete_leads_count")
+def delete_leads_count(spark, sf_dir):
+    _, n = ST.delete_leads(_sfx(spark, sf_dir, "leads"), _sfx(spark, sf_dir, "delete_ids"))
+    return n
+
+
+@job("cleanup_leads")
+def cleanup_leads(spark, sf_dir):
+    out, _, _ = ST.cleanup_leads(_sfx(spark, sf_dir, "leads"), FX.NOW)
+    return out.select("id", "name", tstr("updated_at").alias("updated_at"))
+
+
+@job("cleanup_deleted")
+def cleanup_deleted(spark, sf_dir):
+    _, d, _ = ST.cleanup_leads(_sfx(spark, sf_dir, "leads"), FX.NOW)
+    return d
+
+
+@job("cleanup_renamed")
+def cleanup_renamed(spark, sf_dir):
+    _, _, r = ST.cleanup_leads(_sfx(spark, sf_dir, "leads"), FX.NOW)
+    return r
+
+
+def _search_rows(df):
+    return df.select("id", "niche", "location", big("lim").alias("lim"), joined("channels").alias("channels"),
+                     "label", "active", tstr("created_at").alias("created_at"))
+
+
+@job("upsert_searches")
+def upsert_searches(spark, sf_dir):
+    return _search_rows(ST.upsert_searches(_sfx(spark, sf_dir, "searches"), _sfx(spark, sf_dir, "new_searches"),
+                                           FX.NOW))
+
+
+@job("set_search_active")
+def set_search_active(spark, sf_dir):
+    s = _sfx(spark, sf_dir, "searches")
+    ids = s.where(F.col("id") % 3 == 0).select("id")
+    return ST.set_search_active(s, ids, False).select("id", "active")
+
+
+@job("delete_searches")
+def delete_searches(spark, sf_dir):
+    s = _sfx(spark, sf_dir, "searches")
+    return ST.delete_searches(s, s.where(F.col("id") % 4 == 1).select("id")).select("id")
+
+
+@job("list_searches")
+def list_searches(spark, sf_dir):
+    s = ST.list_searches(_sfx(spark, sf_dir, "searches"), active_only=True)
+    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
+        F.col("created_at").desc(), F.col("id")))
+    return s.select(big(w).alias("pos"), "id")
+
+
+@job("start_finish_run")
+def start_finish_run(spark, sf_dir):
+    r, rid = ST.start_run(_sfx(spark, sf_dir, "runs"), 4, True, FX.NOW)
+    r = ST.finish_run(r, rid, 42, "1999-06-15 12:05:00")
+    r = ST.finish_run(r, 5, 1, "1999-06-15 12:06:00", error="failed again")
+    return r.select("id", tstr("started_at").alias("started_at"), tstr("finished_at").alias("finished_at"),
+                    "status", big("search_count").alias("search_count"), big("lead_count").alias("lead_count"),
+                    "enrich", "error")
+
+
+@job("list_runs")
+def list_runs(spark, sf_dir):
+    r = ST.list_runs(_sfx(spark, sf_dir, "runs"), limit=10)
+    return r.select("id", "status")
+
+
+# ---------------------------------------------------------------- views
+
+def _leads(spark, sf_dir):
+    return _sfx(spark, sf_dir, "leads")
+
+
+def _ids(df):
+    return df.select("id")
+
+
+@job("filter_status")
+def filter_status(spark, sf_dir):
+    return _ids(_leads(spark, sf_dir).where(V.filter_status("qualified")))
+
+
+@job("filter_min_score")
+def filter_min_score(spark, sf_dir):
+    return _ids(_leads(spark, sf_dir).where(V.filter_min_score(70)))
+
+
+@job("filter_has_email")
+def filter_has_email(spark, sf_dir):
+    return _ids(_leads(spark, sf_dir).where(V.filter_has_email()))
+
+
+@job("filter_text")
+def filter_text(spark, sf_dir):
+    return _ids(_leads(spark, sf_dir).where(V.filter_text("PLUMB")))
+
+
+@job("filter_channel")
+def filter_channel(spark, sf_dir):
+    return _ids(_leads(spark, sf_dir).where(V.filter_channel("g2")))
+
+
+@job("filter_period")
+def filter_period(spark, sf_dir):
+    l = _leads(spark, sf_dir)
+    out = None
+    for p in ("today", "yesterday", "week", "month", "year"):
+        x = l.where(V.filter_period(p, FX.NOW, "UTC")).select(F.lit(p).alias("period"), "id")
+        out = x if out is None else out.unionByName(x)
+    x = l.where(V.filter_period("today", FX.NOW, "America/Chicago")).select(F.lit("today_chicago").alias("period"), "id")
+    return out.unionByName(x)
+
+
+@job("filter_date_range")
+def filter_date_range(spark, sf_dir):
+    return _ids(_leads(spark, sf_dir).where(V.filter_date_range("1996-01-01", "1996-12-31")))
+
+
+def _positions(df, sort):
+    from pyspark.sql import Window as W
+    w = F.row_number().over(W.orderBy(*V.sort_columns(sort)))
+    return df.select(big(w).alias("pos"), "id")
+
+
+@job("list_leads")
+def list_leads(spark, sf_dir):
+    f = V.LeadFilter(min_score=20, has_email=False, channel="web", sort="opportunity")
+    l = _leads(spark, sf_dir).where(V.lead_predicate(f, FX.NOW))
+    return _positions(l, "opportunity")
+
+
+@job("list_leads_recent")
+def list_leads_recent(spark, sf_dir):
+    f = V.LeadFilter(status="new", sort="recent")
+    return _positions(_leads(spark, sf_dir).where(V.lead_predicate(f, FX.NOW)), "recent")
+
+
+@job("list_leads_name")
+def list_leads_name(spark, sf_dir):
+    f = V.LeadFilter(q="c", period="year", sort="name")
+    return V.list_leads(_leads(spark, sf_dir), f, FX.NOW).select("id", "name")
+
+
+@job("top_leads")
+def top_leads(spark, sf_dir):
+    return V.top_leads(_leads(spark, sf_dir), 6).select("id", big("score").alias("score"))
+
+
+@job("lead_stats")
+def lead_stats(spark, sf_dir):
+    s = V.lead_stats(_leads(spark, sf_dir), _sfx(spark, sf_dir, "searches"), _sfx(spark, sf_dir, "runs"))
+    return s.select("total_leads", "avg_score", "hot_leads", "with_email", "active_searches", "total_runs",
+                    tstr("last_run_at").alias("last_run_at"))
+
+
+@job("status_counts")
+def status_counts(spark, sf_dir):
+    s = V.status_counts(_leads(spark, sf_dir))
+    return s.select("status", "n", F.round("share", 6).alias("share"))
+
+
+@job("filtered_summary")
+def filtered_summary(spark, sf_dir):
+    l = _leads(spark, sf_dir).where(V.filter_channel("linkedin"))
+    return V.filtered_summary(l)
+
+
+@job("export_view")
+def export_view(spark, sf_dir):
+    l = _leads(spark, sf_dir)
+    return V.export_view(l.where(V.filter_min_score(10))).withColumn("id", F.lit(0)).drop("id")
+
+
+@job("primary_contact")
+def primary_contact(spark, sf_dir):
+    return V.primary_contact(_leads(spark, sf_dir))
+
+
+@job("research_links")
+def research_links(spark, sf_dir):
+    return V.research_links(_leads(spark, sf_dir))
+
+
+@job("audit_checklist")
+def audit_checklist(spark, sf_dir):
+    return V.audit_checklist(_leads(spark, sf_dir)).select("id", big("pos").alias("pos"), "label", "ok")
