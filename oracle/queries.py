@@ -126,3 +126,7 @@ s AS (SELECT *, {PS.score_cols('true', 'opportunity_score', 'len(issues)', 'stat
 SELECT page_id, CAST(score AS BIGINT) AS score,
   CASE WHEN score >= 70 THEN 'hot' WHEN score >= 40 THEN 'warm' ELSE 'cold' END AS band FROM s
 """
+
+from oracle.storesql import Q as _STORE  # noqa: E402
+
+ORACLE.update(_STORE)
