@@ -28,7 +28,7 @@ def _stamp(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str = "parquet") -> DataFrame:
     """A derived fixture written once as Parquet under the session's shared
     checkpoint folder (keyed by the input files), then read back. Cuts the
     fixture's lineage out of every job that uses it."""
@@ -36,8 +36,13 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     configure(spark)
     path = work_dir(spark, f"fixtures/{_stamp(sf_dir)}/{name}")
     if not table_exists(spark, path):
-        publish_table(build(spark, sf_dir), path)
-    return spark.read.parquet(path)
+        publish_table(build(spark, sf_dir), path, fmt)
+    return spark.read.parquet(path) if fmt == "parquet" else None
+
+
+def fixture_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    from leadlake.session import work_dir
+    return work_dir(spark, f"fixtures/{_stamp(sf_dir)}/{name}")
 
 
 def _s(c: Column) -> Column:
@@ -498,3 +503,50 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(err, F.lit("error")).otherwise(F.lit("done")).alias("status"),
         (F.col("n_regionkey") + 1).cast("int").alias("search_count"), (i * 3).cast("int").alias("lead_count"),
         (i % 2 == 0).alias("enrich"), F.when(err, F.concat(F.lit("boom "), i.cast("string"))).alias("error"))
+
+
+# --------------------------------------------------------------------------- raw payloads
+
+def serp_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search hits as provider payloads: one JSON object per (provider, query,
+    result page of 20), results in rank order; every fifth description missing."""
+    from leadlake.constants import PROVIDERS
+    s = materialized(spark, sf_dir, "serp", all_serp)
+    prov = F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider_ord") + 1)
+    item = F.struct("rank", "url", "title",
+                    F.when(F.col("rank") % 5 != 0, F.col("description")).alias("description"))
+    g = s.groupBy("provider_ord", "query", F.floor((F.col("rank") - 1) / 20).alias("page")) \
+         .agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return g.select(prov.alias("provider"), "query", F.col("page").cast("int").alias("page"),
+                    F.transform("items", lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"),
+                                                            x["description"].alias("description"))).alias("results"))
+
+
+def places_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places payloads: one JSON object per (query, page) with up to 20 places."""
+    p = materialized(spark, sf_dir, "places", places)
+    g = p.groupBy("query", "page_no").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("items"))
+    mx = p.groupBy("query").agg(F.max("page_no").alias("last"))
+    g = g.join(mx, "query")
+    return g.select("query", "page_no", F.transform("items", lambda x: x["p"]).alias("places"),
+                    F.when(F.col("page_no") < F.col("last"),
+                           F.concat(F.lit("tok"), (F.col("page_no") + 1).cast("string"))).alias("nextPageToken"))
+
+
+def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead store as JSON Lines documents of at most 500 leads each (the
+    searches and runs ride in document 0), in the application's field names."""
+    from leadlake.sources.sinks import _LEAD_JSON_NAMES
+    ts = {"created_at", "updated_at", "started_at", "finished_at"}
+    l = materialized(spark, sf_dir, "leads", leads)
+    item = F.struct(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c in ts else F.col(c)).alias(n)
+                      for n, c in _LEAD_JSON_NAMES])
+    docs = l.groupBy(F.floor(F.col("id") / 500).alias("doc")).agg(F.collect_list(item).alias("leads"))
+    s = materialized(spark, sf_dir, "searches", searches)
+    r = materialized(spark, sf_dir, "runs", runs)
+    s0 = s.select(F.struct(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c in ts else F.col(c)).alias(c)
+                             for c in s.columns]).alias("x")).agg(F.collect_list("x").alias("searches"))
+    r0 = r.select(F.struct(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c in ts else F.col(c)).alias(c)
+                             for c in r.columns]).alias("x")).agg(F.collect_list("x").alias("runs"))
+    extra = s0.withColumn("doc", F.lit(0).cast("long")).join(r0.withColumn("doc", F.lit(0).cast("long")), "doc")
+    return docs.join(extra, "doc", "left").select("searches", "runs", "leads")

@@ -63,19 +63,23 @@ def exclude_blocked(df: DataFrame, host_col: str, blocklist: DataFrame, prefixes
     """Join form of #20/#21 for large blocklists: every dot-suffix (and, for
     aggregators, dot-prefix) of the host is matched by equi-join against the
     blocklist table ``(domain)``; matching rows are removed with a left-anti join."""
-    parts = F.split(F.col(host_col), r"\.")
+    hosts = df.select(F.col(host_col).alias("_h")).distinct()
+    ex = hosts.select("_h", F.explode(_keys_of(F.col("_h"), prefixes)).alias("_k"))
+    bad = ex.join(blocklist.select(F.col("domain").alias("_k")).distinct(), "_k").select("_h").distinct()
+    return df.join(bad, F.col(host_col) == F.col("_h"), "left_anti")
+
+
+def _keys_of(host: Column, prefixes: bool) -> Column:
+    """Every dot-suffix of ``host`` (itself included) and, optionally, every
+    proper dot-prefix."""
+    parts = F.split(host, r"\.")
     n = F.size(parts)
-    idx = F.sequence(F.lit(1), n)
-    sfx = F.transform(idx, lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
-    keys = sfx
+    keys = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
     if prefixes:
         pfx = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(parts, 1, i), "."))
-        keys = F.concat(sfx, F.when(n > 1, pfx).otherwise(F.array().cast("array<string>")))
-    tagged = df.withColumn("_rid", F.monotonically_increasing_id())
-    ex = tagged.select("_rid", F.explode(keys).alias("_k"))
-    bad = ex.join(blocklist.select(F.col("domain").alias("_k")).distinct(), "_k").select("_rid").distinct()
-    return tagged.join(bad, "_rid", "left_anti").drop("_rid")
+        keys = F.concat(keys, F.when(n > 1, pfx).otherwise(F.array().cast("array<string>")))
+    return keys
 
 
 def _first_per(df: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:

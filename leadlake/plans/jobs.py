@@ -838,3 +838,153 @@ def research_links(spark, sf_dir):
 @job("audit_checklist")
 def audit_checklist(spark, sf_dir):
     return V.audit_checklist(_leads(spark, sf_dir)).select("id", big("pos").alias("pos"), "label", "ok")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+import uuid  # noqa: E402
+
+from leadlake.session import work_dir  # noqa: E402
+from leadlake.sources import dims as DM  # noqa: E402
+from leadlake.sources import readers as RD  # noqa: E402
+from leadlake.sources import schemas as SC  # noqa: E402
+from leadlake.sources import sinks as SK  # noqa: E402
+from leadlake.streaming import streams as SS  # noqa: E402
+
+
+def _scratch(spark, name):
+    return work_dir(spark, f"runs/{name}-{uuid.uuid4().hex[:10]}")
+
+
+@job("read_pages")
+def read_pages_job(spark, sf_dir):
+    p = read_pages(spark, f"{sf_dir}/pages.parquet")
+    return p.select("page_id", "url", F.md5("html").alias("html_md5"), big(F.length("html")).alias("html_chars"))
+
+
+@job("read_serp")
+def read_serp_job(spark, sf_dir):
+    FX.materialized(spark, sf_dir, "serp_json", FX.serp_payloads, fmt="json")
+    s = RD.read_serp(spark, FX.fixture_path(spark, sf_dir, "serp_json"))
+    return s.select(big("provider_ord").alias("provider_ord"), "query", big("rank").alias("rank"), "url", "title",
+                    "description")
+
+
+@job("read_places")
+def read_places_job(spark, sf_dir):
+    FX.materialized(spark, sf_dir, "places_json", FX.places_payloads, fmt="json")
+    p = RD.read_places(spark, FX.fixture_path(spark, sf_dir, "places_json"))
+    return p.select("query", big("page_no").alias("page_no"), big("pos").alias("pos"),
+                    F.col("p.displayName.text").alias("name_text"), F.col("p.websiteUri").alias("website_uri"),
+                    F.col("p.nationalPhoneNumber").alias("national_phone"), F.col("p.rating").alias("rating"))
+
+
+@job("load_store")
+def load_store_job(spark, sf_dir):
+    FX.materialized(spark, sf_dir, "store_json", FX.store_documents, fmt="json")
+    _, _, l = SK.load_store(spark, FX.fixture_path(spark, sf_dir, "store_json"), multi_line=False)
+    return _lead_rows(l)
+
+
+@job("load_store_searches")
+def load_store_searches(spark, sf_dir):
+    FX.materialized(spark, sf_dir, "store_json", FX.store_documents, fmt="json")
+    s, r, _ = SK.load_store(spark, FX.fixture_path(spark, sf_dir, "store_json"), multi_line=False)
+    return _search_rows(s)
+
+
+@job("save_table")
+def save_table_job(spark, sf_dir):
+    root = _scratch(spark, "tables")
+    l = _sfx(spark, sf_dir, "leads")
+    SK.save_table(l, root, "leads", 1)
+    SK.save_table(l.where(F.col("id") % 2 == 0), root, "leads", 1)  # replay of v=1: no effect
+    return SK.read_table(spark, root, "leads", SC.STORED_LEAD).select("id", "domain")
+
+
+@job("export_leads_csv")
+def export_leads_csv_job(spark, sf_dir):
+    path = _scratch(spark, "export") + "/leads.csv"
+    v = V.export_view(V.list_leads(_leads(spark, sf_dir), V.LeadFilter(min_score=10)))
+    SK.export_leads_csv(v, path)
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in back.columns])
+
+
+@job("channel_dim")
+def channel_dim_job(spark, sf_dir):
+    return DM.channel_dim(spark).select(big("channel_ord").alias("channel_ord"), "id", "label", "domain", "kind",
+                                        "reliability", "note")
+
+
+@job("exclude_blocked")
+def exclude_blocked_job(spark, sf_dir):
+    h = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select("host").distinct()
+    a = D.exclude_blocked(h, "host", DM.blocklist(spark, "aggregator"), prefixes=True)
+    return D.exclude_blocked(a, "host", DM.blocklist(spark, "microsite"), prefixes=False)
+
+
+# ---------------------------------------------------------------- streaming
+
+def _await(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@job("stream_enrich")
+def stream_enrich_job(spark, sf_dir):
+    base = _scratch(spark, "stream-enrich")
+    src = base + "/in"
+    read_pages(spark, f"{sf_dir}/pages.parquet").repartition(4).write.parquet(src)
+    st = spark.readStream.schema(SC.PAGES).option("maxFilesPerTrigger", 1).parquet(src)
+    out = SS.stream_enrich(st)
+    q = (out.writeStream.format("parquet").option("path", base + "/out")
+         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    _await(q)
+    s = spark.read.parquet(base + "/out")
+    return s.select(
+        "page_id", "url", big("score").alias("score"), big("seo.opportunity_score").alias("opportunity_score"),
+        big(F.size("seo.issues")).alias("issues_count"), joined("seo.issues").alias("issues"),
+        joined("score_reasons").alias("reasons"), joined("outreach.emails").alias("emails"),
+        joined("outreach.phones").alias("phones"), joined("outreach.socials").alias("socials"))
+
+
+@job("stream_new_domains")
+def stream_new_domains_job(spark, sf_dir):
+    base = _scratch(spark, "stream-domains")
+    s = _serp(spark, sf_dir)
+    from pyspark.sql import Window as Wn
+    o = F.row_number().over(Wn.orderBy("query", "provider_ord", "rank"))
+    hits = s.select("url", o.alias("o")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("o")))
+    # three files in event-time order, written one after another
+    n = hits.count()
+    for i in range(3):
+        lo, hi = i * n // 3, (i + 1) * n // 3
+        hits.where((F.col("o") > lo) & (F.col("o") <= hi)).select("url", "ts").coalesce(1) \
+            .write.mode("append").parquet(base + "/in")
+    st = spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    out = SS.stream_new_domains(st, _fx(spark, sf_dir, "known"), delay="3650 days")
+    q = (out.select("domain").writeStream.format("parquet").option("path", base + "/out")
+         .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    _await(q)
+    return spark.read.parquet(base + "/out").select("domain")
+
+
+@job("stream_upsert")
+def stream_upsert_job(spark, sf_dir):
+    base = _scratch(spark, "stream-upsert")
+    nl = _sfx(spark, sf_dir, "new_leads")
+    from pyspark.sql import Window as Wn
+    o = F.row_number().over(Wn.orderBy("domain"))
+    t = nl.withColumn("_o", o)
+    n = t.count()
+    for i in range(3):
+        lo, hi = i * n // 3, (i + 1) * n // 3
+        t.where((F.col("_o") > lo) & (F.col("_o") <= hi)).drop("_o").coalesce(1) \
+            .write.mode("append").parquet(base + "/in")
+    st = spark.readStream.schema(SC.LEAD).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    q = SS.stream_upsert(st, base + "/tables", _sfx(spark, sf_dir, "leads"), 9, FX.NOW, base + "/ckpt")
+    _await(q)
+    return _lead_rows(SS.latest_store(spark, base + "/tables"))

@@ -86,13 +86,13 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS"))
 
 
-def publish_table(df, path: str) -> None:
+def publish_table(df, path: str, fmt: str = "parquet") -> None:
     """Write to a temporary sibling folder, then rename into place, so readers
     never see a half-written table and a retried writer never clobbers one."""
     import uuid
     spark = df.sparkSession
     tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(tmp)
+    df.write.mode("overwrite").format(fmt).save(tmp)
     fs, dst = _fs(spark, path)
     _, src = _fs(spark, tmp)
     if not fs.exists(dst):

@@ -36,18 +36,21 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_serp(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Captured search results, one payload per (provider, query) (#2).
+    """Captured search results, one payload per (provider, query[, page]) (#2).
 
-    JSON payloads ``{provider, query, results:[{url,title,description}]}`` are
-    flattened with ``posexplode`` so the rank is the 1-based position; a missing
-    description becomes ``''``. Parquet input is expected already flat."""
+    JSON payloads ``{provider, query, page, results:[{url,title,description}]}``
+    are flattened with ``posexplode``: rank = page * 20 + position + 1 (page
+    defaults to 0); a missing description becomes ``''``. Parquet input is
+    expected already flat."""
     if fmt == "parquet":
         return spark.read.schema(S.SERP).parquet(path)
     raw = spark.read.schema(S.SERP_JSON).json(path)
     from leadlake.constants import PROVIDERS
     prov = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider")).cast("int") - 1
-    return (raw.select(prov.alias("provider_ord"), "query", F.posexplode("results").alias("pos", "r"))
-               .select("provider_ord", "query", (F.col("pos") + 1).cast("int").alias("rank"),
+    page = F.coalesce(F.col("page"), F.lit(0))
+    return (raw.select(prov.alias("provider_ord"), "query", page.alias("page"),
+                       F.posexplode("results").alias("pos", "r"))
+               .select("provider_ord", "query", (F.col("page") * 20 + F.col("pos") + 1).cast("int").alias("rank"),
                        F.col("r.url").alias("url"), F.coalesce(F.col("r.title"), F.lit("")).alias("title"),
                        F.coalesce(F.col("r.description"), F.lit("")).alias("description")))
 

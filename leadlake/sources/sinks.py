@@ -44,10 +44,13 @@ def read_table(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}/v={vs[-1]}")
 
 
-def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """#4: a store snapshot (one JSON document with ``searches``, ``runs``,
-    ``leads`` arrays) -> three typed tables. A missing or unreadable document gives
-    empty tables. Timestamps are ``YYYY-MM-DD HH:MM:SS`` UTC strings."""
+def load_store(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """#4: store snapshot documents (each with ``searches``, ``runs``, ``leads``
+    arrays) -> three typed tables. ``multi_line=True`` reads the application's
+    single pretty-printed document (one task per file, as the format demands);
+    ``False`` reads JSON Lines, one bounded document per line, in parallel. A
+    missing or unreadable document gives empty tables (PERMISSIVE mode drops
+    malformed documents). Timestamps are ``YYYY-MM-DD HH:MM:SS`` UTC strings."""
     from pyspark.sql import types as T
     ts_fields = {"created_at", "started_at", "finished_at", "updated_at"}
 
@@ -67,7 +70,7 @@ def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return empty
-    raw = spark.read.schema(doc).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(doc).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
 
     def ts(c):
         return F.to_timestamp(F.col(c), "yyyy-MM-dd HH:mm:ss")

@@ -130,3 +130,45 @@ SELECT page_id, CAST(score AS BIGINT) AS score,
 from oracle.storesql import Q as _STORE  # noqa: E402
 
 ORACLE.update(_STORE)
+
+# ------------------------------------------------------------------ sources, sinks, streams
+
+from leadlake import constants as _K  # noqa: E402
+from oracle import discsql as _D  # noqa: E402
+from oracle import namesql as _NS  # noqa: E402
+from oracle import storesql as _S  # noqa: E402
+from oracle.sqlkit import lit as _lit  # noqa: E402
+
+ORACLE["read_pages"] = """
+SELECT page_id, url, md5(html) AS html_md5, CAST(length(html) AS BIGINT) AS html_chars FROM pages"""
+
+ORACLE["read_serp"] = f"""{_D.FIX}
+SELECT CAST(provider_ord AS BIGINT) AS provider_ord, query, CAST(rank AS BIGINT) AS rank, url, title,
+  CASE WHEN rank % 5 = 0 THEN '' ELSE description END AS description FROM serp"""
+
+ORACLE["read_places"] = f"""{_D.FIX}
+SELECT query, CAST(page_no AS BIGINT) AS page_no, CAST(pos AS BIGINT) AS pos, name_text, website_uri,
+  national_phone, rating FROM places WHERE page_no < 3"""
+
+ORACLE["load_store"] = f"""{_S.W} {_S.lead_rows('fx_leads')}"""
+
+ORACLE["load_store_searches"] = f"""{_S.WS_} {_S._SROWS} fx_searches"""
+
+ORACLE["save_table"] = f"""{_S.W} SELECT id, domain FROM fx_leads"""
+
+ORACLE["export_leads_csv"] = _S.Q["export_view"]
+
+ORACLE["channel_dim"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"(CAST({i} AS BIGINT), {_lit(c[0])}, {_lit(c[1])}, {_lit(c[2])}, {_lit(c[3])}, {_lit(c[4])}, {_lit(c[5])})"
+    for i, c in enumerate(_K.CHANNELS)) + ") t(channel_ord, id, label, domain, kind, reliability, note)"
+
+ORACLE["exclude_blocked"] = f"""{_D.FIX}, {_D.HITS_HOSTS}
+SELECT DISTINCT host FROM hh WHERE host IS NOT NULL AND NOT {_NS.is_blocked('host')}"""
+
+ORACLE["stream_enrich"] = ORACLE["score_pages"]
+
+ORACLE["stream_new_domains"] = f"""{_D.FIX}, {_D.HITS_HOSTS}
+SELECT DISTINCT host AS domain FROM hh WHERE host IS NOT NULL AND NOT {_NS.is_blocked('host')}
+  AND host NOT IN (SELECT domain FROM known WHERE domain IS NOT NULL)"""
+
+ORACLE["stream_upsert"] = _S.Q["upsert_leads"]
