@@ -52,45 +52,52 @@ def upsert_leads(store: DataFrame, leads: DataFrame, run_id: int, now: str,
     run id and updated_at set; id, status, notes, created_at kept. Insert: next id
     in input order, status ``new``, notes null.
 
+    One full-outer join on domain and one projection (each side shuffled once by
+    domain). Ids for inserted rows come from a ``row_number`` over the new
+    domains only -- a run's leads, not the table -- joined back by domain.
     ``leads`` must have one row per domain; ``order_cols`` fix the insert order."""
     ts = _ts(now)
+    base_id = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    order = [F.col(c) for c in (order_cols or ["domain"])]
+    fresh = leads.join(store.select("domain"), "domain", "left_anti")
+    new_ids = fresh.select(F.col("domain").alias("_nd"),
+                           (F.lit(base_id) + F.row_number().over(W.orderBy(*order))).cast("long").alias("_nid"))
     o = store.alias("o")
     n = leads.alias("n")
-    j = o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer")
+    j = (o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer")
+          .join(new_ids, F.col("n.domain") == F.col("_nd"), "left"))
     old, new = F.col("o.id").isNotNull(), F.col("n.domain").isNotNull()
     outreach = merge_outreach(F.col("o.outreach"), F.col("n.outreach"))
     seo = F.coalesce(F.col("n.seo"), F.col("o.seo"))
     score = F.greatest(F.col("n.score"), F.coalesce(F.col("o.score"), F.lit(0)))
     reasons = F.when(score == F.col("n.score"), F.col("n.score_reasons")) \
                .otherwise(F.coalesce(F.col("o.score_reasons"), F.col("n.score_reasons")))
-    derived = [
-        F.coalesce(seo["opportunity_score"], F.lit(0)).alias("opportunity_score"),
-        F.coalesce(F.size(seo["issues"]), F.lit(0)).alias("issues_count"),
-        F.coalesce(F.size(outreach["emails"]) > 0, F.lit(False)).alias("has_email"),
-    ]
-    upd = j.where(old & new).select(
-        F.col("o.id").alias("id"), F.col("n.name").alias("name"), F.col("o.domain").alias("domain"),
-        F.col("n.website").alias("website"),
-        F.coalesce(F.col("n.description"), F.col("o.description")).alias("description"),
-        F.col("n.query").alias("query"), F.coalesce(F.col("n.channels"), _empty()).alias("channels"),
-        outreach.alias("outreach"), seo.alias("seo"), score.cast("int").alias("score"), *derived,
-        reasons.alias("score_reasons"), F.col("o.status").alias("status"), F.col("o.notes").alias("notes"),
-        F.lit(run_id).cast("long").alias("run_id"), F.col("o.created_at").alias("created_at"),
-        ts.alias("updated_at"))
-    keep = j.where(old & ~new).select(*[F.col("o." + c).alias(c) for c in S.STORED_LEAD.fieldNames()])
-    ins = j.where(new & ~old)
-    base_id = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    order = [F.col("n." + c) for c in (order_cols or ["domain"])]
-    rn = F.row_number().over(W.orderBy(*order))
-    out_ins = ins.select(
-        (F.lit(base_id) + rn).cast("long").alias("id"), F.col("n.name").alias("name"),
-        F.col("n.domain").alias("domain"), F.col("n.website").alias("website"),
-        F.col("n.description").alias("description"), F.col("n.query").alias("query"),
-        F.coalesce(F.col("n.channels"), _empty()).alias("channels"), outreach.alias("outreach"), seo.alias("seo"),
-        score.cast("int").alias("score"), *derived, reasons.alias("score_reasons"),
-        F.lit("new").alias("status"), F.lit(None).cast("string").alias("notes"),
-        F.lit(run_id).cast("long").alias("run_id"), ts.alias("created_at"), ts.alias("updated_at"))
-    return keep.unionByName(upd).unionByName(out_ins)
+    fresh_vals = {
+        "name": F.col("n.name"), "website": F.col("n.website"),
+        "description": F.coalesce(F.col("n.description"), F.col("o.description")),
+        "query": F.col("n.query"), "channels": F.coalesce(F.col("n.channels"), _empty()),
+        "outreach": outreach, "seo": seo, "score": score.cast("int"),
+        "opportunity_score": F.coalesce(seo["opportunity_score"], F.lit(0)),
+        "issues_count": F.coalesce(F.size(seo["issues"]), F.lit(0)),
+        "has_email": F.coalesce(F.size(outreach["emails"]) > 0, F.lit(False)),
+        "score_reasons": reasons, "run_id": F.lit(run_id).cast("long"), "updated_at": ts,
+    }
+    cols = []
+    for c in S.STORED_LEAD.fieldNames():
+        if c == "id":
+            e = F.coalesce(F.col("o.id"), F.col("_nid"))
+        elif c == "domain":
+            e = F.coalesce(F.col("o.domain"), F.col("n.domain"))
+        elif c == "status":
+            e = F.when(old, F.col("o.status")).otherwise(F.lit("new"))
+        elif c == "notes":
+            e = F.col("o.notes")
+        elif c == "created_at":
+            e = F.when(old, F.col("o.created_at")).otherwise(ts)
+        else:
+            e = F.when(new, fresh_vals[c]).otherwise(F.col("o." + c))
+        cols.append(e.alias(c))
+    return j.select(*cols)
 
 
 def known_domains(store: DataFrame) -> DataFrame:

@@ -20,8 +20,17 @@ JOBS: dict = {}
 
 
 def job(name: str):
+    """Register a job; it applies the library's runtime settings to the session it is given."""
     def deco(fn):
-        JOBS[name] = fn
+        import functools
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from leadlake.session import configure, ensure_checkpoint_dir
+            configure(spark)
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        JOBS[name] = run
         return fn
     return deco
 
