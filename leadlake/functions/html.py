@@ -24,7 +24,8 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(t, _STYLE, " ")
     t = F.regexp_replace(t, _TAG, " ")
     t = F.regexp_replace(t, f"{WS}+", " ")
-    return js_trim(t)
+    # every whitespace run is now one U+0020, so trimming spaces is the full trim
+    return F.btrim(t, F.lit(" "))
 
 
 @memo_expr
@@ -46,7 +47,7 @@ def meta_content(html: Column, key: str) -> Column:
     pat = _meta_pattern(key)
     g1 = F.regexp_extract(html, pat, 1)
     g2 = F.regexp_extract(html, pat, 2)
-    return blank_to_null(F.when(g1 != "", g1).otherwise(g2))
+    return blank_to_null(F.coalesce(F.nullif(g1, F.lit("")), g2))
 
 
 @memo_expr
@@ -76,9 +77,17 @@ def extract_links(html: Column, base_parts: Column) -> Column:
 
 
 @memo_expr
-def word_count(text: Column) -> Column:
-    """Number of whitespace-separated tokens; 0 for empty/null text (#55)."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"{NWS}+")), F.lit(0)).cast("int")
+def word_count(text: Column, normalized: bool = False) -> Column:
+    """Number of whitespace-separated tokens; 0 for empty/null text (#55).
+
+    ``normalized=True`` is for text from ``html_to_text`` (single spaces, no
+    leading/trailing space): one literal split, no regex."""
+    if normalized:
+        return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(text, " "))).cast("int")
+    parts = F.split(F.coalesce(text, F.lit("")), f"{WS}+")
+    n = F.size(parts) - F.when(F.element_at(parts, 1) == "", 1).otherwise(0) \
+        - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.greatest(n, F.lit(0)).cast("int")
 
 
 @memo_expr

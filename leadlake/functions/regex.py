@@ -78,9 +78,9 @@ def js_trim(col: Column) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    """Trimmed string, or null when it is null or blank (the ``str()`` helper)."""
-    t = js_trim(col)
-    return F.when(t != "", t)
+    """Trimmed string, or null when it is null or blank (the ``str()`` helper).
+    ``nullif`` evaluates its argument once (no re-evaluation of the trim regex)."""
+    return F.nullif(js_trim(col), F.lit(""))
 
 
 def rlike_js(col: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -54,7 +54,8 @@ def score_lead(seo: Column, outreach: Column, weights: ScoreWeights = ScoreWeigh
              + F.when(outreach.isNotNull(), reach).otherwise(0)
              + F.when(live, w["live_bonus"]).otherwise(0))
     return F.struct(F.least(total, F.lit(w["cap"])).cast("int").alias("score"),
-                    F.array_compact(F.array(seo_reason, reach_reason)).alias("reasons"))
+                    F.flatten(F.array(*[F.when(r.isNotNull(), F.array(r)).otherwise(F.array().cast("array<string>"))
+                                        for r in (seo_reason, reach_reason)])).alias("reasons"))
 
 
 @memo_expr

@@ -43,11 +43,25 @@ def top_hits(hits: DataFrame, depth: Column | int) -> DataFrame:
     return hits.where(F.col("rank") <= d)
 
 
+def prepare_hits(serp: DataFrame) -> DataFrame:
+    """Hits with ``host`` and ``blocked`` derived once per row, then provider
+    fallback. The derived columns are computed before the fallback's shuffle by
+    query, so the exchange carries them and every channel (and both resolution
+    passes) reuses that single exchange instead of re-parsing URLs."""
+    h = serp.withColumn("host", host_of(F.col("url")))
+    h = h.withColumn("blocked", N.is_blocked(F.col("host")))
+    return provider_fallback(h).drop("provider_ord")
+
+
+def _prepared(serp: DataFrame) -> DataFrame:
+    return serp if "blocked" in serp.columns else prepare_hits(serp)
+
+
 def query_hits(planned: DataFrame, serp: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """Planned queries joined to their (fallback-resolved, depth-limited) hits."""
+    """Planned queries joined to their (fallback-resolved, depth-limited) hits.
+    ``serp`` is raw hits or the output of ``prepare_hits``."""
     p = planned if channels is None else planned.where(F.col("channel").isin(*channels))
-    h = provider_fallback(serp).drop("provider_ord")
-    j = p.join(h, "query")
+    j = p.join(_prepared(serp), "query")
     return top_hits(j, F.col("depth"))
 
 
@@ -99,8 +113,8 @@ def _ord(*cols: Column) -> Column:
 def discover_web(planned: DataFrame, serp: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """#38: hit hosts minus blocked/known, first per host by (query, rank), name
     from the title, first ``lim`` per spec."""
-    h = query_hits(planned, serp, ["web"]).withColumn("host", host_of(F.col("url")))
-    h = h.where(F.col("host").isNotNull() & ~N.is_blocked(F.col("host")))
+    h = query_hits(planned, serp, ["web"])
+    h = h.where(F.col("host").isNotNull() & ~F.col("blocked"))
     if known is not None:
         h = exclude_known(h, known, "host")
     first = _first_per(h, ["spec_ord", "channel_ord", "host"], ["query_ord", "rank"],
@@ -118,12 +132,10 @@ def resolve_websites(names: DataFrame, serp: DataFrame) -> DataFrame:
     queries whose host is not blocked, not on the channel's own domain, and
     matches the name. ``names`` needs spec_ord, channel, name, location."""
     rq = resolve_queries(names.select("spec_ord", "channel", "name", "location").distinct())
-    h = provider_fallback(serp).drop("provider_ord")
+    h = _prepared(serp)
     j = rq.join(h, F.col("rquery") == F.col("query")).where(F.col("rank") <= F.col("rdepth"))
-    host = host_of(F.col("url"))
     dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
-    j = j.withColumn("host", host)
-    ok = (F.col("host").isNotNull() & ~N.is_blocked(F.col("host"))
+    ok = (F.col("host").isNotNull() & ~F.col("blocked")
           & ~((F.col("host") == dom) | F.col("host").endswith(F.concat(F.lit("."), dom)))
           & N.domain_matches_name(F.col("host"), F.col("name")))
     return _first_per(j.where(F.coalesce(ok, F.lit(False))), ["spec_ord", "channel", "name"],
@@ -159,7 +171,7 @@ def discover_profile(planned: DataFrame, serp: DataFrame) -> DataFrame:
     pages) -> company names from titles (+ g2 snippet names) -> distinct in order ->
     website resolution -> first name per host -> first ``lim``."""
     chans = [c for c, _, _, kind, *_ in K.CHANNELS if kind == "profile"]
-    h = query_hits(planned, serp, chans).withColumn("rhost", host_of(F.col("url")))
+    h = query_hits(planned, serp, chans).withColumnRenamed("host", "rhost")
     dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
     label = F.coalesce(*[F.when(F.col("channel") == c, F.lit(lb)) for c, lb, *_ in K.CHANNELS])
     on_domain = F.coalesce(F.col("rhost") == dom, F.lit(False))
@@ -193,8 +205,8 @@ def discover_listing(planned: DataFrame, serp: DataFrame) -> DataFrame:
 
 def discover_intent(planned: DataFrame, serp: DataFrame) -> DataFrame:
     """#42: first hit per unblocked host over the intent queries; name from the host."""
-    h = query_hits(planned, serp, ["quora"]).withColumn("host", host_of(F.col("url")))
-    h = h.where(F.col("host").isNotNull() & ~N.is_blocked(F.col("host")))
+    h = query_hits(planned, serp, ["quora"])
+    h = h.where(F.col("host").isNotNull() & ~F.col("blocked"))
     first = _first_per(h, ["spec_ord", "channel_ord", "host"], ["query_ord", "rank"], ["description", "label"])
     return first.select(
         "spec_ord", F.lit("quora").alias("channel"), "channel_ord", _ord(F.col("query_ord"), F.col("rank")).alias("ord"),
@@ -232,9 +244,17 @@ def discover_places(planned: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def discover_channels(planned: DataFrame, serp: DataFrame, places: DataFrame | None,
-                      known: DataFrame | None = None) -> DataFrame:
+                      known: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """#44: union of every channel's candidates. A channel whose plan cannot be
-    built contributes nothing; the others continue."""
+    built contributes nothing; the others continue.
+
+    The prepared hit table feeds six consumers (four channels, two resolution
+    passes) that each prune it differently, so Spark cannot share one exchange.
+    With ``materialize`` it is computed once and checkpointed to the shared
+    checkpoint folder (a reliable checkpoint that also cuts the lineage)."""
+    serp = _prepared(serp)
+    if materialize:
+        serp = serp.checkpoint()
     parts = []
     builders = [
         lambda: discover_web(planned, serp, known),

@@ -53,7 +53,10 @@ def page_signals(pages: DataFrame, *, favicon_source: str = "meta", h1_source: s
     ]
     if h1_source == "html":
         cols.append(H.has_html_h1(html).alias("html_h1"))
-    return base.select(*cols)
+    sig = base.select(*cols)
+    # derived once from the text, referenced several times by the audit
+    return sig.withColumn("words", H.word_count(F.col("text"), normalized=True)) \
+              .withColumn("md_h1", H.has_markdown_h1(F.col("text")))
 
 
 def audit_column(sig_prefix: str = "", requested_url: Column | None = None,
@@ -65,7 +68,7 @@ def audit_column(sig_prefix: str = "", requested_url: Column | None = None,
                      og_description=c("og_description"), og_image=c("og_image"),
                      favicon=c("favicon"), text=c("text"),
                      requested_url=requested_url if requested_url is not None else c("url"),
-                     has_h1=c("html_h1") if h1_source == "html" else None, rules=rules)
+                     has_h1=c("html_h1") if h1_source == "html" else c("md_h1"), words=c("words"), rules=rules)
 
 
 def audit_pages(pages: DataFrame, rules: AuditRules = AuditRules(), **opts) -> DataFrame:
@@ -83,9 +86,10 @@ def page_contacts(sig: DataFrame, social_match: str = "substring") -> DataFrame:
 
 def score_pages(pages: DataFrame, rules: AuditRules = AuditRules(), weights: ScoreWeights = ScoreWeights(),
                 **opts) -> DataFrame:
-    """Flagship: every page audited, contacts extracted, scored, best first.
+    """Flagship: every page audited, contacts extracted, scored.
 
-    One scan, narrow projections only; the single shuffle is the final sort."""
+    One scan and narrow projections only (no shuffle); callers that need the
+    rows best-first sort the (narrow) result."""
     sig = page_contacts(page_signals(pages, **opts))
     outreach = C.outreach_struct(F.col("emails"), F.col("phones"), F.col("socials"), F.lit(None))
     scored = (sig.withColumn("seo", audit_column(rules=rules, h1_source=opts.get("h1_source", "markdown")))
@@ -121,6 +125,6 @@ def scrape_report(pages: DataFrame, social_match: str = "substring", **opts) ->
         "title", "description", "og_title",
         F.col("og_image").isNotNull().alias("has_og_image"),
         F.col("favicon").isNotNull().alias("has_favicon"),
-        H.has_markdown_h1(F.col("text")).alias("has_h1"),
+        F.col("md_h1").alias("has_h1"),
         F.length("text").alias("text_length"),
     )

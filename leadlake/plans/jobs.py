@@ -61,8 +61,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job("score_pages")
 def score_pages(spark, sf_dir):
-    """Flagship: pages -> text/metadata/links -> contacts -> audit -> score, best first."""
-    s = P.score_pages(_pages(spark, sf_dir))
+    """Flagship: pages -> text/metadata/links -> contacts -> audit -> score, best first.
+
+    The narrow scored rows are checkpointed before the global sort, so the range
+    partitioner samples them instead of re-running the regex work."""
+    s = P.score_pages(_pages(spark, sf_dir)).checkpoint()
     return s.select(
         "page_id", "url", big("score").alias("score"),
         big("seo.opportunity_score").alias("opportunity_score"),
@@ -177,7 +180,7 @@ def _fx(spark, sf_dir, name):
     builders = {"specs": FX.specs, "serp": FX.all_serp, "places": FX.places, "home_pages": FX.home_pages,
                 "known": FX.known, "profile_hits": FX.profile_hits, "resolve_hits": FX.resolve_hits,
                 "rich_pages": FX.rich_pages}
-    return FX.materialized(spark, sf_dir, name, builders[name])
+    return spread(FX.materialized(spark, sf_dir, name, builders[name]))
 
 
 def _specs(spark, sf_dir):
@@ -597,7 +600,7 @@ from leadlake.operators import views as V  # noqa: E402
 def _sfx(spark, sf_dir, name):
     builders = {"leads": FX.leads, "new_leads": FX.new_leads, "patches": FX.patches, "delete_ids": FX.delete_ids,
                 "searches": FX.searches, "new_searches": FX.new_searches, "runs": FX.runs}
-    return FX.materialized(spark, sf_dir, name, builders[name])
+    return spread(FX.materialized(spark, sf_dir, name, builders[name]))
 
 
 def tstr(c):
