@@ -95,5 +95,7 @@ def run_search(specs: DataFrame, serp: DataFrame, places: DataFrame | None, page
         first = merged.groupBy("domain").agg(F.min("spec_ord").alias("_s"))
         merged = merged.join(first, (merged.domain == first.domain) & (merged.spec_ord == first._s),
                              "left_semi")
-    capped = D.cap_candidates(merged, specs)
+    # the capped list (<= 150 per spec) feeds enrichment twice (URL semi-join and
+    # main join): checkpoint it so discovery runs once
+    capped = D.cap_candidates(merged, specs).checkpoint()
     return build_leads(capped, pages, enrich_pages)

@@ -528,7 +528,7 @@ def cap_candidates(spark, sf_dir):
 # ---------------------------------------------------------------- enrichment and leads
 
 def _capped(spark, sf_dir):
-    return D.cap_candidates(_merged(spark, sf_dir), _specs(spark, sf_dir))
+    return D.cap_candidates(_merged(spark, sf_dir), _specs(spark, sf_dir)).checkpoint()
 
 
 def _lead_out(df: DataFrame) -> DataFrame:
@@ -950,7 +950,7 @@ def stream_enrich_job(spark, sf_dir):
     base = _scratch(spark, "stream-enrich")
     src = base + "/in"
     read_pages(spark, f"{sf_dir}/pages.parquet").repartition(4).write.parquet(src)
-    st = spark.readStream.schema(SC.PAGES).option("maxFilesPerTrigger", 1).parquet(src)
+    st = spark.readStream.schema(SC.PAGES).option("maxFilesPerTrigger", 2).parquet(src)
     out = SS.stream_enrich(st)
     q = (out.writeStream.format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
