@@ -11,7 +11,9 @@ def plan(df):
 
 
 def test_flagship_prunes_columns_and_has_no_python(spark, sf_small):
-    p = plan(J.JOBS["score_pages"](spark, sf_small))
+    from leadlake.operators.pages import score_pages
+    from leadlake.sources.readers import read_pages
+    p = plan(score_pages(read_pages(spark, f"{sf_small}/pages.parquet")))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in p
 
