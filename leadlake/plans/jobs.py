@@ -195,11 +195,6 @@ def _serp(spark, sf_dir):
     return _fx(spark, sf_dir, "serp")
 
 
-def _ords(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c) if c != "ord" else F.col("ord.o1").alias("o1") for c in df.columns],
-                     *([F.col("ord.o2").alias("o2"), F.col("ord.o3").alias("o3")] if "ord" in df.columns else []))
-
-
 # ---------------------------------------------------------------- planning
 
 @job("normalize_specs")
@@ -345,7 +340,6 @@ def website_contact_url(spark, sf_dir):
 @job("domain_matches_name")
 def domain_matches_name(spark, sf_dir):
     r = _fx(spark, sf_dir, "resolve_hits")
-    x = r.select(F.regexp_extract("query", r'^"?(.*?)"? ?(?:\w.*?)?(?: official)? website$', 1).alias("name"), "url")
     x = r.select(F.regexp_extract("query", r'^"([^"]+)"', 1).alias("name"), "url").where(F.col("name") != "")
     x = x.select("name", U.host_of(F.col("url")).alias("host")).where(F.col("host").isNotNull()).distinct()
     return x.select("name", "host", N.domain_matches_name(F.col("host"), F.col("name")).alias("matches"))
@@ -466,7 +460,6 @@ def resolve_websites(spark, sf_dir):
     qs = _planned(spark, sf_dir).select("query", "spec_ord", "channel", "location")
     n = names.join(qs, "query").where(F.col("name").isNotNull()).select("spec_ord", "channel", "name", "location")
     r = D.resolve_websites(n, _serp(spark, sf_dir))
-    del pl
     return r.select(big("spec_ord").alias("spec_ord"), "channel", "name", "host")
 
 
@@ -710,8 +703,8 @@ def delete_searches(spark, sf_dir):
 @job("list_searches")
 def list_searches(spark, sf_dir):
     s = ST.list_searches(_sfx(spark, sf_dir, "searches"), active_only=True)
-    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
-        F.col("created_at").desc(), F.col("id")))
+    from pyspark.sql import Window as Wn
+    w = F.row_number().over(Wn.orderBy(F.col("created_at").desc(), F.col("id")))
     return s.select(big(w).alias("pos"), "id")
 
 
