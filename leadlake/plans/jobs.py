@@ -703,9 +703,7 @@ def delete_searches(spark, sf_dir):
 @job("list_searches")
 def list_searches(spark, sf_dir):
     s = ST.list_searches(_sfx(spark, sf_dir, "searches"), active_only=True)
-    from pyspark.sql import Window as Wn
-    w = F.row_number().over(Wn.orderBy(F.col("created_at").desc(), F.col("id")))
-    return s.select(big(w).alias("pos"), "id")
+    return s.select("id", tstr("created_at").alias("created_at"))
 
 
 @job("start_finish_run")
@@ -775,23 +773,17 @@ def filter_date_range(spark, sf_dir):
     return _ids(_leads(spark, sf_dir).where(V.filter_date_range("1996-01-01", "1996-12-31")))
 
 
-def _positions(df, sort):
-    from pyspark.sql import Window as W
-    w = F.row_number().over(W.orderBy(*V.sort_columns(sort)))
-    return df.select(big(w).alias("pos"), "id")
-
-
 @job("list_leads")
 def list_leads(spark, sf_dir):
+    """Filtered and sorted by opportunity (a distributed range sort, no global window)."""
     f = V.LeadFilter(min_score=20, has_email=False, channel="web", sort="opportunity")
-    l = _leads(spark, sf_dir).where(V.lead_predicate(f, FX.NOW))
-    return _positions(l, "opportunity")
+    return V.list_leads(_leads(spark, sf_dir), f, FX.NOW).select("id", big("opportunity_score").alias("opportunity_score"))
 
 
 @job("list_leads_recent")
 def list_leads_recent(spark, sf_dir):
     f = V.LeadFilter(status="new", sort="recent")
-    return _positions(_leads(spark, sf_dir).where(V.lead_predicate(f, FX.NOW)), "recent")
+    return V.list_leads(_leads(spark, sf_dir), f, FX.NOW).select("id", tstr("updated_at").alias("updated_at"))
 
 
 @job("list_leads_name")

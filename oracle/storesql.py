@@ -267,7 +267,7 @@ SELECT id, CASE WHEN id % 3 = 0 THEN false ELSE active END AS active FROM fx_sea
 Q["delete_searches"] = f"""{WS_} SELECT id FROM fx_searches WHERE id % 4 <> 1"""
 
 Q["list_searches"] = f"""{WS_}
-SELECT CAST(row_number() OVER (ORDER BY created_at DESC, id) AS BIGINT) AS pos, id FROM fx_searches WHERE active"""
+SELECT id, {tstr('created_at')} AS created_at FROM fx_searches WHERE active ORDER BY created_at DESC, id"""
 
 Q["start_finish_run"] = f"""{W},
 r AS (SELECT * FROM fx_runs UNION ALL
@@ -313,11 +313,11 @@ Q["filter_date_range"] = f"""{W} SELECT id FROM fx_leads
 WHERE strftime(created_at, '%Y-%m-%d') >= '1996-01-01' AND strftime(created_at, '%Y-%m-%d') <= '1996-12-31'"""
 
 Q["list_leads"] = f"""{W}
-SELECT CAST(row_number() OVER (ORDER BY opportunity_score DESC, id) AS BIGINT) AS pos, id
-FROM fx_leads WHERE score >= 20 AND list_contains(channels, 'web')"""
+SELECT id, CAST(opportunity_score AS BIGINT) AS opportunity_score
+FROM fx_leads WHERE score >= 20 AND list_contains(channels, 'web') ORDER BY opportunity_score DESC, id"""
 
 Q["list_leads_recent"] = f"""{W}
-SELECT CAST(row_number() OVER (ORDER BY updated_at DESC, id) AS BIGINT) AS pos, id FROM fx_leads WHERE status = 'new'"""
+SELECT id, {tstr('updated_at')} AS updated_at FROM fx_leads WHERE status = 'new' ORDER BY updated_at DESC, id"""
 
 Q["list_leads_name"] = f"""{W}
 SELECT id, name FROM fx_leads WHERE (contains(lower(name), 'c') OR contains(lower(domain), 'c')) AND {period('year')}"""
