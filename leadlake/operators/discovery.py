@@ -152,18 +152,19 @@ def _resolved_candidates(named: DataFrame, serp: DataFrame, limit: bool) -> Data
         rn = F.row_number().over(W.partitionBy("spec_ord", "channel").orderBy("name_ord"))
         first = first.withColumn("_rn", rn).where((F.col("_rn") <= MAX_LIM) & (F.col("_rn") <= F.col("lim")))
     return first.select(
-        "spec_ord", "channel", "channel_ord", _ord(F.col("name_ord")).alias("ord"), "name",
+        "spec_ord", "channel", "channel_ord", F.col("name_ord").alias("ord"), "name",
         website_of(F.col("host")).alias("website"), F.col("host").alias("domain"),
         F.lit(None).cast("string").alias("description"), F.col("label").alias("query"),
         F.lit(None).cast("string").alias("phone"))
 
 
 def _number_names(df: DataFrame) -> DataFrame:
-    """Distinct names per (spec, channel) in first-seen order -> dense ``name_ord``."""
+    """Distinct names per (spec, channel) with the ordinals of their first
+    occurrence as ``name_ord`` = struct(k1, k2 * 10^6 + k3, k4) -- a total order,
+    so no window numbering all names of a spec is needed."""
     first = _first_per(df, ["spec_ord", "channel", "channel_ord", "name"], ["k1", "k2", "k3", "k4"],
                        ["location", "label", "lim"])
-    o = F.row_number().over(W.partitionBy("spec_ord", "channel").orderBy("k1", "k2", "k3", "k4"))
-    return first.withColumn("name_ord", o)
+    return first.withColumn("name_ord", _ord(F.col("k1"), F.col("k2") * 1000000 + F.col("k3"), F.col("k4")))
 
 
 def discover_profile(planned: DataFrame, serp: DataFrame) -> DataFrame:

@@ -244,11 +244,11 @@ def resolved(names_cte: str, limit: bool, out: str) -> str:
       AND {NS.domain_matches('host', 'name')})
   WHERE rr = 1),
 {out} AS (
-  SELECT spec_ord, channel, channel_ord, name_ord AS o1, 0 AS o2, 0 AS o3, name, 'https://' || host AS website,
+  SELECT spec_ord, channel, channel_ord, no1 AS o1, no2 AS o2, no3 AS o3, name, 'https://' || host AS website,
     host AS domain, CAST(NULL AS VARCHAR) AS description, label AS query, CAST(NULL AS VARCHAR) AS phone
   FROM (
-    SELECT *, row_number() OVER (PARTITION BY spec_ord, channel ORDER BY name_ord) AS rn FROM (
-      SELECT n.*, r.host, row_number() OVER (PARTITION BY n.spec_ord, n.channel, n.channel_ord, r.host ORDER BY n.name_ord) AS hr
+    SELECT *, row_number() OVER (PARTITION BY spec_ord, channel ORDER BY no1, no2, no3) AS rn FROM (
+      SELECT n.*, r.host, row_number() OVER (PARTITION BY n.spec_ord, n.channel, n.channel_ord, r.host ORDER BY n.no1, n.no2, n.no3) AS hr
       FROM {names_cte} n JOIN {out}_res r USING (spec_ord, channel, name))
     WHERE hr = 1)
   {lim})"""
@@ -257,7 +257,7 @@ def resolved(names_cte: str, limit: bool, out: str) -> str:
 def numbered(src: str) -> str:
     """src has spec_ord, channel, channel_ord, location, label, lim, name, k1..k4."""
     return f"""SELECT spec_ord, channel, channel_ord, name, location, label, lim,
-    row_number() OVER (PARTITION BY spec_ord, channel ORDER BY k1, k2, k3, k4) AS name_ord
+    CAST(k1 AS BIGINT) AS no1, CAST(k2 AS BIGINT) * 1000000 + k3 AS no2, CAST(k4 AS BIGINT) AS no3
   FROM (SELECT *, row_number() OVER (PARTITION BY spec_ord, channel, channel_ord, name ORDER BY k1, k2, k3, k4) AS fr
         FROM ({src})) WHERE fr = 1"""
 
@@ -300,7 +300,7 @@ SELECT {CAND_OUT} FROM {tbl}"""
 
 Q["resolve_websites"] = f"""{FIX},
 rn0 AS (SELECT DISTINCT p.spec_ord, p.channel, p.location, {NS.company_name('s.title')} AS name, 0 AS channel_ord,
-               0 AS name_ord, '' AS label, 0 AS lim
+               0 AS no1, 0 AS no2, 0 AS no3, '' AS label, 0 AS lim
         FROM serp_profile s JOIN (SELECT DISTINCT query, spec_ord, channel, location FROM planned) p USING (query)),
 rn1 AS (SELECT * FROM rn0 WHERE name IS NOT NULL),
 {resolved('rn1', False, 'rv')}
