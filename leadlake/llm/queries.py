@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from leadlake.llm import line_dedup, mixing
+from leadlake.llm import decontaminate, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op6_quality": quality.op6_quality,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
