@@ -17,9 +17,10 @@ from leadlake.llm.work import table
 
 BITS = 18            # hashed terms: 2^18 columns
 FACTORS = 4          # length of a term's interaction vector
-SAMPLE_ROWS = 20_000  # labelled rows the model is fitted on, the first by hash of doc_id
-L1, L2 = 0.3, 1e-3
-STEPS, STEPS_PAIRS = 150, 60
+PREFIX = 6           # bytes of a longer word that are a term of their own
+SAMPLE_ROWS = 10_000  # labelled rows the model is fitted on, the first by hash of doc_id
+L1, L2 = 3.0, 1e-3
+STEPS, STEPS_PAIRS = 200, 60
 SEED = 7
 FOLDS, HELD_OUT = 5, 0
 
@@ -27,9 +28,12 @@ _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def hashed_terms(text: str | None) -> np.ndarray:
-    """Columns of the distinct terms: words of ASCII letters, digits and other characters, A-Z
-    lower-cased, by CRC-32."""
+    """Columns of the distinct terms by CRC-32, ascending.
+
+    Terms are the words of ASCII letters, digits and other characters, A-Z lower-cased, and the
+    first bytes of longer words, which join the forms of a word that the sample hasn't seen."""
     found = set(_TERM.findall((text or "").encode().lower()))
+    found |= {b"^" + t[:PREFIX] for t in found if len(t) > PREFIX}
     return np.unique(np.fromiter((zlib.crc32(t) for t in found), np.int64, len(found)) & ((1 << BITS) - 1))
 
 
@@ -76,14 +80,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, f
     none = np.zeros(0, np.int64)
     if not n or positive in (0.0, float(n)):
         return Machine(float(prior), none, np.zeros(0), np.zeros((0, factors)))
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    cols, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    often = seen[at] >= 2
+    at = np.concatenate(rows).astype(np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    often = np.bincount(at, minlength=1 << BITS)[at] >= 2
     at, doc = at[often], doc[often]
-    bias, w, grad_sum, bias_sum = float(prior), np.zeros(len(cols)), np.full(len(cols), 1e-6), 1e-6
+    bias, bias_sum = float(prior), 1e-6
+    w, grad_sum = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     for _ in range(steps):
         err = 1 / (1 + np.exp(-np.clip(bias + np.bincount(doc, w[at], n), -30, 30))) - y
-        g = np.bincount(at, err[doc], len(cols))
+        g = np.bincount(at, err[doc], len(w))
         grad_sum += g * g
         rate = 0.3 / np.sqrt(grad_sum)
         moved = w - rate * g
@@ -92,7 +97,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, f
         bias_sum += g0 * g0
         bias -= 0.3 / np.sqrt(bias_sum) * g0
     keep = np.flatnonzero(w)
-    place = np.full(len(cols), -1)
+    place = np.full(len(w), -1, np.int32)
     place[keep] = np.arange(len(keep))
     live = place[at] >= 0
     at, doc = place[at[live]], doc[live]
@@ -113,7 +118,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, f
         g0 = err.sum()
         bias_sum += g0 * g0
         bias -= 0.05 / np.sqrt(bias_sum) * g0
-    return Machine(float(bias), cols[keep], w, v)
+    return Machine(float(bias), keep, w, v)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT,
@@ -134,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HE
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
             .select("doc_id", "y", "text").mapInPandas(run, "doc_id long, y int, cols binary").toPandas())
     rows = rows.sort_values(["doc_id", "cols"])  # the same order, and so the same sums, in every run
-    return fit([np.frombuffer(b, np.int32).astype(np.int64) for b in rows["cols"]],
+    return fit([np.frombuffer(b, np.int32) for b in rows["cols"]],
                rows["y"].to_numpy(float), **options)
 
 
