@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.llm import decontaminate, line_dedup, mixing, quality, toxicity
+from leadlake.llm import decontaminate, fingerprint, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_mixing": mixing.op9_mixing,
+    "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
 ORACLE = {
