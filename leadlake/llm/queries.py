@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leadlake.llm import decontaminate, fingerprint, line_dedup, mixing, quality, token_files, toxicity
+from leadlake.llm import decontaminate, fingerprint, line_dedup, mixing, quality, shingle_join, token_files, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_shingle_join": shingle_join.op4_shingle_join,
     "op6_quality": quality.op6_quality,
     "op7_token_files": token_files.op7_token_files,
     "op8_decontaminate": decontaminate.op8_decontaminate,
