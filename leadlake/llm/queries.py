@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from leadlake.llm import decontaminate, fingerprint, line_dedup, mixing, quality, shingle_join, token_files, toxicity
+from leadlake.llm import (
+    decontaminate, fingerprint, line_dedup, mixing, pseudonyms, quality, shingle_join, token_files, toxicity, wrapper,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_extract": wrapper.op3_extract,
     "op4_shingle_join": shingle_join.op4_shingle_join,
+    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_quality": quality.op6_quality,
     "op7_token_files": token_files.op7_token_files,
     "op8_decontaminate": decontaminate.op8_decontaminate,
