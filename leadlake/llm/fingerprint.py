@@ -34,7 +34,7 @@ def digests(text: bytes | None) -> np.ndarray:
         if piece:
             k = seen.get(piece, 0)
             seen[piece] = k + 1
-            out.append(xxhash.xxh3_64_intdigest(piece, k))
+            out.append(xxhash.xxh3_64_intdigest(piece + b"\n%d" % k if k else piece))
     return np.array(out, np.uint64)
 
 
@@ -112,7 +112,9 @@ def fingerprints(rows: list[np.ndarray], cells: int = CELLS) -> list[str]:
 def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
     """Shared pieces over all pieces of each pair of versions, from what peeling the difference
     of their sketches recovers. Pairs that can't be peeled get sketches ``GROW`` times larger
-    until they can. Two versions without pieces are alike (1)."""
+    until they can; two pieces of one version with the same 64-bit digest could never be, so a pair
+    with far more cells than pieces is compared by its sorted digests. Two versions without pieces
+    are alike (1)."""
     out = np.ones(len(a))
     todo = np.arange(len(a))
     while len(todo):
@@ -126,6 +128,12 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np
         empty = done & (n_a + only_b == 0)
         out[todo[empty]] = 1.0
         todo, cells = todo[~done], cells * GROW
+        for i in todo[[cells > 64 + 8 * GROW * (len(a[i]) + len(b[i])) for i in todo]] if len(todo) else todo:
+            (x, n_x), (y, n_y) = (np.unique(side[i], return_counts=True) for side in (a, b))
+            _, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            both = int(np.minimum(n_x[at_x], n_y[at_y]).sum())
+            out[i] = both / (len(a[i]) + len(b[i]) - both)
+        todo = todo[[cells <= 64 + 8 * GROW * (len(a[i]) + len(b[i])) for i in todo]] if len(todo) else todo
     return out
 
 
