@@ -80,14 +80,14 @@ class Sketches:
             pure = _check(keys) == np.where(sign > 0, self.check[look], np.uint64(0) - self.check[look])
             look, sign, keys = look[pure], sign[pure], keys[pure]
             row = look // width
-            _, first = np.unique(np.stack([row.astype(np.uint64), keys]), axis=1, return_index=True)
+            _, first = np.unique(keys + _mix(row.astype(np.uint64), 50), return_index=True)  # alone in several cells
             row, keys, sign = row[first], keys[first], sign[first]
             plus += np.bincount(row[sign > 0], minlength=self.n)
             minus += np.bincount(row[sign < 0], minlength=self.n)
             self.add(row, keys, -sign)
-            look = np.unique(np.concatenate([
+            look = np.concatenate([
                 (row * HASHES + j) * self.cells + (_mix(keys, j + 1) % np.uint64(self.cells)).astype(np.int64)
-                for j in range(HASHES)])) if len(row) else look[:0]
+                for j in range(HASHES)])
         whole = (self.count == 0) & (self.key == 0) & (self.check == 0)
         return whole.reshape(self.n, width).all(axis=1), plus, minus
 
