@@ -87,11 +87,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken.
 
     Rows without words are taken as often as their draw says, so an empty source goes."""
-    cols = docs.columns
-    plan = mix(docs, **options).where(F.col("repeats") > 0).select(
-        F.col("doc_id").alias("_mix_id"), F.col("repeats").alias("_mix_n")).groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n"))
-    return (docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"]))
-            .withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*cols))
+    plan = mix(docs, **options).where(F.col("repeats") > 0).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("repeats").alias("n"))
+    whole = docs.select(F.struct("*").alias("row"))
+    return (whole.join(plan, F.col("row.doc_id").eqNullSafe(F.col("mix_id")))
+            .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*"))
 
 
 def op9_mixing(spark, sf_dir):
