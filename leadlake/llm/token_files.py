@@ -14,12 +14,12 @@ length of a block is the sum of ``lengths``; unused bits of the last control byt
 
 from __future__ import annotations
 
+import re
 import sys
 import types
-import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from leadlake.session import ensure_checkpoint_dir
 END_ID = 2            # appended to each document
 BLOCK_DOCS = 512      # documents of a block at most
 BLOCK_IDS = 1 << 20   # a block ends after the document that reaches so many ids
-CACHED_WORDS = 400_000  # words whose ids a Python worker remembers before it starts anew
+CACHED_WORDS = 1_000_000  # words whose ids a Python worker remembers before it starts anew
 ROWS = 256            # documents that are encoded together
 
 # --- variable-length coding -------------------------------------------------------------
@@ -72,12 +72,21 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --- encoding ---------------------------------------------------------------------------
 
+# Text of ASCII without the apostrophe and of the letters of Latin-1 is cut where the tokenizer cuts
+# it: words, single digits and runs of marks. White space is that of ASCII.
+_SIMPLE = re.compile(r"[ \t-\r!-&(-~À-ÖØ-öø-ÿ]*\Z")
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+
+
 class Encoder:
     """Ids of texts under a tokenizer that never joins pieces across ASCII white space.
 
-    Such a tokenizer gives the ids of a text as those of its chunks one after another, so each
-    distinct chunk goes through the library once and is then looked up. Chunks of letters are
-    sent many at a time, separated by blanks, and cut after the tokens that end a word."""
+    Such a tokenizer gives the ids of a text as those of its pieces one after another, so each
+    distinct piece goes through the library once and is then looked up. Pieces are words, digits
+    and runs of marks where the text is simple enough to tell (see ``_SIMPLE``), and else what
+    stands between white space. Words are sent many at a time, separated by blanks, and cut after
+    the tokens that end a word."""
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer
@@ -85,51 +94,47 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _letters(s: str) -> bool:
-        return s.isalpha() and (s.isascii() or unicodedata.normalize("NFC", s).lower().isalpha())
-
-    def _plain(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: Iterable[bytes]) -> None:
-        words: dict[str, None] = {}
-        joined: list[tuple[bytes, str, str]] = []
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            if self._letters(s):
-                words[s] = None
-            elif s[-1] in ".,;:!?" and self._letters(s[:-1]):
-                words[s[:-1]] = None
-                joined.append((c, s[:-1], s[-1]))
-            else:
-                self.known[c] = self._plain(s)
-        new = [s for s in words if s.encode() not in self.known]
-        for at in range(0, len(new), 2000):
-            some = new[at:at + 2000]
+        # strings that are one token wherever they stand, whatever their case there
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def _pieces(self, text: bytes) -> list[str]:
+        low = text.lower()  # A-Z only; the tokenizer lower-cases too
+        if any(t in low for t in self.special):
+            return [c.decode("utf-8", "replace") for c in text.split()]
+        whole = low.decode("utf-8", "replace")
+        if _SIMPLE.match(whole):
+            return _PIECE.findall(whole)
+        out: list[str] = []
+        for chunk in low.split():
+            c = chunk.decode("utf-8", "replace")
+            out += _PIECE.findall(c) if _SIMPLE.match(c) else (c,)
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        words = [p for p in pieces if _WORD.match(p)]
+        odd = [p for p in pieces if not _WORD.match(p)]
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                for s, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    self.known[s.encode()] = x.tobytes()
+                for p, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
+                    self.known[p] = x.tobytes()
             else:
-                for s in some:
-                    self.known[s.encode()] = self._plain(s)
-        for c, s, mark in joined:
-            m = mark.encode()
-            if m not in self.known:
-                self.known[m] = self._plain(mark)
-            self.known[c] = self.known[s.encode()] + self.known[m]
+                odd += some
+        if odd:
+            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            for p, x in zip(odd, found, strict=True):
+                self.known[p] = np.array(x.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        chunks = [t.split() for t in texts]  # bytes.split: ASCII white space
-        self._learn(set().union(*chunks) - self.known.keys())
+        pieces = [self._pieces(t) for t in texts]
+        self._learn(set().union(*pieces) - self.known.keys())
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), "<u4") for c in chunks]
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
 
 
 def encoder(description: str) -> Encoder:
