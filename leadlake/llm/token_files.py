@@ -19,6 +19,7 @@ import sys
 import types
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from leadlake.session import ensure_checkpoint_dir
 END_ID = 2            # appended to each document
 BLOCK_DOCS = 512      # documents of a block at most
 BLOCK_IDS = 1 << 20   # a block ends after the document that reaches so many ids
-CACHED_WORDS = 1_000_000  # words whose ids a Python worker remembers before it starts anew
+CACHED_PIECES = 700_000  # pieces, and chunks, whose ids a Python worker remembers
+CACHED_CHUNKS = 500_000  # before it starts anew
 ROWS = 256            # documents that are encoded together
 
 # --- variable-length coding -------------------------------------------------------------
@@ -72,9 +74,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --- encoding ---------------------------------------------------------------------------
 
-# Text of ASCII without the apostrophe and of the letters of Latin-1 is cut where the tokenizer cuts
-# it: words, single digits and runs of marks. White space is that of ASCII.
-_SIMPLE = re.compile(r"[ \t-\r!-&(-~À-ÖØ-öø-ÿ]*\Z")
+# A chunk of ASCII without the apostrophe and of the letters of Latin-1 is cut where the tokenizer
+# cuts it: words, single digits and runs of marks.
+_SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*\Z")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
@@ -82,11 +84,11 @@ _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 class Encoder:
     """Ids of texts under a tokenizer that never joins pieces across ASCII white space.
 
-    Such a tokenizer gives the ids of a text as those of its pieces one after another, so each
-    distinct piece goes through the library once and is then looked up. Pieces are words, digits
-    and runs of marks where the text is simple enough to tell (see ``_SIMPLE``), and else what
-    stands between white space. Words are sent many at a time, separated by blanks, and cut after
-    the tokens that end a word."""
+    Such a tokenizer gives the ids of a text as those of its chunks one after another, and those of
+    a simple chunk (see ``_SIMPLE``) as those of its pieces; any other chunk is one piece. So each
+    distinct piece goes through the library once, chunks are put together from pieces, and both are
+    remembered. Words are sent many at a time, separated by blanks, and cut after the tokens that
+    end a word."""
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer
@@ -96,20 +98,15 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         # strings that are one token wherever they stand, whatever their case there
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
 
-    def _pieces(self, text: bytes) -> list[str]:
-        low = text.lower()  # A-Z only; the tokenizer lower-cases too
+    def _cut(self, chunk: bytes) -> list[str]:
+        low = chunk.lower()  # A-Z only; the tokenizer lower-cases too
         if any(t in low for t in self.special):
-            return [c.decode("utf-8", "replace") for c in text.split()]
-        whole = low.decode("utf-8", "replace")
-        if _SIMPLE.match(whole):
-            return _PIECE.findall(whole)
-        out: list[str] = []
-        for chunk in low.split():
-            c = chunk.decode("utf-8", "replace")
-            out += _PIECE.findall(c) if _SIMPLE.match(c) else (c,)
-        return out
+            return [chunk.decode("utf-8", "replace")]
+        c = low.decode("utf-8", "replace")
+        return _PIECE.findall(c) if _SIMPLE.match(c) else [c]
 
     def _learn(self, pieces: set[str]) -> None:
         words = [p for p in pieces if _WORD.match(p)]
@@ -120,21 +117,35 @@ class Encoder:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 for p, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    self.known[p] = x.tobytes()
+                    self.pieces[p] = x.tobytes()
             else:
                 odd += some
         if odd:
             found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
             for p, x in zip(odd, found, strict=True):
-                self.known[p] = np.array(x.ids, "<u4").tobytes()
+                self.pieces[p] = np.array(x.ids, "<u4").tobytes()
+
+    def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk as little-endian 32-bit integers."""
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        cuts = [self._cut(c) for c in chunks]
+        self._learn(set().union(*cuts) - self.pieces.keys())
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, c)) for c in cuts]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        pieces = [self._pieces(t) for t in texts]
-        self._learn(set().union(*pieces) - self.known.keys())
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks.clear()
+        known, chunks = self.chunks, [t.split() for t in texts]  # bytes.split: ASCII white space
+        found = [list(map(known.get, c)) for c in chunks]
+        missing = [k for k, f in enumerate(found) if None in f]
+        if missing:
+            new = list({c for k in missing for c, f in zip(chunks[k], found[k], strict=True) if f is None})
+            known.update(zip(new, self.of_chunks(new), strict=True))
+            for k in missing:
+                found[k] = list(map(known.get, chunks[k]))
+        return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
 
 def encoder(description: str) -> Encoder:
@@ -160,15 +171,32 @@ def id_counts(docs: DataFrame, description: str, end_id: int = END_ID) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(description)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(shared.value), np.zeros(0, np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                ids = np.concatenate([x for _, x in _encoded(batch.slice(at, ROWS), enc, end_id)])
-                n = np.bincount(ids, minlength=len(total))
+        enc, total, seen, rows = encoder(shared.value), np.zeros(0, np.int64), Counter(), 0
+
+        def add(total: np.ndarray) -> np.ndarray:
+            """The counts with those of the chunks seen, of which each is encoded once."""
+            chunks = list(seen)
+            for at in range(0, len(chunks), 50_000):
+                some = chunks[at:at + 50_000]
+                each = enc.of_chunks(some)
+                times = np.repeat([seen[c] for c in some], [len(x) // 4 for x in each])
+                n = np.bincount(np.frombuffer(b"".join(each), "<u4"), times, len(total)).astype(np.int64)
                 n[:len(total)] += total
                 total = n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+            seen.clear()
+            return total
+
+        for batch in batches:
+            rows += len(batch)
+            for text in batch.column("text"):
+                seen.update((text.as_py() or b"").split())
+                if len(seen) > CACHED_CHUNKS:
+                    total = add(total)
+        total = add(total)
+        total = np.concatenate([total, np.zeros(max(0, end_id + 1 - len(total)), np.int64)])
+        total[end_id] += rows
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
     return (docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")))
