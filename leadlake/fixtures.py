@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from leadlake import constants as K
 
 
+FILES = 16  # files of a fixture: the base tables are single files of one row group
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -36,7 +39,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str =
     configure(spark)
     path = work_dir(spark, f"fixtures/{_stamp(sf_dir)}/{name}")
     if not table_exists(spark, path):
-        publish_table(build(spark, sf_dir), path, fmt)
+        publish_table(build(spark, sf_dir).repartition(FILES), path, fmt)
     return spark.read.parquet(path) if fmt == "parquet" else None
 
 
@@ -113,12 +116,11 @@ def slug_of(brand: Column) -> Column:
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fx_specs``: market segment x the first four nations, with messy niches,
+    """``fx_specs``: market segment x nation, with messy niches,
     limits and channel lists so every normalisation branch is hit."""
     cust = table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    pairs = (cust.where(F.col("c_nationkey") < 4)
-                 .select(F.lower("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("n_nationkey"))
+    pairs = (cust.select(F.lower("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("n_nationkey"))
                  .distinct().join(nat, "n_nationkey"))
     from pyspark.sql import Window as W
     o = F.row_number().over(W.orderBy("seg", "n_nationkey")) - 1
@@ -301,17 +303,19 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def home_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_home_pages`` + ``fx_contact_pages``: per host, the lowest page is the
-    home page (404 / failed fetch for some), the second lowest is ``/contact``."""
+    home page (404 / failed fetch for some), the second lowest is ``/contact``, the
+    rest are sub-pages no candidate needs."""
     from pyspark.sql import Window as W
     from leadlake.functions.urls import host_of
     p = table(spark, sf_dir, "pages").select("page_id", "html", host_of(F.col("url")).alias("host"))
     r = F.row_number().over(W.partitionBy("host").orderBy("page_id"))
-    p = p.withColumn("r", r).where(F.col("r") <= 2)
+    p = p.withColumn("r", r)
     pid = F.col("page_id")
     status = (F.when(F.col("r") == 2, F.lit(200)).when(pid % 17 == 0, F.lit(404))
               .when(pid % 19 == 0, F.lit(None)).otherwise(F.lit(200))).cast("int")
     url = F.when(F.col("r") == 1, F.concat(F.lit("https://"), F.col("host"))) \
-           .otherwise(F.concat(F.lit("https://"), F.col("host"), F.lit("/contact")))
+           .when(F.col("r") == 2, F.concat(F.lit("https://"), F.col("host"), F.lit("/contact"))) \
+           .otherwise(F.concat(F.lit("https://"), F.col("host"), F.lit("/p"), F.col("r").cast("string")))
     return p.select(url.alias("url"), status.alias("status_code"), "html")
 
 
@@ -536,10 +540,11 @@ def places_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lead store as JSON Lines documents of at most 500 leads each (the
     searches and runs ride in document 0), in the application's field names."""
-    from leadlake.sources.sinks import _LEAD_JSON_NAMES
+    from leadlake.sources import schemas as S
+    from leadlake.sources.sinks import _LEAD_JSON_NAMES, _json_type
     ts = {"created_at", "updated_at", "started_at", "finished_at"}
     l = materialized(spark, sf_dir, "leads", leads)
-    item = F.struct(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c in ts else F.col(c)).alias(n)
+    item = F.struct(*[(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c in ts else F.col(c).cast(_json_type(S.STORED_LEAD[c].dataType))).alias(n)
                       for n, c in _LEAD_JSON_NAMES])
     docs = l.groupBy(F.floor(F.col("id") / 500).alias("doc")).agg(F.collect_list(item).alias("leads"))
     s = materialized(spark, sf_dir, "searches", searches)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
 from leadlake import constants as K
 from leadlake.functions.regex import clean_distinct, js_regex
@@ -14,7 +13,6 @@ EMAIL_RE = js_regex(K.EMAIL_PATTERN)
 PHONE_RE = js_regex(K.PHONE_PATTERN)
 
 
-@memo_expr
 def extract_emails(text: Column) -> Column:
     """Email-pattern matches, trimmed, distinct in first-seen order (case-sensitive) (#52)."""
     return clean_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL_RE), 0))
@@ -24,7 +22,6 @@ def digits(col: Column) -> Column:
     return F.regexp_replace(col, r"[^0-9]", "")
 
 
-@memo_expr
 def extract_phones(text: Column) -> Column:
     """North-American phone matches with at least 10 digits, distinct in order (#53)."""
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE_RE), 0)
@@ -46,7 +43,6 @@ def is_social(link: Column, match: str = "substring") -> Column:
     return out
 
 
-@memo_expr
 def extract_socials(links: Column, match: str = "substring") -> Column:
     """External links on a social network, distinct in order (#54)."""
     return clean_distinct(F.filter(F.coalesce(links, F.array().cast("array<string>")),
@@ -64,7 +60,6 @@ def outreach_struct(emails: Column, phones: Column, socials: Column, contact_url
                     (people if people is not None else empty_people()).alias("people"))
 
 
-@memo_expr
 def fold_phone(outreach: Column, phone: Column) -> Column:
     """Add a discovery-time phone unless a phone with the same digits exists;
     creates an empty outreach when there was none (#61)."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
 from leadlake.functions.regex import WS, NWS, blank_to_null, js_trim
 from leadlake.functions.urls import resolve_url
@@ -17,7 +16,6 @@ _TITLE = r"(?i)<title[^>]*>([^<]*)</title>"
 _ANCHOR = r"""(?i)<a[^>]+href=["']([^"'#]+)["']"""
 
 
-@memo_expr
 def html_to_text(html: Column) -> Column:
     """Scripts and styles dropped, tags -> space, whitespace collapsed, trimmed (#48)."""
     t = F.regexp_replace(html, _SCRIPT, " ")
@@ -28,7 +26,6 @@ def html_to_text(html: Column) -> Column:
     return F.btrim(t, F.lit(" "))
 
 
-@memo_expr
 def extract_title(html: Column) -> Column:
     """``<title>`` text trimmed; empty or absent -> null (#49)."""
     return blank_to_null(F.regexp_extract(html, _TITLE, 1))
@@ -40,7 +37,6 @@ def _meta_pattern(key: str) -> str:
             + key + r"""["']""")
 
 
-@memo_expr
 def meta_content(html: Column, key: str) -> Column:
     """Content of ``<meta name|property=key content=...>``, either attribute order,
     leftmost tag wins; trimmed, blank -> null (#50)."""
@@ -50,7 +46,6 @@ def meta_content(html: Column, key: str) -> Column:
     return blank_to_null(F.coalesce(F.nullif(g1, F.lit("")), g2))
 
 
-@memo_expr
 def favicon(html: Column, source: str = "meta") -> Column:
     """Favicon signal. ``meta`` (default) reads ``<meta name=icon>`` like the
     application does; ``link`` reads ``<link rel=icon href=...>``."""
@@ -60,7 +55,6 @@ def favicon(html: Column, source: str = "meta") -> Column:
     return F.coalesce(meta_content(html, "icon"), meta_content(html, "shortcut icon"))
 
 
-@memo_expr
 def extract_links(html: Column, base_parts: Column) -> Column:
     """struct(internal, external): resolved http(s) anchors without ``#``, split by
     hostname equality with the base, each deduplicated in order (#24).
@@ -76,7 +70,6 @@ def extract_links(html: Column, base_parts: Column) -> Column:
                     F.array_distinct(external).alias("external"))
 
 
-@memo_expr
 def word_count(text: Column, normalized: bool = False) -> Column:
     """Number of whitespace-separated tokens; 0 for empty/null text (#55).
 
@@ -90,12 +83,10 @@ def word_count(text: Column, normalized: bool = False) -> Column:
     return F.greatest(n, F.lit(0)).cast("int")
 
 
-@memo_expr
 def has_markdown_h1(text: Column) -> Column:
     """``/(^|\\n)#\\s+\\S/`` on the page text."""
     return F.coalesce(text.rlike(f"(?:^|\\n)#{WS}+{NWS}"), F.lit(False))
 
 
-@memo_expr
 def has_html_h1(html: Column) -> Column:
     return F.coalesce(html.rlike(r"(?i)<h1[\s>]"), F.lit(False))

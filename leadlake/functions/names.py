@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
 from leadlake import constants as K
 from leadlake.functions.regex import first_segment, js_regex, js_trim
@@ -31,19 +30,16 @@ _AGG_ALT = _alt(AGGREGATOR_LIST)
 _MICRO_ALT = _alt(K.MICROSITES)
 
 
-@memo_expr
 def is_aggregator(host: Column) -> Column:
     """host = d, ends with ``.d`` or starts with ``d.`` for an aggregator d (#20)."""
     return host.rlike(f"(?:^|\\.)(?:{_AGG_ALT})\\z") | host.rlike(f"^(?:{_AGG_ALT})\\.")
 
 
-@memo_expr
 def is_microsite(host: Column) -> Column:
     """host = d or ends with ``.d`` for a booking/microsite host d (#21)."""
     return host.rlike(f"(?:^|\\.)(?:{_MICRO_ALT})\\z")
 
 
-@memo_expr
 def is_blocked(host: Column) -> Column:
     return F.coalesce(is_aggregator(host) | is_microsite(host), F.lit(False))
 
@@ -70,7 +66,6 @@ def title_head(title: Column) -> Column:
     return first_segment(title, K.TITLE_SEPARATORS)
 
 
-@memo_expr
 def derive_name(title: Column, host: Column) -> Column:
     """First title segment unless short or generic, else the title-cased host label (#27)."""
     head = title_head(title)
@@ -78,7 +73,6 @@ def derive_name(title: Column, host: Column) -> Column:
     return F.when(ok, head).otherwise(title_case(host_label(host)))
 
 
-@memo_expr
 def looks_like_listicle(title: Column) -> Column:
     """Listicle/SEO wording or a ``, XX`` city-state suffix (#28)."""
     return title.rlike(_LISTICLE) | title.rlike(_CITY_STATE)
@@ -102,7 +96,6 @@ def _segment_step(acc, _i):
     return F.when(rest == "", acc).when(n > 0, by_word).otherwise(by_char)
 
 
-@memo_expr
 def clean_name_from_domain(host: Column) -> Column:
     """Readable brand from a domain: first label, ``-``/``_`` -> space; a single
     glued word longer than 6 is split with the dictionary when that yields at
@@ -116,7 +109,6 @@ def clean_name_from_domain(host: Column) -> Column:
     return js_trim(F.initcap(chosen))
 
 
-@memo_expr
 def pick_name(title: Column, host: Column) -> Column:
     """Title segment unless generic or listicle, else the cleaned domain (#30)."""
     head = title_head(title)
@@ -139,7 +131,6 @@ _GENERIC_NAME = js_regex(K.GENERIC_NAME_PATTERN, ignore_case=True)
 _SENTENCE = js_regex(K.SENTENCE_PATTERN)
 
 
-@memo_expr
 def extract_company_name(title: Column) -> Column:
     """Company name from a profile-page title (#31): strip the junk suffixes in
     order, trim, drop a final ``.``; null if generic, sentence-like or not 2-70 long."""
@@ -155,7 +146,6 @@ _STOP = K.STOP_WORDS
 _NAME_SPLIT = js_regex(r"[\s&+.,-]+")
 
 
-@memo_expr
 def domain_matches_name(host: Column, name: Column) -> Column:
     """The resolved domain plausibly belongs to the company name (#25)."""
     slug = F.lower(host_label(F.regexp_replace(host, r"^www\.", "")))
@@ -186,7 +176,6 @@ def _name_ok(n: Column) -> Column:
     return n.rlike(_UPPER_START) & ~n.rlike(_GENERIC_NAME)
 
 
-@memo_expr
 def extract_names_listing(description: Column, niche: Column) -> Column:
     """Business names in a directory snippet (#32): after stripping address and
     open/closed text, ``Name - {niche or trade}...[,.]``; plus ``From Business:
@@ -194,7 +183,7 @@ def extract_names_listing(description: Column, niche: Column) -> Column:
     cleaned = description
     for p, _ in _LISTING_STRIP:
         cleaned = F.regexp_replace(cleaned, p, "")
-    kw = F.concat(F.lit("(?:"), _quote(niche), F.lit("|" + "|".join(K.LISTING_TRADE_STEMS) + ")"))
+    kw = F.concat(F.lit("(?:(?u:"), _quote(niche), F.lit(")|" + "|".join(K.LISTING_TRADE_STEMS) + ")"))
     niche_re = F.concat(F.lit("(?i)" + js_regex(r"([A-Za-z][\w\s&'.]{2,50})\s*[-–]\s*")), kw,
                         F.lit(js_regex(r"[\w\s]*[,.]")))
     a = F.transform(F.regexp_extract_all(cleaned, niche_re, 1), js_trim)
@@ -209,7 +198,6 @@ _LIKE_RE = js_regex(r"(?:like|including|such as)\s+([A-Z][\w]+(?:,\s*(?:and\s+)?
 _LIKE_SPLIT = js_regex(r",\s*(?:and\s+)?")
 
 
-@memo_expr
 def extract_names_bullets(description: Column) -> Column:
     """Product names from category snippets (#33): ``A · B · C`` bullets (count
     suffix removed, 3-40 chars, upper start, not generic, not a feature word) and
@@ -223,7 +211,6 @@ def extract_names_bullets(description: Column) -> Column:
     return F.array_distinct(F.concat(good_b, good_l))
 
 
-@memo_expr
 def brand_name(og_title: Column, title: Column) -> Column:
     """og:title if 2-60 long, else the first title segment if 2-60 long and not
     ranking wording, else null (#34)."""
@@ -239,7 +226,6 @@ def js_number(x: Column) -> Column:
     return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
 
 
-@memo_expr
 def place_description(address: Column, rating: Column, count: Column) -> Column:
     """``address · ★rating (count)``; count only when non-zero; null if empty (#35)."""
     addr = F.when(F.coalesce(address, F.lit("")) != "", address)

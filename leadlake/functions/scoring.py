@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
 from leadlake import constants as K
 
@@ -21,7 +20,6 @@ def _plural(n: Column) -> Column:
     return F.when(n == 1, F.lit("")).otherwise(F.lit("s"))
 
 
-@memo_expr
 def score_lead(seo: Column, outreach: Column, weights: ScoreWeights = ScoreWeights()) -> Column:
     """struct(score, reasons): opportunity share + reachability + live-site bonus."""
     w = weights.weights
@@ -58,7 +56,6 @@ def score_lead(seo: Column, outreach: Column, weights: ScoreWeights = ScoreWeigh
                                         for r in (seo_reason, reach_reason)])).alias("reasons"))
 
 
-@memo_expr
 def score_band(score: Column) -> Column:
     """hot (>= 70) / warm (>= 40) / cold (#64)."""
     return (F.when(score >= K.HOT_SCORE, F.lit("hot"))

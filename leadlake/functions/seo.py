@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
 from leadlake import constants as K
 from leadlake.functions.html import has_markdown_h1, word_count
@@ -31,7 +30,6 @@ def _fmt(template: str, value: Column) -> Column:
     return F.concat(F.lit(head), value.cast("string"), F.lit(tail))
 
 
-@memo_expr
 def audit_seo(*, final_url: Column, status_code: Column, title: Column, og_title: Column,
               description: Column, og_description: Column, og_image: Column, favicon: Column,
               text: Column, requested_url: Column, has_h1: Column | None = None,

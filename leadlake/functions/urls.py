@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
+# schemes whose authority needs no "//" (the special schemes of the URL standard with a host)
+SPECIAL_SCHEMES = ("http", "https", "ftp", "ws", "wss")
 # authority may not contain these (WHATWG forbidden host code points, subset)
 _BAD_HOST = r"[\x00-\x20#/:<>?@\[\\\]^|%\x7F]"
 _ABS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?]*)([^?]*)(\?.*)?\z"
@@ -69,7 +70,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-@memo_expr
 def parse_url_parts(url: Column) -> Column:
     """struct(scheme, host, port, path, query) of an absolute URL, or null."""
     return let(_without_fragment(_strip_href(url)), _parse_clean)
@@ -82,8 +82,10 @@ def _parse_clean(u: Column) -> Column:
     query = F.regexp_extract(u, _ABS, 4)
     host = F.lower(F.regexp_extract(auth, _AUTH, 1))
     port = F.regexp_extract(auth, _AUTH, 2)
-    ok = (u.rlike(_ABS) & (scheme != "") & (host != "") & ~host.rlike(_BAD_HOST)
-          & (port.rlike(r"^[0-9]{0,5}\z")))
+    # without "//" only the special schemes have a host ("mailto:a@b.com", "acme.com:8080/x" don't)
+    has_host = scheme.isin(*SPECIAL_SCHEMES) | u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
+    ok = (u.rlike(_ABS) & (scheme != "") & has_host & (host != "") & ~host.rlike(_BAD_HOST)
+          & port.rlike(r"^[0-9]*\z") & (F.coalesce(port.try_cast("int"), F.when(port == "", 0).otherwise(65536)) <= 65535))
     return F.when(ok, F.struct(scheme.alias("scheme"), host.alias("host"),
                                port.alias("port"), path.alias("path"), query.alias("query")))
 
@@ -105,20 +107,17 @@ def _serialize(c: Column) -> Column:
                     _encode_path(p), _encode_query(c["query"]))
 
 
-@memo_expr
 def host_of(url: Column) -> Column:
     """Lower-case hostname without a leading ``www.``; null when unparsable (#19)."""
     parts = parse_url_parts(url)
     return F.when(parts.isNotNull(), F.regexp_replace(parts["host"], r"^www\.", ""))
 
 
-@memo_expr
 def hostname_of(url: Column) -> Column:
     """Lower-case hostname (``www.`` kept), null when unparsable."""
     return parse_url_parts(url)["host"]
 
 
-@memo_expr
 def resolve_url(href: Column, base: Column, base_parsed: bool = False) -> Column:
     """struct(url, host) of ``new URL(href, base)`` if it is http(s), else null.
 
@@ -157,13 +156,11 @@ def _resolve_clean(h: Column, b: Column) -> Column:
     return F.when(b.isNotNull() & root, fast).otherwise(slow)
 
 
-@memo_expr
 def website_of(host: Column) -> Column:
     """``https://{host}`` (#23)."""
     return F.concat(F.lit("https://"), host)
 
 
-@memo_expr
 def contact_url(website: Column) -> Column:
     """``new URL('/contact', website)``: origin of the website + ``/contact`` (#23)."""
     r = resolve_url(F.lit("/contact"), website)

@@ -6,8 +6,8 @@ Plan shape (per spec, all specs in one job):
   a window over the query (one shuffle by query, reused by the join);
 * "first seen per host" is a ``min(struct(ordinals..., payload))`` aggregate, so
   a hot host is pre-aggregated map-side instead of being collected in one task;
-* top-k per spec is ``row_number() <= k`` with a constant upper bound on k, so
-  Spark inserts a partial ``WindowGroupLimit`` before the shuffle.
+* top-k per spec is ``row_number() <= lim`` with the spec's own limit, over rows
+  already reduced to one per (spec, host).
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from leadlake.plans.planning import resolve_queries
 
 CAND_COLS = ["spec_ord", "channel", "channel_ord", "ord", "name", "website", "domain", "description",
              "query", "phone"]
-MAX_LIM = K.SAVED_LIMIT_MAX
-MAX_CAP = max(K.CANDIDATE_CAP_FACTOR * MAX_LIM, K.CANDIDATE_CAP_MIN)
 
 
 # ------------------------------------------------------------------ hits
@@ -120,7 +118,7 @@ def discover_web(planned: DataFrame, serp: DataFrame, known: DataFrame | None =
     first = _first_per(h, ["spec_ord", "channel_ord", "host"], ["query_ord", "rank"],
                        ["lim", "title", "description", "query"])
     rn = F.row_number().over(W.partitionBy("spec_ord", "channel_ord").orderBy("query_ord", "rank"))
-    top = first.withColumn("_rn", rn).where((F.col("_rn") <= MAX_LIM) & (F.col("_rn") <= F.col("lim")))
+    top = first.withColumn("_rn", rn).where(F.col("_rn") <= F.col("lim"))
     return top.select(
         "spec_ord", F.lit("web").alias("channel"), "channel_ord", _ord(F.col("query_ord"), F.col("rank")).alias("ord"),
         N.pick_name(F.col("title"), F.col("host")).alias("name"), website_of(F.col("host")).alias("website"),
@@ -150,7 +148,7 @@ def _resolved_candidates(named: DataFrame, serp: DataFrame, limit: bool) -> Data
     first = _first_per(r, ["spec_ord", "channel", "channel_ord", "host"], ["name_ord"], ["name", "label", "lim"])
     if limit:
         rn = F.row_number().over(W.partitionBy("spec_ord", "channel").orderBy("name_ord"))
-        first = first.withColumn("_rn", rn).where((F.col("_rn") <= MAX_LIM) & (F.col("_rn") <= F.col("lim")))
+        first = first.withColumn("_rn", rn).where(F.col("_rn") <= F.col("lim"))
     return first.select(
         "spec_ord", "channel", "channel_ord", F.col("name_ord").alias("ord"), "name",
         website_of(F.col("host")).alias("website"), F.col("host").alias("domain"),
@@ -216,13 +214,14 @@ def discover_intent(planned: DataFrame, serp: DataFrame) -> DataFrame:
         F.col("label").alias("query"), F.lit(None).cast("string").alias("phone"))
 
 
-def discover_places(planned: DataFrame, places: DataFrame) -> DataFrame:
+def discover_places(planned: DataFrame, places: DataFrame, max_pages: int | None = K.PLACES_MAX_PAGES) -> DataFrame:
     """#43: places with a website, first per unblocked host; name from the listing
     or the domain; national phone, else international; address/rating description.
+    Only the first ``max_pages`` result pages of a query count (``None``: all).
 
     ``places``: (query, page_no, pos, p struct) as read by ``read_places``."""
     pq = planned.where(F.col("channel") == "googlemaps").select("spec_ord", "channel_ord", "query", "label")
-    pl = places.where(F.col("page_no") < K.PLACES_MAX_PAGES)
+    pl = places if max_pages is None else places.where(F.col("page_no") < max_pages)
     j = pq.join(pl, "query")
     web = F.col("p.websiteUri")
     j = j.where(F.coalesce(web, F.lit("")) != "").withColumn("host", host_of(web))
@@ -245,9 +244,11 @@ def discover_places(planned: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def discover_channels(planned: DataFrame, serp: DataFrame, places: DataFrame | None,
-                      known: DataFrame | None = None, materialize: bool = True) -> DataFrame:
-    """#44: union of every channel's candidates. A channel whose plan cannot be
-    built contributes nothing; the others continue.
+                      known: DataFrame | None = None, materialize: bool = True,
+                      skip_failed: bool = False) -> DataFrame:
+    """#44: union of every channel's candidates. With ``skip_failed`` a channel whose
+    plan cannot be built contributes nothing and is logged, as in the application; by
+    default the error is raised, so a missing column can't lose a channel unseen.
 
     The prepared hit table feeds six consumers (four channels, two resolution
     passes) that each prune it differently, so Spark cannot share one exchange.
@@ -268,9 +269,13 @@ def discover_channels(planned: DataFrame, serp: DataFrame, places: DataFrame | N
     for b in builders:
         try:
             parts.append(b().select(*CAND_COLS))
-        except Exception as e:  # noqa: BLE001 - per-channel isolation, as in the application
+        except Exception as e:  # noqa: BLE001 - per-channel isolation, when asked for
+            if not skip_failed:
+                raise
             import logging
             logging.getLogger("leadlake").warning("channel failed: %s", e)
+    if not parts:
+        raise ValueError("no channel could be planned")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -313,13 +318,14 @@ def merge_candidates(cands: DataFrame) -> DataFrame:
         chans.alias("channels"), F.col("_first.k").alias("first_ord"))
 
 
-def cap_candidates(merged: DataFrame, specs: DataFrame) -> DataFrame:
-    """#47: per spec keep ``max(3*lim, 40)`` candidates, most channels first, ties
-    in first-seen order. Adds ``cand_rank``."""
+def cap_candidates(merged: DataFrame, specs: DataFrame, factor: int | None = K.CANDIDATE_CAP_FACTOR,
+                   least: int = K.CANDIDATE_CAP_MIN) -> DataFrame:
+    """#47: per spec keep ``max(factor * lim, least)`` candidates, most channels first,
+    ties in first-seen order; ``factor=None`` keeps all. Adds ``cand_rank``."""
     lim = specs.select("spec_ord", "lim")
     m = merged.join(lim, "spec_ord")
-    cap = F.greatest(F.col("lim") * K.CANDIDATE_CAP_FACTOR, F.lit(K.CANDIDATE_CAP_MIN))
     rn = F.row_number().over(W.partitionBy("spec_ord").orderBy(F.size("channels").desc(), "first_ord"))
-    return (m.withColumn("cand_rank", rn)
-             .where((F.col("cand_rank") <= MAX_CAP) & (F.col("cand_rank") <= cap))
-             .drop("lim"))
+    m = m.withColumn("cand_rank", rn)
+    if factor is not None:
+        m = m.where(F.col("cand_rank") <= F.greatest(F.col("lim") * factor, F.lit(least)))
+    return m.drop("lim")

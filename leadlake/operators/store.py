@@ -44,24 +44,68 @@ def _ts(now: str) -> Column:
     return F.to_timestamp(F.lit(now))
 
 
+def sequential_ids(df: DataFrame, order: list[str], last_id: int) -> DataFrame:
+    """``df`` with ``new_id`` = last_id + 1, + 2, ... in the given order.
+
+    The rows are range-partitioned by the order and written to a checkpoint, so that
+    their partitions stay as they are; a row's place is its place in its partition plus
+    the rows of the partitions before, of which there is one count per partition."""
+    cols = [F.col(c) for c in order]
+    r = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+           .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint())
+    sizes = r.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", "_from", before.alias("_before"))
+    return (r.join(starts, "_part")
+             .withColumn("new_id", (F.lit(last_id) + F.col("_before") + F.col("_at") - F.col("_from") + 1).cast("long"))
+             .drop("_part", "_at", "_from", "_before"))
+
+
+def fold_leads(leads: DataFrame, order_cols: list[str]) -> DataFrame:
+    """One row per domain: its rows folded one after another in the given order, as the
+    upsert folds a lead into a stored one. name, website, query, channels: the last;
+    description and audit: the last that is not null; outreach merged; the highest score
+    with the reasons of the last row that has it. ``first_seen`` is the order of the first."""
+    o = F.struct(*[F.col(c) for c in order_cols])
+    x = leads.withColumn("_o", o)
+    last = ["name", "website", "query", "channels"]
+    g = x.groupBy("domain").agg(
+        F.max_by(F.struct(*last), "_o").alias("_last"),
+        F.max_by("description", F.when(F.col("description").isNotNull(), F.col("_o"))).alias("description"),
+        F.max_by("seo", F.when(F.col("seo").isNotNull(), F.col("_o"))).alias("seo"),
+        F.max("score").alias("score"), F.max_by("score_reasons", F.struct("score", "_o")).alias("score_reasons"),
+        F.array_sort(F.collect_list(F.when(F.col("outreach").isNotNull(), F.struct("_o", "outreach")))).alias("_out"),
+        F.min("_o").alias("first_seen"))
+    outs = F.transform("_out", lambda s: s["outreach"])
+    merged = F.when(F.size(outs) > 0, F.aggregate(
+        F.slice(outs, 2, F.greatest(F.size(outs) - 1, F.lit(0))), F.get(outs, 0), lambda a, b: merge_outreach(a, b)))
+    return g.select("domain", *[F.col(f"_last.{c}").alias(c) for c in last], "description", merged.alias("outreach"),
+                    "seo", "score", "score_reasons", "first_seen")
+
+
 def upsert_leads(store: DataFrame, leads: DataFrame, run_id: int, now: str,
-                 order_cols: list[str] | None = None) -> DataFrame:
+                 order_cols: list[str] | None = None, last_id: int | None = None) -> DataFrame:
     """#66: match on domain. Update: name, website, query, channels overwritten;
     description new-else-old; outreach merged; audit new-else-old; score = max;
     reasons from the winner (tie -> new); derived opportunity/issue count/has_email;
     run id and updated_at set; id, status, notes, created_at kept. Insert: next id
     in input order, status ``new``, notes null.
 
-    One full-outer join on domain and one projection (each side shuffled once by
-    domain). Ids for inserted rows come from a ``row_number`` over the new
-    domains only -- a run's leads, not the table -- joined back by domain.
-    ``leads`` must have one row per domain; ``order_cols`` fix the insert order."""
+    A domain that ``leads`` has several times is folded first (``fold_leads``), in the
+    order of ``order_cols``; by that order new domains get their ids too. Default: the
+    column ``input_ord`` if there is one, else the domain and the row's values. ``last_id``
+    is the stored counter of ids; without it ids go on from the highest id in the table,
+    so that the id of a deleted last lead would be given again.
+
+    One full-outer join on domain and one projection; ids are numbered without a window
+    over all new leads (``sequential_ids``)."""
     ts = _ts(now)
-    base_id = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    order = [F.col(c) for c in (order_cols or ["domain"])]
-    fresh = leads.join(store.select("domain"), "domain", "left_anti")
-    new_ids = fresh.select(F.col("domain").alias("_nd"),
-                           (F.lit(base_id) + F.row_number().over(W.orderBy(*order))).cast("long").alias("_nid"))
+    if last_id is None:
+        last_id = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    order = order_cols or (["input_ord"] if "input_ord" in leads.columns else ["domain", "score", "name", "website", "query"])
+    leads = fold_leads(leads, order)
+    fresh = leads.join(store.select("domain"), "domain", "left_anti").select("domain", "first_seen")
+    new_ids = sequential_ids(fresh, ["first_seen"], last_id).select(F.col("domain").alias("_nd"), F.col("new_id").alias("_nid"))
     o = store.alias("o")
     n = leads.alias("n")
     j = (o.join(n, F.col("o.domain") == F.col("n.domain"), "full_outer")
@@ -109,11 +153,16 @@ def patch_leads(store: DataFrame, patches: DataFrame, now: str) -> tuple[DataFra
     """#68: ``patches(id, status, notes, set_notes, patch_ord)``. A patch with an
     invalid status is rejected whole (returned as the second frame); otherwise the
     status is set when given, notes when ``set_notes`` (empty string allowed), and
-    ``updated_at`` bumped even for an empty patch. The last patch per id wins."""
+    ``updated_at`` bumped even for an empty patch. Patches of one id are applied in
+    order: each field has the value of the last patch that sets it."""
     valid = F.col("status").isNull() | F.col("status").isin(*K.LEAD_STATUSES)
     rejected = patches.where(~valid)
     p = patches.where(valid)
-    last = p.groupBy("id").agg(F.max_by(F.struct("status", "notes", "set_notes"), F.col("patch_ord")).alias("_p"))
+    sets = F.coalesce(F.col("set_notes"), F.lit(False))
+    last = p.groupBy("id").agg(F.struct(
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("patch_ord"))).alias("status"),
+        F.max_by(F.struct("notes"), F.when(sets, F.col("patch_ord")))["notes"].alias("notes"),
+        F.max(sets).alias("set_notes")).alias("_p"))
     j = store.join(last, "id", "left")
     hit = F.col("_p").isNotNull()
     cols = []
@@ -174,25 +223,25 @@ def _search_key(loc: Column) -> Column:
 def upsert_searches(saved: DataFrame, new: DataFrame, now: str) -> DataFrame:
     """#71: key (niche, location or ''). Existing: lim (default 10), channels
     (empty -> null), label set and reactivated. New: next id in input order
-    (``input_ord``), created now. The last input per key wins."""
+    (``input_ord`` of the key's first input), created now. The last input per key wins."""
     n = new.withColumn("_k", _search_key(F.col("location")))
-    last = n.groupBy("niche", "_k").agg(F.max_by(F.struct(*new.columns), F.col("input_ord")).alias("_r"))
-    n = last.select("niche", "_k", *[F.col("_r." + c).alias("n_" + c) for c in new.columns if c != "niche"])
+    last = n.groupBy("niche", "_k").agg(F.max_by(F.struct(*new.columns), F.col("input_ord")).alias("_r"),
+                                        F.min("input_ord").alias("first_ord"))
+    n = last.select("niche", "_k", "first_ord", *[F.col("_r." + c).alias("n_" + c) for c in new.columns if c != "niche"])
     s = saved.withColumn("_k", _search_key(F.col("location")))
     j = s.join(n, ["niche", "_k"], "full_outer")
     has_old, has_new = F.col("id").isNotNull(), F.col("n_input_ord").isNotNull()
     lim = F.coalesce(F.col("n_lim"), F.lit(K.DEFAULT_LIMIT)).cast("int")
     ch = F.when(F.size(F.col("n_channels")) > 0, F.col("n_channels"))
     base_id = saved.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rn = F.row_number().over(W.orderBy("n_input_ord"))
     upd = j.where(has_old).select(
         "id", "niche", "location",
         F.when(has_new, lim).otherwise(F.col("lim")).alias("lim"),
         F.when(has_new, ch).otherwise(F.col("channels")).alias("channels"),
         F.when(has_new, F.col("n_label")).otherwise(F.col("label")).alias("label"),
         F.when(has_new, F.lit(True)).otherwise(F.col("active")).alias("active"), "created_at")
-    ins = j.where(~has_old).select(
-        (F.lit(base_id) + rn).cast("long").alias("id"), "niche", F.col("n_location").alias("location"),
+    ins = sequential_ids(j.where(~has_old), ["first_ord"], base_id).select(
+        F.col("new_id").alias("id"), "niche", F.col("n_location").alias("location"),
         lim.alias("lim"), ch.alias("channels"), F.col("n_label").alias("label"), F.lit(True).alias("active"),
         _ts(now).alias("created_at"))
     return upd.unionByName(ins)

@@ -14,7 +14,7 @@ from leadlake import fixtures as FX
 from leadlake.functions import contacts as C
 from leadlake.functions import html as H
 from leadlake.operators import pages as P
-from leadlake.sources.readers import read_pages, spread
+from leadlake.sources.readers import read_pages
 
 JOBS: dict = {}
 
@@ -46,15 +46,16 @@ def big(c: Column | str) -> Column:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    FX.materialized(spark, sf_dir, "pages", lambda s, d: FX.table(s, d, "pages"))
+    return read_pages(spark, FX.fixture_path(spark, sf_dir, "pages"))
 
 
 def _rich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(FX.materialized(spark, sf_dir, "rich_pages", FX.rich_pages))
+    return FX.materialized(spark, sf_dir, "rich_pages", FX.rich_pages)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(FX.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return FX.materialized(spark, sf_dir, "documents", lambda s, d: FX.table(s, d, "documents").select("doc_id", "text"))
 
 
 # ---------------------------------------------------------------- pages / flagship
@@ -180,7 +181,7 @@ def _fx(spark, sf_dir, name):
     builders = {"specs": FX.specs, "serp": FX.all_serp, "places": FX.places, "home_pages": FX.home_pages,
                 "known": FX.known, "profile_hits": FX.profile_hits, "resolve_hits": FX.resolve_hits,
                 "rich_pages": FX.rich_pages}
-    return spread(FX.materialized(spark, sf_dir, name, builders[name]))
+    return FX.materialized(spark, sf_dir, name, builders[name])
 
 
 def _specs(spark, sf_dir):
@@ -593,7 +594,7 @@ from leadlake.operators import views as V  # noqa: E402
 def _sfx(spark, sf_dir, name):
     builders = {"leads": FX.leads, "new_leads": FX.new_leads, "patches": FX.patches, "delete_ids": FX.delete_ids,
                 "searches": FX.searches, "new_searches": FX.new_searches, "runs": FX.runs}
-    return spread(FX.materialized(spark, sf_dir, name, builders[name]))
+    return FX.materialized(spark, sf_dir, name, builders[name])
 
 
 def tstr(c):
@@ -616,7 +617,7 @@ def _lead_rows(df: DataFrame) -> DataFrame:
 def merge_outreach(spark, sf_dir):
     o = _sfx(spark, sf_dir, "leads").select("domain", F.col("outreach").alias("prev"))
     n = _sfx(spark, sf_dir, "new_leads").select("domain", F.col("outreach").alias("next"))
-    m = o.join(n, "domain").select("domain", ST.merge_outreach(F.col("prev"), F.col("next")).alias("m"))
+    m = o.join(n, "domain", "full_outer").select("domain", ST.merge_outreach(F.col("prev"), F.col("next")).alias("m"))
     return m.select("domain", F.col("m").isNotNull().alias("present"), joined("m.emails").alias("emails"),
                     joined("m.phones").alias("phones"), joined("m.socials").alias("socials"),
                     F.col("m.contact_url").alias("contact_url"),
@@ -895,7 +896,12 @@ def save_table_job(spark, sf_dir):
     root = _scratch(spark, "tables")
     l = _sfx(spark, sf_dir, "leads")
     SK.save_table(l, root, "leads", 1)
-    SK.save_table(l.where(F.col("id") % 2 == 0), root, "leads", 1)  # replay of v=1: no effect
+    try:
+        SK.save_table(l.where(F.col("id") % 2 == 0), root, "leads", 1)
+    except FileExistsError:
+        pass  # a version is written once
+    else:
+        raise AssertionError("version 1 was written twice")
     return SK.read_table(spark, root, "leads", SC.STORED_LEAD).select("id", "domain")
 
 
@@ -909,12 +915,6 @@ def export_leads_csv_job(spark, sf_dir):
     return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in back.columns])
 
 
-@job("channel_dim")
-def channel_dim_job(spark, sf_dir):
-    return DM.channel_dim(spark).select(big("channel_ord").alias("channel_ord"), "id", "label", "domain", "kind",
-                                        "reliability", "note")
-
-
 @job("exclude_blocked")
 def exclude_blocked_job(spark, sf_dir):
     h = _hit_hosts(spark, sf_dir).where(F.col("host").isNotNull()).select("host").distinct()
@@ -951,18 +951,14 @@ def stream_enrich_job(spark, sf_dir):
 @job("stream_new_domains")
 def stream_new_domains_job(spark, sf_dir):
     base = _scratch(spark, "stream-domains")
-    s = _serp(spark, sf_dir)
-    from pyspark.sql import Window as Wn
-    o = F.row_number().over(Wn.orderBy("query", "provider_ord", "rank"))
-    hits = s.select("url", o.alias("o")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("o")))
-    # three files in event-time order, written one after another
-    n = hits.count()
+    second = F.pmod(F.xxhash64("query", "provider_ord", "rank"), F.lit(3 * 3600))
+    hits = _serp(spark, sf_dir).select("url", F.timestamp_seconds(F.lit(1704067200) + second).alias("ts"),
+                                       F.floor(second / 3600).alias("hour"))
+    # three hours of hits, appended one after another; the watermark outlasts them
     for i in range(3):
-        lo, hi = i * n // 3, (i + 1) * n // 3
-        hits.where((F.col("o") > lo) & (F.col("o") <= hi)).select("url", "ts").coalesce(1) \
-            .write.mode("append").parquet(base + "/in")
-    st = spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    out = SS.stream_new_domains(st, _fx(spark, sf_dir, "known"), delay="3650 days")
+        hits.where(F.col("hour") == i).select("url", "ts").write.mode("append").parquet(base + "/in")
+    st = spark.readStream.schema("url string, ts timestamp").option("maxFilesPerTrigger", 8).parquet(base + "/in")
+    out = SS.stream_new_domains(st, _fx(spark, sf_dir, "known"), delay="6 hours")
     q = (out.select("domain").writeStream.format("parquet").option("path", base + "/out")
          .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
     _await(q)
@@ -973,14 +969,10 @@ def stream_new_domains_job(spark, sf_dir):
 def stream_upsert_job(spark, sf_dir):
     base = _scratch(spark, "stream-upsert")
     nl = _sfx(spark, sf_dir, "new_leads")
-    from pyspark.sql import Window as Wn
-    o = F.row_number().over(Wn.orderBy("domain"))
-    t = nl.withColumn("_o", o)
-    n = t.count()
+    # three ranges of domains, so that the ids follow the domains over all batches
+    t = nl.repartitionByRange(3, "domain").withColumn("_o", F.spark_partition_id()).checkpoint()
     for i in range(3):
-        lo, hi = i * n // 3, (i + 1) * n // 3
-        t.where((F.col("_o") > lo) & (F.col("_o") <= hi)).drop("_o").coalesce(1) \
-            .write.mode("append").parquet(base + "/in")
+        t.where(F.col("_o") == i).drop("_o").write.mode("append").parquet(base + "/in")
     st = spark.readStream.schema(SC.LEAD).option("maxFilesPerTrigger", 1).parquet(base + "/in")
     q = SS.stream_upsert(st, base + "/tables", _sfx(spark, sf_dir, "leads"), 9, FX.NOW, base + "/ckpt")
     _await(q)

@@ -13,7 +13,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.functions.memo import memo_expr
 
 from leadlake import constants as K
 from leadlake.functions.regex import js_trim
@@ -71,13 +70,11 @@ def _vals() -> dict[str, Column]:
     return {"n": F.col("niche"), "loc": F.col("location"), "site": F.lit(K.LINKEDIN_SITE)}
 
 
-@memo_expr
 def label_of() -> Column:
     """``{niche} in {location}`` or the niche: the candidates' query label (#15)."""
     return F.when(F.col("location").isNotNull(), _fill("{n} in {loc}", _vals())).otherwise(F.col("niche"))
 
 
-@memo_expr
 def web_queries() -> Column:
     v = _vals()
     with_loc = F.array(*[_q(_fill(t, v), K.DEPTH_WEB) for t in K.WEB_TEMPLATES_LOC])
@@ -87,7 +84,6 @@ def web_queries() -> Column:
     return F.slice(full, 1, used)
 
 
-@memo_expr
 def listing_queries() -> Column:
     v = _vals()
     q = F.when(F.col("location").isNotNull(), _fill("{n} in {loc} site:yellowpages.com", v)) \
@@ -95,14 +91,12 @@ def listing_queries() -> Column:
     return F.array(_q(q, K.DEPTH_LISTING))
 
 
-@memo_expr
 def intent_queries() -> Column:
     v = dict(_vals())
     v["where"] = F.when(F.col("location").isNotNull(), F.concat(F.lit(" in "), F.col("location"))).otherwise(F.lit(""))
     return F.array(*[_q(_fill(t, v), K.DEPTH_INTENT) for t in K.INTENT_TEMPLATES])
 
 
-@memo_expr
 def linkedin_queries() -> Column:
     v = _vals()
     with_loc = F.array(*[_q(_fill(t, v), K.DEPTH_PROFILE) for t in K.LINKEDIN_TEMPLATES_LOC])
@@ -110,7 +104,6 @@ def linkedin_queries() -> Column:
     return F.when(F.col("location").isNotNull(), with_loc).otherwise(no_loc)
 
 
-@memo_expr
 def profile_queries(channel: str) -> Column:
     """Main ``site:`` query, then the channel's extra queries in result order."""
     v = _vals()
@@ -128,7 +121,6 @@ def profile_queries(channel: str) -> Column:
     return items
 
 
-@memo_expr
 def places_queries() -> Column:
     return F.array(_q(label_of(), 20 * K.PLACES_MAX_PAGES))
 
@@ -169,7 +161,6 @@ def expand_places_queries(specs: DataFrame) -> DataFrame:
     return _expand(specs, places_queries(), "googlemaps")
 
 
-@memo_expr
 def channel_queries() -> Column:
     """Array of struct(query, depth) for the row's channel."""
     ch = F.col("channel")
@@ -203,7 +194,6 @@ def resolve_queries(names: DataFrame) -> DataFrame:
                  .select(*keep, "rq_ord", F.col("rq.query").alias("rquery"), F.col("rq.depth").alias("rdepth")))
 
 
-@memo_expr
 def compose_location(city: Column, state: Column, country: Column) -> Column:
     """``city, state[, country unless United States]``; the country alone when
     nothing else is chosen (#17)."""

@@ -65,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="leadlake-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -89,17 +91,20 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS"))
 
 
-def publish_table(df, path: str, fmt: str = "parquet") -> None:
+def publish_table(df, path: str, fmt: str = "parquet", marker: str | None = None) -> None:
     """Write to a temporary sibling folder, then rename into place, so readers
-    never see a half-written table and a retried writer never clobbers one."""
+    never see a half-written table and a writer never clobbers one. If the target
+    exists, or the rename fails, an error is raised: no write is lost unseen.
+    ``marker`` is the name of an empty file that becomes visible with the data."""
     import uuid
     spark = df.sparkSession
     tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").format(fmt).save(tmp)
     fs, dst = _fs(spark, path)
     _, src = _fs(spark, tmp)
-    if not fs.exists(dst):
-        fs.mkdirs(dst.getParent())
-        if fs.rename(src, dst):
-            return
-    fs.delete(src, True)
+    if marker is not None:
+        fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tmp}/_{marker}")).close()
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+        raise FileExistsError(f"{path} exists or can't be created; nothing was published")

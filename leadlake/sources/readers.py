@@ -8,20 +8,6 @@ from pyspark.sql import functions as F
 from leadlake.sources import schemas as S
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Parallelism floor for CPU-heavy per-row work (regexes over HTML).
-
-    A small input stored as one Parquet row group is read by a single task; the
-    regex work then runs on one core. Only in that case the rows are spread
-    round-robin over the cluster's cores. A large input already has at least
-    that many splits, so at scale this adds no shuffle."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured web pages ``(page_id, url, html[, status_code])`` (#1).
 
@@ -35,32 +21,33 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*cols)
 
 
-def read_serp(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_serp(spark: SparkSession, path: str, fmt: str = "json", page_size: int = 20) -> DataFrame:
     """Captured search results, one payload per (provider, query[, page]) (#2).
 
-    JSON payloads ``{provider, query, page, results:[{url,title,description}]}``
-    are flattened with ``posexplode``: rank = page * 20 + position + 1 (page
-    defaults to 0); a missing description becomes ``''``. Parquet input is
-    expected already flat."""
+    JSON payloads ``{provider, query, page, num, results:[{url,title,description}]}``
+    are flattened with ``posexplode``: rank = page * num + position + 1, where ``num``
+    is the number of results asked for per page (``page_size`` if not recorded; page
+    defaults to 0); a missing description becomes ``''``. Providers that aren't known
+    rank after those that are. Parquet input is expected already flat."""
     if fmt == "parquet":
         return spark.read.schema(S.SERP).parquet(path)
     raw = spark.read.schema(S.SERP_JSON).json(path)
     from leadlake.constants import PROVIDERS
-    prov = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider")).cast("int") - 1
+    place = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider")).cast("int")
+    prov = F.when(place > 0, place - 1).otherwise(F.lit(len(PROVIDERS)))
     page = F.coalesce(F.col("page"), F.lit(0))
-    return (raw.select(prov.alias("provider_ord"), "query", page.alias("page"),
+    size = F.greatest(F.coalesce(F.col("num"), F.lit(page_size)), F.size("results"))
+    return (raw.select(prov.alias("provider_ord"), "query", page.alias("page"), size.alias("num"),
                        F.posexplode("results").alias("pos", "r"))
-               .select("provider_ord", "query", (F.col("page") * 20 + F.col("pos") + 1).cast("int").alias("rank"),
+               .select("provider_ord", "query", (F.col("page") * F.col("num") + F.col("pos") + 1).cast("int").alias("rank"),
                        F.col("r.url").alias("url"), F.coalesce(F.col("r.title"), F.lit("")).alias("title"),
                        F.coalesce(F.col("r.description"), F.lit("")).alias("description")))
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
     """Places payloads ``{query, page_no, places[], nextPageToken}`` -> one row per
-    place of the first three pages, with its position (#3)."""
-    from leadlake.constants import PLACES_MAX_PAGES
-    raw = spark.read.schema(S.PLACES_JSON).json(path)
-    return flatten_places(raw.where(F.col("page_no") < PLACES_MAX_PAGES))
+    place with its position (#3). How many pages count is up to ``discover_places``."""
+    return flatten_places(spark.read.schema(S.PLACES_JSON).json(path))
 
 
 def flatten_places(raw: DataFrame) -> DataFrame:

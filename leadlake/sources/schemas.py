@@ -26,7 +26,7 @@ SERP = T.StructType([
 ])
 # Raw provider payload: one JSON object per (provider, query).
 SERP_JSON = T.StructType([
-    T.StructField("provider", S), T.StructField("query", S), T.StructField("page", I),
+    T.StructField("provider", S), T.StructField("query", S), T.StructField("page", I), T.StructField("num", I),
     T.StructField("results", T.ArrayType(T.StructType([
         T.StructField("url", S), T.StructField("title", S), T.StructField("description", S),
     ]))),

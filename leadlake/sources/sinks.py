@@ -1,9 +1,9 @@
 """Sinks and the store snapshot loader (#4-#6).
 
 Tables are written as new version folders ``<root>/<name>/v=<version>`` and
-never overwritten in place; readers take the newest complete version. A
-replayed write of the same version is a no-op, so retried jobs and replayed
-stream batches cannot double-apply.
+never overwritten in place; readers take the newest complete version. Writing an
+existing version raises, so no write vanishes; replayed stream batches are known
+by the marker that is published with their version (``leadlake.streaming``).
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlake.session import _fs, publish_table, table_exists
+from leadlake.session import _fs, publish_table
 from leadlake.sources import schemas as S
 
 
 def save_table(df: DataFrame, root: str, name: str, version: int | str) -> str:
-    """#5: write ``df`` as version ``version`` of table ``name`` (atomic publish)."""
+    """#5: write ``df`` as version ``version`` of table ``name`` (atomic publish). A
+    version that exists, complete or broken, raises ``FileExistsError``."""
     path = f"{root.rstrip('/')}/{name}/v={version}"
-    if not table_exists(df.sparkSession, path):
-        publish_table(df, path)
+    publish_table(df, path)
     return path
 
 
@@ -58,7 +58,7 @@ def load_store(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
         return T.StructType([T.StructField(f.name, T.StringType() if f.name in ts_fields else f.dataType)
                              for f in st.fields])
 
-    lead_json = T.StructType([T.StructField(n, S.STORED_LEAD[c].dataType if c not in ts_fields else T.StringType())
+    lead_json = T.StructType([T.StructField(n, T.StringType() if c in ts_fields else _json_type(S.STORED_LEAD[c].dataType))
                               for n, c in _LEAD_JSON_NAMES])
     doc = T.StructType([
         T.StructField("searches", T.ArrayType(as_json(S.SEARCHES))),
@@ -80,10 +80,39 @@ def load_store(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
     r = raw.select(F.explode("runs").alias("r")).select("r.*")
     r = r.select(*[ts(f.name).alias(f.name) if f.name in ts_fields else F.col(f.name) for f in S.RUNS.fields])
     l = raw.select(F.explode("leads").alias("r")).select("r.*")
-    l = l.select(*[(ts(n) if c in ts_fields else F.col(n)).alias(c) for n, c in _LEAD_JSON_NAMES])
+    # structs are cast by position: camelCase document names to the table's names
+    l = l.select(*[(ts(n) if c in ts_fields else F.col(n).cast(S.STORED_LEAD[c].dataType)).alias(c) for n, c in _LEAD_JSON_NAMES])
     return s, r, l
 
 
+def load_counters(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """#4: the id counters of a store document, one row ``(search_id, run_id, lead_id)``:
+    the highest id ever given, which may be above the highest id that is left. Null for
+    counters the document doesn't have; one row of nulls for a missing document."""
+    names = [("searchId", "search_id"), ("runId", "run_id"), ("leadId", "lead_id")]
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return spark.createDataFrame([(None, None, None)], ", ".join(f"{c} long" for _, c in names))
+    raw = spark.read.schema("counters struct<" + ", ".join(f"{n}: long" for n, _ in names) + ">").option(
+        "multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
+    return raw.agg(*[F.max(f"counters.{n}").alias(c) for n, c in names])
+
+
+def _camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(w.capitalize() for w in rest)
+
+
+def _json_type(t):
+    """The document's form of a type: struct fields in camelCase."""
+    from pyspark.sql import types as T
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField("hasH1" if f.name == "has_h1" else _camel(f.name), _json_type(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_json_type(t.elementType))
+    return t
+
+
 # JSON document field names of a stored lead -> table column names.
 _LEAD_JSON_NAMES = [
     ("id", "id"), ("name", "name"), ("domain", "domain"), ("website", "website"),

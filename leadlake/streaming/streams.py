@@ -3,9 +3,9 @@
 * ``stream_enrich``: the stateless page pipeline over arriving page files;
 * ``stream_new_domains``: each unseen, unblocked, not-yet-stored domain once,
   with event-time deduplication bounded by a watermark;
-* ``stream_upsert``: every micro-batch folded into the versioned lead table by
-  ``upsert_leads``; the version folder is named after the batch id, so a
-  replayed batch finds its version already published and does nothing.
+* ``stream_upsert``: every micro-batch folded into the newest version of the lead
+  table by ``upsert_leads``; the new version carries a marker with the query id of
+  the stream and the batch id, so a replayed batch is known and does nothing.
 
 Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 """
@@ -19,7 +19,7 @@ from leadlake.functions import names as N
 from leadlake.functions.urls import host_of
 from leadlake.operators import pages as P
 from leadlake.operators import store as ST
-from leadlake.session import publish_table, table_exists
+from leadlake.session import _fs, publish_table
 from leadlake.sources import sinks
 
 
@@ -40,21 +40,33 @@ def stream_new_domains(hits_stream: DataFrame, known: DataFrame, event_col: str
     return h.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["domain"])
 
 
-def stream_upsert(leads_stream: DataFrame, root: str, base_store: DataFrame, run_id: int, now: str,
+def stream_upsert(leads_stream: DataFrame, root: str, base_store: DataFrame, run_id: int, now: str | None,
                   checkpoint: str, trigger_once: bool = True):
     """#95: fold each micro-batch into the lead table at ``root/leads/v=<n>``.
 
-    Version ``0`` is ``base_store``; batch ``b`` reads version ``b`` and writes
-    version ``b + 1``. A replayed batch id finds ``v=b+1`` published and skips."""
+    ``base_store`` becomes version 0 where the table has no version yet. A batch reads
+    the newest version and publishes the next one, together with a marker that names the
+    stream (the query id in its checkpoint) and the batch; a batch whose marker exists is
+    a replay and is skipped. A second stream on the same table goes on from its newest
+    version; if two write at once, one of them fails on the existing version and is
+    retried by its checkpoint. ``now`` stamps the rows; ``None`` takes each batch's time."""
     spark = leads_stream.sparkSession
-    sinks.save_table(base_store, root, "leads", 0)
+    if not sinks.versions(spark, root, "leads"):
+        sinks.save_table(base_store, root, "leads", 0)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        target = f"{root.rstrip('/')}/leads/v={batch_id + 1}"
-        if table_exists(spark, target):
+        import json
+        from datetime import UTC, datetime
+        query_id = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+        marker = f"batch-{query_id}-{batch_id}"
+        done = sinks.versions(spark, root, "leads")
+        fs, _ = _fs(spark, root)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        if any(fs.exists(path(f"{root.rstrip('/')}/leads/v={v}/_{marker}")) for v in done):
             return
-        cur = spark.read.parquet(f"{root.rstrip('/')}/leads/v={batch_id}")
-        publish_table(ST.upsert_leads(cur, batch, run_id, now), target)
+        cur = spark.read.parquet(f"{root.rstrip('/')}/leads/v={done[-1]}")
+        stamp = now or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+        publish_table(ST.upsert_leads(cur, batch, run_id, stamp), f"{root.rstrip('/')}/leads/v={int(done[-1]) + 1}", marker=marker)
 
     w = leads_stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     q = (w.trigger(availableNow=True) if trigger_once else w).start()

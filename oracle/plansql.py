@@ -106,7 +106,7 @@ SELECT spec_ord,
   CASE WHEN spec_ord % 2 = 0 THEN NULL WHEN spec_ord % 4 = 1 THEN {arr(SUB1)} ELSE {arr(SUB3)} END AS channels
 FROM (
   SELECT CAST(row_number() OVER (ORDER BY seg, n_nationkey) - 1 AS INTEGER) AS spec_ord, seg, n_nationkey, n_name
-  FROM (SELECT DISTINCT lower(c_mktsegment) AS seg, c_nationkey AS n_nationkey FROM customer WHERE c_nationkey < 4)
+  FROM (SELECT DISTINCT lower(c_mktsegment) AS seg, c_nationkey AS n_nationkey FROM customer)
   JOIN nation USING (n_nationkey)
 )"""
 
@@ -233,10 +233,10 @@ hp AS (SELECT page_id, html, host, row_number() OVER (PARTITION BY host ORDER BY
        FROM (SELECT page_id, html, regexp_replace(b_host, '^www[.]', '') AS host
              FROM (SELECT page_id, html, {PS.parts_cols(PS.clean_url('url'), 'b_')} FROM pages) WHERE b_ok)),
 home AS (
-  SELECT CASE WHEN r = 1 THEN 'https://' || host ELSE 'https://' || host || '/contact' END AS url,
+  SELECT CASE WHEN r = 1 THEN 'https://' || host WHEN r = 2 THEN 'https://' || host || '/contact' ELSE 'https://' || host || '/p' || r END AS url,
     CAST(CASE WHEN r = 2 THEN 200 WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 19 = 0 THEN NULL ELSE 200 END AS INTEGER)
       AS status_code, html
-  FROM hp WHERE r <= 2),
+  FROM hp),
 known AS (
   SELECT DISTINCT regexp_replace(b_host, '^www[.]', '') AS domain
   FROM (SELECT {PS.parts_cols(PS.clean_url('url'), 'b_')} FROM pages WHERE page_id % 5 = 0) WHERE b_ok)"""

@@ -158,10 +158,6 @@ ORACLE["save_table"] = f"""{_S.W} SELECT id, domain FROM fx_leads"""
 
 ORACLE["export_leads_csv"] = _S.Q["export_view"]
 
-ORACLE["channel_dim"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"(CAST({i} AS BIGINT), {_lit(c[0])}, {_lit(c[1])}, {_lit(c[2])}, {_lit(c[3])}, {_lit(c[4])}, {_lit(c[5])})"
-    for i, c in enumerate(_K.CHANNELS)) + ") t(channel_ord, id, label, domain, kind, reliability, note)"
-
 ORACLE["exclude_blocked"] = f"""{_D.FIX}, {_D.HITS_HOSTS}
 SELECT DISTINCT host FROM hh WHERE host IS NOT NULL AND NOT {_NS.is_blocked('host')}"""
 

@@ -158,8 +158,8 @@ def lead_rows(t: str) -> str:
 
 
 Q["merge_outreach"] = f"""{W},
-m AS (SELECT o.domain, {merge_outreach('o.outreach', 'n.outreach')} AS m
-      FROM fx_leads o JOIN fx_new_leads n ON o.domain = n.domain)
+m AS (SELECT coalesce(o.domain, n.domain) AS domain, {merge_outreach('o.outreach', 'n.outreach')} AS m
+      FROM fx_leads o FULL OUTER JOIN fx_new_leads n ON o.domain = n.domain)
 SELECT domain, m IS NOT NULL AS present, array_to_string(m.emails, '; ') AS emails,
   array_to_string(m.phones, '; ') AS phones, array_to_string(m.socials, '; ') AS socials,
   m.contact_url AS contact_url, {people_str('m')} AS people FROM m"""
@@ -201,7 +201,8 @@ u AS (
 Q["known_domains"] = f"{W} SELECT DISTINCT domain FROM fx_leads"
 
 _PATCH = f"""p AS (SELECT * FROM fx_patches WHERE status IS NULL OR list_contains({ST}, status)),
-lastp AS (SELECT id, arg_max({{'status': status, 'notes': notes, 'set_notes': set_notes}}, patch_ord) AS p
+lastp AS (SELECT id, {{'status': arg_max(status, patch_ord) FILTER (status IS NOT NULL),
+            'notes': (arg_max({{'n': notes}}, patch_ord) FILTER (set_notes)).n, 'set_notes': bool_or(set_notes)}} AS p
           FROM p GROUP BY id)"""
 
 Q["patch_leads"] = f"""{W}, {_PATCH}
@@ -243,11 +244,11 @@ _SROWS = """SELECT id, niche, location, CAST(lim AS BIGINT) AS lim, array_to_str
 Q["upsert_searches"] = f"""{WS_},
 n AS (SELECT niche, coalesce(location, '') AS k,
         arg_max({{'location': location, 'lim': lim, 'channels': channels, 'label': label, 'input_ord': input_ord}},
-                input_ord) AS r
+                input_ord) AS r, min(input_ord) AS first_ord
       FROM fx_new_searches GROUP BY niche, coalesce(location, '')),
 s AS (SELECT *, coalesce(location, '') AS k FROM fx_searches),
 j AS (SELECT coalesce(s.niche, n.niche) AS niche, s.id, s.location, s.lim, s.channels, s.label, s.active,
-        s.created_at, n.r FROM s FULL OUTER JOIN n ON s.niche = n.niche AND s.k = n.k),
+        s.created_at, n.r, n.first_ord FROM s FULL OUTER JOIN n ON s.niche = n.niche AND s.k = n.k),
 out AS (
   SELECT id, niche, location,
     CASE WHEN r IS NOT NULL THEN CAST(coalesce(r.lim, 10) AS INTEGER) ELSE lim END AS lim,
@@ -256,7 +257,7 @@ out AS (
     CASE WHEN r IS NOT NULL THEN true ELSE active END AS active, created_at
   FROM j WHERE id IS NOT NULL
   UNION ALL
-  SELECT (SELECT coalesce(max(id), 0) FROM fx_searches) + row_number() OVER (ORDER BY r.input_ord), niche, r.location,
+  SELECT (SELECT coalesce(max(id), 0) FROM fx_searches) + row_number() OVER (ORDER BY first_ord), niche, r.location,
     CAST(coalesce(r.lim, 10) AS INTEGER), CASE WHEN len(r.channels) > 0 THEN r.channels END, r.label, true, {NOW}
   FROM j WHERE id IS NULL)
 {_SROWS} out"""
