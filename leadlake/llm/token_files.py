@@ -14,7 +14,9 @@ length of a block is the sum of ``lengths``; unused bits of the last control byt
 
 from __future__ import annotations
 
+import gc
 import re
+import struct
 import sys
 import types
 import uuid
@@ -78,7 +80,6 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # cuts it: words, single digits and runs of marks.
 _SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*\Z")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
 
 class Encoder:
@@ -87,43 +88,43 @@ class Encoder:
     Such a tokenizer gives the ids of a text as those of its chunks one after another, and those of
     a simple chunk (see ``_SIMPLE``) as those of its pieces; any other chunk is one piece. So each
     distinct piece goes through the library once, chunks are put together from pieces, and both are
-    remembered. Words are sent many at a time, separated by blanks, and cut after the tokens that
-    end a word."""
+    remembered. Pieces of simple chunks are what the tokenizer's normalizer and pre-tokenizer
+    make of them anyhow, so they go straight to its model; others go through all of it."""
 
     def __init__(self, description: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(description)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # every piece comes once
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        probe = ["the", "qwzxv", "naïve", "straße", "7", "!!", "$%&", "été"]
+        if [self._of_model(p) for p in probe] != [self._whole(p) for p in probe]:
+            raise ValueError("the tokenizer does not cut words, digits and marks as token files need it")
         # strings that are one token wherever they stand, whatever their case there
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(added) or rb"(?!)").search
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
 
     def _cut(self, chunk: bytes) -> list[str]:
         low = chunk.lower()  # A-Z only; the tokenizer lower-cases too
-        if any(t in low for t in self.special):
+        if self.special(low):
             return [chunk.decode("utf-8", "replace")]
         c = low.decode("utf-8", "replace")
         return _PIECE.findall(c) if _SIMPLE.match(c) else [c]
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _of_model(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = self.bytes.pre_tokenize_str(piece.lower())[0][0]
+        return [t.id for t in self.model.tokenize(piece)]
+
     def _learn(self, pieces: set[str]) -> None:
-        words = [p for p in pieces if _WORD.match(p)]
-        odd = [p for p in pieces if not _WORD.match(p)]
-        for at in range(0, len(words), 1000):
-            some = words[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                for p, x in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    self.pieces[p] = x.tobytes()
-            else:
-                odd += some
-        if odd:
-            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
-            for p, x in zip(odd, found, strict=True):
-                self.pieces[p] = np.array(x.ids, "<u4").tobytes()
+        for p in pieces:
+            ids = self._of_model(p) if _PIECE.fullmatch(p) else self._whole(p)
+            self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each chunk as little-endian 32-bit integers."""
@@ -153,6 +154,7 @@ def encoder(description: str) -> Encoder:
     kept = sys.modules.setdefault("_token_file_encoders", types.ModuleType("_token_file_encoders")).__dict__
     key = f"{zlib.crc32(description.encode())}:{len(description)}"
     if key not in kept:
+        gc.set_threshold(1_000_000)  # millions of strings in caches and no cycles among them
         kept[key] = Encoder(description)
     return kept[key]
 
