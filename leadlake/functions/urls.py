@@ -107,17 +107,19 @@ def _serialize(c: Column) -> Column:
                     _encode_path(p), _encode_query(c["query"]))
 
 
+def normalize_url(url: Column) -> Column:
+    """An absolute URL as a browser writes it (host lower-cased, default port and fragment
+    gone, empty path ``/``); a URL that can't be parsed stays as it is."""
+    parts = parse_url_parts(url)
+    return F.coalesce(let(parts, lambda p: F.when(p.isNotNull(), _serialize(p))), url)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case hostname without a leading ``www.``; null when unparsable (#19)."""
     parts = parse_url_parts(url)
     return F.when(parts.isNotNull(), F.regexp_replace(parts["host"], r"^www\.", ""))
 
 
-def hostname_of(url: Column) -> Column:
-    """Lower-case hostname (``www.`` kept), null when unparsable."""
-    return parse_url_parts(url)["host"]
-
-
 def resolve_url(href: Column, base: Column, base_parsed: bool = False) -> Column:
     """struct(url, host) of ``new URL(href, base)`` if it is http(s), else null.
 

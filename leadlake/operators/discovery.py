@@ -329,3 +329,26 @@ def cap_candidates(merged: DataFrame, specs: DataFrame, factor: int | None = K.C
     if factor is not None:
         m = m.where(F.col("cand_rank") <= F.greatest(F.col("lim") * factor, F.lit(least)))
     return m.drop("lim")
+
+
+def cap_across_specs(merged: DataFrame, specs: DataFrame, factor: int | None = K.CANDIDATE_CAP_FACTOR,
+                     least: int = K.CANDIDATE_CAP_MIN) -> DataFrame:
+    """#76: ``cap_candidates`` for specs that run one after another, where a domain kept by an
+    earlier spec is known to the later ones.
+
+    Each round caps every spec on its candidates without the domains that earlier specs kept in
+    the round before, until no spec changes. The first spec is right from the start, and a spec is
+    right one round after all before it are, so the result is that of the loop over specs, in as
+    many rounds as the longest chain of specs that take candidates from one another. A round
+    works on narrow rows; only the number of changed rows comes to the driver."""
+    kept = cap_candidates(merged, specs, factor, least).select("spec_ord", "domain").checkpoint()
+    while True:
+        owner = kept.groupBy("domain").agg(F.min("spec_ord").alias("_owner"))
+        free = (merged.join(owner, "domain", "left")
+                .where(F.col("_owner").isNull() | (F.col("_owner") >= F.col("spec_ord"))).drop("_owner"))
+        capped = cap_candidates(free, specs, factor, least)
+        now = capped.select("spec_ord", "domain").checkpoint()
+        changed = now.exceptAll(kept).unionAll(kept.exceptAll(now)).limit(1).count()
+        kept = now
+        if not changed:
+            return capped

@@ -1,8 +1,8 @@
 """Enrichment and lead building (#58, #61-#63, #76).
 
-The captured-page table is scanned once: it is semi-joined to the URLs the
-candidates need (home page and ``/contact``), every signal is derived in one
-projection, and only narrow results (audit struct, contacts, brand name) are
+The captured-page table is semi-joined to the URLs the candidates need, once for the
+home pages and once for the contact pages of those without an email; every signal is
+derived in one projection, and only narrow results (audit struct, contacts, brand name) are
 joined back to the candidates -- the HTML itself never crosses a shuffle.
 """
 
@@ -16,22 +16,38 @@ from leadlake.functions.names import brand_name
 from leadlake.functions.regex import clean_distinct
 from leadlake.functions.scoring import ScoreWeights, score_lead
 from leadlake.functions.seo import AuditRules
-from leadlake.functions.urls import contact_url
+from leadlake.functions.urls import contact_url, normalize_url
 from leadlake.operators import discovery as D
 from leadlake.operators.pages import audit_column, page_contacts, page_signals, with_status
 
 
+def _wanted(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """The captures of the URLs, compared in normal form, with that form as ``url_key``."""
+    need = urls.select(normalize_url(F.col("url")).alias("_u")).where(F.col("_u").isNotNull()).distinct()
+    p = with_status(pages).withColumn("url_key", normalize_url(F.col("url")))
+    return p.join(need, F.col("url_key") == F.col("_u"), "left_semi")
+
+
+def _one_capture(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row per ``url_key``: a successful capture before others, then the last by ``order``."""
+    rest = [c for c in rows.columns if c != "url_key"]
+    latest = F.max_by(F.struct(*rest), F.struct("success", *order, F.hash("brand", "emails", "phones", "socials")))
+    return rows.groupBy("url_key").agg(latest.alias("_r")).select("url_key", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def enriched_pages(pages: DataFrame, urls: DataFrame, rules: AuditRules = AuditRules(),
                    social_match: str = "substring") -> DataFrame:
-    """Per captured URL that a candidate needs: success flag, audit, contacts, brand."""
-    need = urls.select(F.col("url").alias("_u")).distinct()
-    p = with_status(pages).join(need, F.col("url") == F.col("_u"), "left_semi")
-    sig = page_contacts(page_signals(p.select("url", "status_code", "html"), keep=[]), social_match)
+    """Per wanted URL (``url_key``): success flag, audit, contacts, brand of one capture, the
+    last by ``captured_at`` or else ``page_id`` where the table has them."""
+    p = _wanted(pages, urls)
+    order = [c for c in ("captured_at", "page_id") if c in p.columns]
+    sig = page_contacts(page_signals(p, keep=["url_key", *order]), social_match)
     st = F.col("status_code")
-    return sig.select(
-        "url", F.coalesce((st >= 200) & (st <= 299), F.lit(False)).alias("success"),
+    rows = sig.select(
+        "url_key", *order, F.coalesce((st >= 200) & (st <= 299), F.lit(False)).alias("success"),
         audit_column(rules=rules).alias("seo"), "emails", "phones", "socials",
         brand_name(F.col("og_title"), F.col("title")).alias("brand"))
+    return _one_capture(rows, order).drop(*order)
 
 
 def enrich(cands: DataFrame, pages: DataFrame, rules: AuditRules = AuditRules(),
@@ -39,26 +55,34 @@ def enrich(cands: DataFrame, pages: DataFrame, rules: AuditRules = AuditRules(),
     """#58: home page by website; audit + contacts; only when the home page has no
     email, the ``/contact`` page: emails replaced, phones and socials unioned,
     ``contact_url`` set when emails or phones exist. A missing or failed home page
-    gives a null enrichment (the candidate is kept)."""
-    c = cands.withColumn("_cu", contact_url(F.col("website")))
-    urls = c.select(F.col("website").alias("url")).unionByName(c.select(F.col("_cu").alias("url")))
-    ep = enriched_pages(pages, urls, rules, social_match)
-    home = ep.select(*[F.col(x).alias("h_" + x) for x in ep.columns])
-    contact = ep.where("success").select(*[F.col(x).alias("x_" + x) for x in ep.columns if x != "success"])
-    j = c.join(home, F.col("website") == F.col("h_url"), "left")
-    ok = F.coalesce(F.col("h_success"), F.lit(False))
-    need = ok & (F.size("h_emails") == 0)
-    j = j.withColumn("_ck", F.when(need, F.col("_cu")))
-    j = j.join(contact, F.col("_ck") == F.col("x_url"), "left")
-    got = F.col("x_url").isNotNull()
+    gives a null enrichment (the candidate is kept).
+
+    URLs are compared in normal form, and of several captures of a URL one counts, so
+    candidates are never multiplied. Contact pages are wanted only for the candidates
+    that need one; the others don't take part in that join."""
+    c = cands.withColumn("_cu", contact_url(F.col("website"))).withColumn("_hk", normalize_url(F.col("website")))
+    home = enriched_pages(pages, c.select(F.col("website").alias("url")), rules, social_match)
+    home = home.select(*[F.col(x).alias("h_" + x) for x in home.columns])
+    j = c.join(home, F.col("_hk") == F.col("h_url_key"), "left").withColumn("_ok", F.coalesce("h_success", F.lit(False)))
+    j = j.checkpoint()  # read three times below
+    need = F.col("_ok") & (F.size("h_emails") == 0)
+    asking = j.where(need).withColumn("_ck", normalize_url(F.col("_cu")))
+    contact = enriched_pages(pages, asking.select(F.col("_cu").alias("url")), rules, social_match).where("success")
+    contact = contact.select(*[F.col(x).alias("x_" + x) for x in ("url_key", "emails", "phones", "socials")])
+    asked = asking.join(contact, F.col("_ck") == F.col("x_url_key"), "left").drop("_ck")
+    others = j.where(~need)
+    for f in contact.schema.fields:
+        others = others.withColumn(f.name, F.lit(None).cast(f.dataType))
+    j = asked.unionByName(others)
+    got = F.col("x_url_key").isNotNull()
     emails = F.when(got, F.col("x_emails")).otherwise(F.col("h_emails"))
     phones = F.when(got, clean_distinct(F.concat("h_phones", "x_phones"))).otherwise(F.col("h_phones"))
     socials = F.when(got, clean_distinct(F.concat("h_socials", "x_socials"))).otherwise(F.col("h_socials"))
     cu = F.when(got & ((F.size(emails) > 0) | (F.size(phones) > 0)), F.col("_cu"))
-    outreach = F.when(ok, C.outreach_struct(emails, phones, socials, cu))
+    outreach = F.when(F.col("_ok"), C.outreach_struct(emails, phones, socials, cu))
     return j.select(*[x for x in cands.columns],
-                    outreach.alias("outreach"), F.when(ok, F.col("h_seo")).alias("seo"),
-                    F.when(ok, F.col("h_brand")).alias("brand"))
+                    outreach.alias("outreach"), F.when(F.col("_ok"), F.col("h_seo")).alias("seo"),
+                    F.when(F.col("_ok"), F.col("h_brand")).alias("brand"))
 
 
 def build_leads(cands: DataFrame, pages: DataFrame | None, enrich_pages: bool = True,
@@ -80,22 +104,23 @@ def build_leads(cands: DataFrame, pages: DataFrame | None, enrich_pages: bool =
 
 def run_search(specs: DataFrame, serp: DataFrame, places: DataFrame | None, pages: DataFrame | None,
                known: DataFrame | None = None, enrich_pages: bool = True, cross_spec: bool = False) -> DataFrame:
-    """#63 (and #76 batch mode with ``cross_spec=True``): plan -> discover ->
-    known-domain exclusion -> merge -> cap -> leads, best score first per spec.
+    """#63 (and #76 with ``cross_spec=True``): plan -> discover -> known-domain exclusion
+    -> merge -> cap -> leads. Rows carry ``spec_ord``, ``cand_rank`` and ``score``; sort by
+    spec, score descending and rank for the application's list.
 
-    ``cross_spec``: a domain found by several specs is kept only for the earliest
-    spec (before the cap), so one run never stores a domain twice."""
+    ``cross_spec``: specs run one after another, as a saved run does: a domain that an earlier
+    spec *kept* is known to later ones, which fill up with their next candidates."""
     from leadlake.plans.planning import plan_queries
     planned = plan_queries(specs)
     cands = D.discover_channels(planned, serp, places, known)
     if known is not None:
         cands = D.exclude_known(cands, known)
     merged = D.merge_candidates(cands)
+    # the capped list feeds enrichment twice (URL semi-join and main join): checkpoint it so
+    # discovery runs once
     if cross_spec:
-        first = merged.groupBy("domain").agg(F.min("spec_ord").alias("_s"))
-        merged = merged.join(first, (merged.domain == first.domain) & (merged.spec_ord == first._s),
-                             "left_semi")
-    # the capped list (<= 150 per spec) feeds enrichment twice (URL semi-join and
-    # main join): checkpoint it so discovery runs once
-    capped = D.cap_candidates(merged, specs).checkpoint()
+        merged = merged.checkpoint()
+        capped = D.cap_across_specs(merged, specs).checkpoint()
+    else:
+        capped = D.cap_candidates(merged, specs).checkpoint()
     return build_leads(capped, pages, enrich_pages)

@@ -27,21 +27,29 @@ def with_status(pages: DataFrame) -> DataFrame:
     return pages.withColumn("status_code", F.lit(DEFAULT_STATUS))
 
 
+def with_final_url(pages: DataFrame) -> DataFrame:
+    """Captures without a final URL were not redirected."""
+    if "final_url" in pages.columns:
+        return pages.withColumn("final_url", F.coalesce("final_url", "url"))
+    return pages.withColumn("final_url", F.col("url"))
+
+
 def page_signals(pages: DataFrame, *, favicon_source: str = "meta", h1_source: str = "markdown",
                  keep: list[str] | None = None) -> DataFrame:
     """Metadata struct parts, page text and links of each page, ``html`` dropped (#51).
 
     ``keep`` lists extra input columns to carry through (keys, ordinals)."""
-    pages = with_status(pages)
-    keep = keep if keep is not None else [c for c in pages.columns if c not in ("html", "url", "status_code")]
+    pages = with_final_url(with_status(pages))
+    keep = keep if keep is not None else [c for c in pages.columns if c not in ("html", "url", "status_code", "final_url", "captured_at")]
     html = F.col("html")
-    base = pages.select(*keep, "url", F.col("status_code").cast("int").alias("status_code"), "html",
-                        parse_url_parts(F.col("url")).alias("_base"))
+    # the page's own links and the https rule go by the URL at which it was found
+    base = pages.select(*keep, "url", "final_url", F.col("status_code").cast("int").alias("status_code"), "html",
+                        parse_url_parts(F.col("final_url")).alias("_base"))
     cols = [
         *[F.col(c) for c in keep],
         F.col("url"),
         F.col("status_code"),
-        F.col("url").alias("final_url"),
+        F.col("final_url"),
         H.extract_title(html).alias("title"),
         H.meta_content(html, "description").alias("description"),
         H.meta_content(html, "og:title").alias("og_title"),

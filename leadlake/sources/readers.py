@@ -9,7 +9,7 @@ from leadlake.sources import schemas as S
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured web pages ``(page_id, url, html[, status_code])`` (#1).
+    """Captured web pages ``(page_id, url, html[, status_code][, final_url][, captured_at])`` (#1).
 
     Replaces the live fetch. Columns are selected by name so the Parquet scan
     prunes anything else; a missing status means a successful capture (200)."""
@@ -18,6 +18,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             F.col("html").cast("string").alias("html")]
     if "status_code" in df.columns:
         cols.append(F.col("status_code").cast("int").alias("status_code"))
+    # where a redirect ended, and when the page was captured
+    for name, kind in (("final_url", "string"), ("captured_at", "timestamp")):
+        if name in df.columns:
+            cols.append(F.col(name).cast(kind).alias(name))
     return df.select(*cols)
 
 

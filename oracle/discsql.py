@@ -426,11 +426,21 @@ SELECT {LEAD_OUT} FROM ld"""
 Q["run_search"] = Q["build_leads"]
 
 Q["run_discovery"] = f"""{FIX}, {MERGED},
-firsts AS (SELECT * FROM merged WHERE spec_ord = (SELECT min(spec_ord) FROM merged m2 WHERE m2.domain = merged.domain)),
-capped2 AS (
-  SELECT * FROM (
-    SELECT m.*, s.lim, row_number() OVER (PARTITION BY m.spec_ord ORDER BY len(m.channels) DESC, m.first_ord) AS cand_rank
-    FROM firsts m JOIN specs s USING (spec_ord))
-  WHERE cand_rank <= greatest(3 * lim, 40)),
+lists AS MATERIALIZED (
+  SELECT s.spec_ord, greatest(3 * s.lim, 40) AS cap,
+         coalesce(list(m.domain ORDER BY len(m.channels) DESC, m.first_ord) FILTER (m.domain IS NOT NULL), []) AS ds
+  FROM specs s LEFT JOIN merged m USING (spec_ord) GROUP BY s.spec_ord, s.lim),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY spec_ord) AS step FROM lists),
+-- one spec after another; taken: domains that the specs before kept
+loop AS (
+  WITH RECURSIVE l AS (
+    SELECT 0::BIGINT AS step, -1 AS spec_ord, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS taken
+    UNION ALL
+    SELECT step, spec_ord, kept, list_concat(taken, kept)
+    FROM (SELECT n.step, n.spec_ord, l.taken,
+                 list_filter(n.ds, lambda d: NOT list_contains(l.taken, d))[1:n.cap] AS kept
+          FROM l JOIN numbered n ON n.step = l.step + 1))
+  SELECT spec_ord, unnest(kept) AS domain FROM l),
+capped2 AS (SELECT m.* FROM merged m JOIN loop ON loop.spec_ord = m.spec_ord AND loop.domain = m.domain),
 {leads_ctes('capped2')}
 SELECT {LEAD_OUT} FROM ld"""
