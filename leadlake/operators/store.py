@@ -84,7 +84,7 @@ def fold_leads(leads: DataFrame, order_cols: list[str]) -> DataFrame:
 
 
 def upsert_leads(store: DataFrame, leads: DataFrame, run_id: int, now: str,
-                 order_cols: list[str] | None = None, last_id: int | None = None) -> DataFrame:
+                 order_cols: list[str] | None = None, next_id: int | None = None) -> DataFrame:
     """#66: match on domain. Update: name, website, query, channels overwritten;
     description new-else-old; outreach merged; audit new-else-old; score = max;
     reasons from the winner (tie -> new); derived opportunity/issue count/has_email;
@@ -93,15 +93,14 @@ def upsert_leads(store: DataFrame, leads: DataFrame, run_id: int, now: str,
 
     A domain that ``leads`` has several times is folded first (``fold_leads``), in the
     order of ``order_cols``; by that order new domains get their ids too. Default: the
-    column ``input_ord`` if there is one, else the domain and the row's values. ``last_id``
+    column ``input_ord`` if there is one, else the domain and the row's values. ``next_id``
     is the stored counter of ids; without it ids go on from the highest id in the table,
     so that the id of a deleted last lead would be given again.
 
     One full-outer join on domain and one projection; ids are numbered without a window
     over all new leads (``sequential_ids``)."""
     ts = _ts(now)
-    if last_id is None:
-        last_id = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    last_id = next_id - 1 if next_id is not None else store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     order = order_cols or (["input_ord"] if "input_ord" in leads.columns else ["domain", "score", "name", "website", "query"])
     leads = fold_leads(leads, order)
     fresh = leads.join(store.select("domain"), "domain", "left_anti").select("domain", "first_seen")

@@ -86,16 +86,16 @@ def load_store(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
 
 
 def load_counters(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """#4: the id counters of a store document, one row ``(search_id, run_id, lead_id)``:
-    the highest id ever given, which may be above the highest id that is left. Null for
-    counters the document doesn't have; one row of nulls for a missing document."""
-    names = [("searchId", "search_id"), ("runId", "run_id"), ("leadId", "lead_id")]
+    """#4: the id counters of a store document, one row ``(next_search_id, next_run_id,
+    next_lead_id)``: the ids to be given next, above every id ever given. Null for counters
+    the document doesn't have; one row of nulls for a missing document."""
+    names = [(_camel(c), c) for c in ("next_search_id", "next_run_id", "next_lead_id")]
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([(None, None, None)], ", ".join(f"{c} long" for _, c in names))
-    raw = spark.read.schema("counters struct<" + ", ".join(f"{n}: long" for n, _ in names) + ">").option(
+    raw = spark.read.schema(", ".join(f"{n} long" for n, _ in names)).option(
         "multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
-    return raw.agg(*[F.max(f"counters.{n}").alias(c) for n, c in names])
+    return raw.agg(*[F.max(n).alias(c) for n, c in names])
 
 
 def _camel(name: str) -> str:
