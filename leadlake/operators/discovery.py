@@ -30,8 +30,8 @@ CAND_COLS = ["spec_ord", "channel", "channel_ord", "ord", "name", "website", "do
 def provider_fallback(serp: DataFrame) -> DataFrame:
     """Per query keep only the first provider (by ``provider_ord``) that returned
     anything (#36)."""
-    best = F.min("provider_ord").over(W.partitionBy("query"))
-    return serp.withColumn("_best", best).where(F.col("provider_ord") == F.col("_best")).drop("_best")
+    best = serp.groupBy(F.col("query").alias("_q")).agg(F.min("provider_ord").alias("_best"))
+    return serp.join(best, (F.col("query") == F.col("_q")) & (F.col("provider_ord") == F.col("_best")), "left_semi")
 
 
 def top_hits(hits: DataFrame, depth: Column | int) -> DataFrame:
@@ -41,25 +41,30 @@ def top_hits(hits: DataFrame, depth: Column | int) -> DataFrame:
     return hits.where(F.col("rank") <= d)
 
 
-def prepare_hits(serp: DataFrame) -> DataFrame:
-    """Hits with ``host`` and ``blocked`` derived once per row, then provider
-    fallback. The derived columns are computed before the fallback's shuffle by
-    query, so the exchange carries them and every channel (and both resolution
-    passes) reuses that single exchange instead of re-parsing URLs."""
-    h = serp.withColumn("host", host_of(F.col("url")))
-    h = h.withColumn("blocked", N.is_blocked(F.col("host")))
-    return provider_fallback(h).drop("provider_ord")
+def prepare_hits(serp: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """The hits of the given queries (column ``query``, and ``depth`` for the ranks that
+    are wanted; all hits without it) after provider fallback, with ``host`` and ``blocked``.
+    The captured hits are pruned to the queries before any URL is parsed."""
+    h = serp
+    if queries is not None:
+        wanted = queries.groupBy(F.col("query").alias("_wq")).agg(F.max("depth").alias("_wd"))
+        h = h.join(wanted.select("_wq"), F.col("query") == F.col("_wq"), "left_semi")
+        h = provider_fallback(h).join(wanted, (F.col("query") == F.col("_wq")) & (F.col("rank") <= F.col("_wd")), "left_semi")
+    else:
+        h = provider_fallback(h)
+    h = h.drop("provider_ord").withColumn("host", host_of(F.col("url")))
+    return h.withColumn("blocked", N.is_blocked(F.col("host")))
 
 
-def _prepared(serp: DataFrame) -> DataFrame:
-    return serp if "blocked" in serp.columns else prepare_hits(serp)
+def _prepared(serp: DataFrame, queries: DataFrame) -> DataFrame:
+    return serp if "blocked" in serp.columns else prepare_hits(serp, queries)
 
 
 def query_hits(planned: DataFrame, serp: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """Planned queries joined to their (fallback-resolved, depth-limited) hits.
     ``serp`` is raw hits or the output of ``prepare_hits``."""
     p = planned if channels is None else planned.where(F.col("channel").isin(*channels))
-    j = p.join(_prepared(serp), "query")
+    j = p.join(_prepared(serp, p), "query")
     return top_hits(j, F.col("depth"))
 
 
@@ -130,7 +135,7 @@ def resolve_websites(names: DataFrame, serp: DataFrame) -> DataFrame:
     queries whose host is not blocked, not on the channel's own domain, and
     matches the name. ``names`` needs spec_ord, channel, name, location."""
     rq = resolve_queries(names.select("spec_ord", "channel", "name", "location").distinct())
-    h = _prepared(serp)
+    h = _prepared(serp, rq.select(F.col("rquery").alias("query"), F.col("rdepth").alias("depth")))
     j = rq.join(h, F.col("rquery") == F.col("query")).where(F.col("rank") <= F.col("rdepth"))
     dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
     ok = (F.col("host").isNotNull() & ~F.col("blocked")
@@ -165,12 +170,13 @@ def _number_names(df: DataFrame) -> DataFrame:
     return first.withColumn("name_ord", _ord(F.col("k1"), F.col("k2") * 1000000 + F.col("k3"), F.col("k4")))
 
 
-def discover_profile(planned: DataFrame, serp: DataFrame) -> DataFrame:
+def discover_profile(planned: DataFrame, serp: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """#40: profile hits on the channel's own domain (no sub-domains, no list/compare
     pages) -> company names from titles (+ g2 snippet names) -> distinct in order ->
-    website resolution -> first name per host -> first ``lim``."""
+    website resolution -> first name per host -> first ``lim``. ``hits``: the prepared
+    hits of the planned queries, where the caller has them."""
     chans = [c for c, _, _, kind, *_ in K.CHANNELS if kind == "profile"]
-    h = query_hits(planned, serp, chans).withColumnRenamed("host", "rhost")
+    h = query_hits(planned, serp if hits is None else hits, chans).withColumnRenamed("host", "rhost")
     dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
     label = F.coalesce(*[F.when(F.col("channel") == c, F.lit(lb)) for c, lb, *_ in K.CHANNELS])
     on_domain = F.coalesce(F.col("rhost") == dom, F.lit(False))
@@ -190,9 +196,9 @@ def discover_profile(planned: DataFrame, serp: DataFrame) -> DataFrame:
     return _resolved_candidates(named, serp, limit=True)
 
 
-def discover_listing(planned: DataFrame, serp: DataFrame) -> DataFrame:
+def discover_listing(planned: DataFrame, serp: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """#41: directory snippets -> names (4-60 chars) -> resolution -> first per host."""
-    h = query_hits(planned, serp, ["yellowpages"])
+    h = query_hits(planned, serp if hits is None else hits, ["yellowpages"])
     n = (h.select("spec_ord", "channel", "channel_ord", "location", "label", "lim", "query_ord", "rank",
                   F.posexplode(N.extract_names_listing(F.col("description"), F.col("niche"))).alias("pos", "name"))
           .where((F.length("name") >= 4) & (F.length("name") <= 60))
@@ -250,19 +256,19 @@ def discover_channels(planned: DataFrame, serp: DataFrame, places: DataFrame | N
     plan cannot be built contributes nothing and is logged, as in the application; by
     default the error is raised, so a missing column can't lose a channel unseen.
 
-    The prepared hit table feeds six consumers (four channels, two resolution
-    passes) that each prune it differently, so Spark cannot share one exchange.
-    With ``materialize`` it is computed once and checkpointed to the shared
-    checkpoint folder (a reliable checkpoint that also cuts the lineage)."""
-    serp = _prepared(serp)
+    The hits of the planned queries feed four channels. With ``materialize`` they are
+    pruned and parsed once and checkpointed to the shared folder (a reliable checkpoint
+    that also cuts the lineage); the two resolution passes prune the captured hits to
+    their own queries."""
+    hits = _prepared(serp, planned)
     if materialize:
-        serp = serp.checkpoint()
+        hits = hits.checkpoint()
     parts = []
     builders = [
-        lambda: discover_web(planned, serp, known),
-        lambda: discover_listing(planned, serp),
-        lambda: discover_intent(planned, serp),
-        lambda: discover_profile(planned, serp),
+        lambda: discover_web(planned, hits, known),
+        lambda: discover_listing(planned, serp, hits),
+        lambda: discover_intent(planned, hits),
+        lambda: discover_profile(planned, serp, hits),
     ]
     if places is not None:
         builders.append(lambda: discover_places(planned, places))
