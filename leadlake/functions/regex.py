@@ -83,21 +83,12 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(js_trim(col), F.lit(""))
 
 
-def rlike_js(col: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return col.rlike(js_regex(pattern, ignore_case))
-
-
 def first_segment(col: Column, separators: str) -> Column:
     """``s.split(/[seps]/)[0].trim()`` -- text before the first separator, trimmed."""
     cls = "".join("\\" + c if c in "\\^]-[" else c for c in separators)
     return js_trim(F.regexp_extract(col, f"^([^{cls}]*)", 1))
 
 
-def ordered_distinct(arr: Column) -> Column:
-    """Distinct values keeping first-seen order (Spark's array_distinct does)."""
-    return F.array_distinct(arr)
-
-
 def clean_distinct(arr: Column) -> Column:
     """``[...new Set(arr.map(trim).filter(Boolean))]``."""
     return F.array_distinct(F.filter(F.transform(arr, js_trim), lambda x: x != ""))

@@ -15,9 +15,6 @@ ARR_S = T.ArrayType(S)
 PAGES = T.StructType([
     T.StructField("page_id", L), T.StructField("url", S), T.StructField("html", S),
 ])
-CAPTURED_PAGES = T.StructType([
-    T.StructField("url", S), T.StructField("status_code", I), T.StructField("html", S),
-])
 
 # One search hit as captured from a provider; rank is the 1-based position.
 SERP = T.StructType([
