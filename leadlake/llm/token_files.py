@@ -21,7 +21,6 @@ import sys
 import types
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from leadlake.llm.work import parts, table
+from leadlake.llm.work import parts, saved, table
 from leadlake.session import ensure_checkpoint_dir
 
 END_ID = 2            # appended to each document
 BLOCK_DOCS = 512      # documents of a block at most
 BLOCK_IDS = 1 << 20   # a block ends after the document that reaches so many ids
-CACHED_PIECES = 700_000  # pieces, and chunks, whose ids a Python worker remembers
-CACHED_CHUNKS = 500_000  # before it starts anew
+CACHED_PIECES = 1_000_000  # pieces whose ids a Python worker remembers before it starts anew
 ROWS = 256            # documents that are encoded together
 
 # --- variable-length coding -------------------------------------------------------------
@@ -76,9 +74,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --- encoding ---------------------------------------------------------------------------
 
-# A chunk of ASCII without the apostrophe and of the letters of Latin-1 is cut where the tokenizer
+# A text of ASCII without the apostrophe and of the letters of Latin-1 is cut where the tokenizer
 # cuts it: words, single digits and runs of marks.
-_SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*\Z")
+_SIMPLE = re.compile(r"[ \t-\r!-&(-~À-ÖØ-öø-ÿ]*\Z")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
@@ -86,10 +84,10 @@ class Encoder:
     """Ids of texts under a tokenizer that never joins pieces across ASCII white space.
 
     Such a tokenizer gives the ids of a text as those of its chunks one after another, and those of
-    a simple chunk (see ``_SIMPLE``) as those of its pieces; any other chunk is one piece. So each
-    distinct piece goes through the library once, chunks are put together from pieces, and both are
-    remembered. Pieces of simple chunks are what the tokenizer's normalizer and pre-tokenizer
-    make of them anyhow, so they go straight to its model; others go through all of it."""
+    a simple chunk or text (see ``_SIMPLE``) as those of its pieces; any other chunk is one piece.
+    So each distinct piece goes through the library once and is then looked up. Pieces of simple
+    texts are what the tokenizer's normalizer and pre-tokenizer make of them anyhow, so they go
+    straight to its model; others go through all of it."""
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -104,14 +102,19 @@ class Encoder:
         added = [re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(added) or rb"(?!)").search
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
 
-    def _cut(self, chunk: bytes) -> list[str]:
-        low = chunk.lower()  # A-Z only; the tokenizer lower-cases too
+    def _cut(self, text: bytes) -> list[str]:
+        low = text.lower()  # A-Z only; the tokenizer lower-cases too
         if self.special(low):
-            return [chunk.decode("utf-8", "replace")]
-        c = low.decode("utf-8", "replace")
-        return _PIECE.findall(c) if _SIMPLE.match(c) else [c]
+            return [c.decode("utf-8", "replace") for c in text.split()]
+        whole = low.decode("utf-8", "replace")
+        if _SIMPLE.match(whole):
+            return _PIECE.findall(whole)
+        out: list[str] = []
+        for chunk in low.split():  # bytes.split: ASCII white space
+            c = chunk.decode("utf-8", "replace")
+            out += _PIECE.findall(c) if _SIMPLE.match(c) else (c,)
+        return out
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -126,26 +129,16 @@ class Encoder:
             ids = self._of_model(p) if _PIECE.fullmatch(p) else self._whole(p)
             self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each chunk as little-endian 32-bit integers."""
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
-        cuts = [self._cut(c) for c in chunks]
-        self._learn(set().union(*cuts) - self.pieces.keys())
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
-        known, chunks = self.chunks, [t.split() for t in texts]  # bytes.split: ASCII white space
-        found = [list(map(known.get, c)) for c in chunks]
+        known, cuts = self.pieces, [self._cut(t) for t in texts]
+        found = [list(map(known.get, c)) for c in cuts]
         missing = [k for k, f in enumerate(found) if None in f]
         if missing:
-            new = list({c for k in missing for c, f in zip(chunks[k], found[k], strict=True) if f is None})
-            known.update(zip(new, self.of_chunks(new), strict=True))
+            self._learn({p for k in missing for p, f in zip(cuts[k], found[k], strict=True) if f is None})
             for k in missing:
-                found[k] = list(map(known.get, chunks[k]))
+                found[k] = list(map(known.get, cuts[k]))
         return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
 
@@ -168,40 +161,63 @@ def _encoded(batch: pa.RecordBatch, enc: Encoder, end_id: int) -> Iterator[tuple
             yield at + k, np.concatenate([ids, end])
 
 
-def id_counts(docs: DataFrame, description: str, end_id: int = END_ID) -> DataFrame:
-    """Rows ``id, n`` over all documents; each task sends a row per id that it saw."""
+RAW = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary"
+
+
+def raw_blocks(docs: DataFrame, description: str, end_id: int = END_ID) -> DataFrame:
+    """The blocks with their ids as 32-bit integers, written beside the checkpoints.
+
+    The texts are dealt into ranges of doc_id, so that shard k holds the ids before those of shard
+    k + 1, sorted in their partitions and encoded there, each once."""
     shared = docs.sparkSession.sparkContext.broadcast(description)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total, seen, rows = encoder(shared.value), np.zeros(0, np.int64), Counter(), 0
-
-        def add(total: np.ndarray) -> np.ndarray:
-            """The counts with those of the chunks seen, of which each is encoded once."""
-            chunks = list(seen)
-            for at in range(0, len(chunks), 50_000):
-                some = chunks[at:at + 50_000]
-                each = enc.of_chunks(some)
-                times = np.repeat([seen[c] for c in some], [len(x) // 4 for x in each])
-                n = np.bincount(np.frombuffer(b"".join(each), "<u4"), times, len(total)).astype(np.int64)
-                n[:len(total)] += total
-                total = n
-            seen.clear()
-            return total
+        enc, block, start, shard = encoder(shared.value), 0, 0, 0
+        doc_ids: list[int | None] = []
+        kept: list[np.ndarray] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
+                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in kept]], pa.list_(pa.int32())),
+                 pa.array([np.concatenate(kept).tobytes()], pa.binary())],
+                names=["shard", "block", "start", "doc_ids", "lengths", "ids"])
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            shard = batch.column("shard")[0].as_py() if len(batch) else shard
+            for k, x in _encoded(batch, enc, end_id):
+                doc_ids.append(ids[k])
+                kept.append(x)
+                size += len(x)
+                if len(kept) >= BLOCK_DOCS or size >= BLOCK_IDS:
+                    yield row()
+                    block, start, size, doc_ids, kept = block + 1, start + size, 0, [], []
+        if kept:
+            yield row()
+
+    dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+             .repartitionByRange(parts(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "th")
+             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
+             .select("doc_id", "text", F.spark_partition_id().alias("shard")))
+    return saved(dealt.mapInArrow(run, RAW), "raw-ids")
+
+
+def id_counts(raw: DataFrame) -> DataFrame:
+    """Rows ``id, n`` over all blocks; each task sends a row per id that it saw."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            rows += len(batch)
-            for text in batch.column("text"):
-                seen.update((text.as_py() or b"").split())
-                if len(seen) > CACHED_CHUNKS:
-                    total = add(total)
-        total = add(total)
-        total = np.concatenate([total, np.zeros(max(0, end_id + 1 - len(total)), np.int64)])
-        total[end_id] += rows
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+            for ids in batch.column("ids"):
+                n = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=len(total))
+                n[:len(total)] += total
+                total = n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    return (docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, n long")
-            .groupBy("id").agg(F.sum("n").alias("n")))
+    return raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = ("shard int, block int, start long, doc_ids array<long>, lengths array<int>, control binary, data binary")
@@ -210,56 +226,33 @@ BLOCKS = ("shard int, block int, start long, doc_ids array<long>, lengths array<
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID) -> None:
     """Encode every text of ``docs`` and write the file set to ``path``.
 
-    A first pass counts the ids; the ranking has a row per id of the vocabulary and is broadcast.
-    The second deals the texts into ranges of doc_id, so that shard k holds the ids before those
-    of shard k + 1, sorts them in their partitions and writes the blocks. Texts are encoded twice
-    rather than kept as ids in between, which would cost more disk than it saves time.
+    The texts are encoded once, into blocks of plain ids; the ids are counted over all blocks, the
+    ranking has a row per id of the vocabulary and is broadcast, and each block is written again
+    with ranks in the coding of the files, without a shuffle.
 
     Null text: only the end id. Null ids come first. Equal ids are ordered by a hash of their texts."""
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         description = f.read()
-    counted = [(r.id, r.n) for r in id_counts(docs, description, end_id).collect()]  # the vocabulary's size at most
+    raw = raw_blocks(docs, description, end_id)
+    counted = [(r.id, r.n) for r in id_counts(raw).collect()]  # the vocabulary's size at most
     ranked = sorted(counted, key=lambda r: (-r[1], r[0]))
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(ranked)], "rank int, id int, n long").coalesce(1).write.parquet(f"{path}/vocabulary")
     rank_of = np.zeros(max((i for i, _ in ranked), default=0) + 1, "<u4")
     for k, (i, _) in enumerate(ranked):
         rank_of[i] = k
-    shared = spark.sparkContext.broadcast((description, rank_of))
+    shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        description, rank_of = shared.value
-        enc, block, start, shard = encoder(description), 0, 0, 0
-        doc_ids: list[int | None] = []
-        kept: list[np.ndarray] = []
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            control, data = pack(rank_of[np.concatenate(kept)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()),
-                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in kept]], pa.list_(pa.int32())),
-                 pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                names=["shard", "block", "start", "doc_ids", "lengths", "control", "data"])
-
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            shard = batch.column("shard")[0].as_py() if len(batch) else shard
-            for k, x in _encoded(batch, enc, end_id):
-                doc_ids.append(ids[k])
-                kept.append(x)
-                size += len(x)
-                if len(kept) >= BLOCK_DOCS or size >= BLOCK_IDS:
-                    yield row()
-                    block, start, size, doc_ids, kept = block + 1, start + size, 0, [], []
-        if kept:
-            yield row()
+            for k, ids in enumerate(batch.column("ids")):
+                control, data = pack(shared.value[np.frombuffer(ids.as_py(), "<u4")])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(k, 1) for c in ("shard", "block", "start", "doc_ids", "lengths")),
+                     pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                    names=["shard", "block", "start", "doc_ids", "lengths", "control", "data"])
 
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-     .repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first(), "th")
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
-     .select("doc_id", "text", F.spark_partition_id().alias("shard"))
-     .mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks"))
+    raw.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
