@@ -20,8 +20,10 @@ FACTORS = 4          # length of a term's interaction vector
 PREFIX = 6           # bytes of a longer word that are a term of their own
 SAMPLE_ROWS = 10_000  # labelled rows the model is fitted on, the first by hash of doc_id
 L1, L2 = 3.0, 1e-3
+L2_PAIRS = 20.0      # L2 of the interaction vectors
 STEPS, STEPS_PAIRS = 200, 60
 SEED = 7
+ROWS = 1000          # texts that are scored together
 FOLDS, HELD_OUT = 5, 0
 
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -68,13 +70,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -500, 500)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, factors: int = FACTORS,
+def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, l2_pairs: float = L2_PAIRS, factors: int = FACTORS,
         steps: int = STEPS, steps_pairs: int = STEPS_PAIRS, seed: int = SEED) -> Machine:
     """Two phases of full-batch AdaGrad on the logistic loss.
 
     First the additive weights with an L1 penalty, which leaves most terms at zero; then bias,
-    weights and interaction vectors of the remaining terms together. Terms seen in one row only
-    carry no evidence of interaction and start without a weight."""
+    weights and the interaction vectors of every term together. In the first half of that second
+    phase the weights that are zero stay so, that the vectors don't have to follow them; in its
+    second half they may leave zero under the same L1 penalty. Terms seen in one row only carry no
+    evidence of interaction and have neither weight nor vector."""
     n, positive = len(rows), float(np.sum(y))
     prior = np.log((positive + 1) / (n - positive + 1))
     none = np.zeros(0, np.int64)
@@ -82,10 +86,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, f
         return Machine(float(prior), none, np.zeros(0), np.zeros((0, factors)))
     at = np.concatenate(rows).astype(np.int32)
     doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    often = np.bincount(at, minlength=1 << BITS)[at] >= 2
-    at, doc = at[often], doc[often]
+    keep = np.flatnonzero(np.bincount(at, minlength=1 << BITS) >= 2)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[keep] = np.arange(len(keep))
+    live = place[at] >= 0
+    at, doc = place[at[live]], doc[live]
     bias, bias_sum = float(prior), 1e-6
-    w, grad_sum = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
+    w, grad_sum = np.zeros(len(keep)), np.full(len(keep), 1e-6)
     for _ in range(steps):
         err = 1 / (1 + np.exp(-np.clip(bias + np.bincount(doc, w[at], n), -30, 30))) - y
         g = np.bincount(at, err[doc], len(w))
@@ -96,24 +103,24 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, f
         g0 = err.sum()
         bias_sum += g0 * g0
         bias -= 0.3 / np.sqrt(bias_sum) * g0
-    keep = np.flatnonzero(w)
-    place = np.full(len(w), -1, np.int32)
-    place[keep] = np.arange(len(keep))
-    live = place[at] >= 0
-    at, doc = place[at[live]], doc[live]
-    w = w[keep]
+    weighed = w != 0
     v = np.random.default_rng(seed).normal(0, 0.01, (len(keep), factors))
     w_sum, v_sum = np.full(w.shape, 1.0), np.full(v.shape, 1.0)
-    for _ in range(steps_pairs if len(keep) else 0):
+    for step in range(steps_pairs if len(keep) else 0):
         sums = np.stack([np.bincount(doc, v[at, f], n) for f in range(factors)], axis=1)
-        squares = np.bincount(doc, np.square(v[at]).sum(axis=1), n)
+        squares = np.bincount(doc, np.square(v).sum(axis=1)[at], n)
         margin = bias + np.bincount(doc, w[at], n) + 0.5 * (np.square(sums).sum(axis=1) - squares)
         err = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        gw = np.bincount(at, err[doc], len(w)) + l2 * w
-        gv = np.stack([np.bincount(at, err[doc] * (sums[doc, f] - v[at, f]), len(w)) for f in range(factors)], axis=1) + l2 * v
+        of_row = err[doc]
+        total = np.bincount(at, of_row, len(w))
+        gw = total + l2 * w
+        gv = np.stack([np.bincount(at, of_row * sums[doc, f], len(w)) for f in range(factors)], axis=1) - total[:, None] * v + l2_pairs * v
         w_sum += gw * gw
         v_sum += gv * gv
-        w = w - 0.05 / np.sqrt(w_sum) * gw
+        rate = 0.05 / np.sqrt(w_sum)
+        moved = w - rate * gw
+        others = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * l1) if 2 * step >= steps_pairs else 0.0
+        w = np.where(weighed, moved, others)
         v = v - 0.05 / np.sqrt(v_sum) * gv
         g0 = err.sum()
         bias_sum += g0 * g0
@@ -150,11 +157,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold:
     Null or empty text: no terms, so the score of the bias. Null doc_id: scored, never learnt
     from. Null labels are skipped; of repeated label rows the higher counts. Without both
     classes every score is the smoothed share of class 1. No rows give no rows."""
-    model = train(docs, labels, folds, fold, sample_rows, **options)
+    # at most 2^18 columns of a weight and FACTORS numbers
+    m = train(docs, labels, folds, fold, sample_rows, **options)
+    shared = docs.sparkSession.sparkContext.broadcast((m.bias, m.active, m.w, m.v))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score([hashed_terms(t) for t in text]), dtype="float64")
+        model = Machine(*shared.value)
+        found = [model.score([hashed_terms(t) for t in text[k:k + ROWS]]) for k in range(0, len(text), ROWS)]
+        return pd.Series(np.concatenate(found) if found else [], dtype="float64")
 
     return docs.select("doc_id", held_out(folds, fold).alias("held_out"), score("text").alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))

@@ -87,6 +87,23 @@ def test_factorization_machine_learns_a_pair_that_weights_miss():
     assert ((m.score(rows) >= 0.5) == np.array(y)).mean() > 0.95
 
 
+def test_factorization_machine_learns_a_pair_by_default():
+    """Under the production defaults, where the additive fit leaves both terms at zero."""
+    r = np.random.default_rng(2)
+    rows, y = [], []
+    for _ in range(1200):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.array(sorted({10} | ({1} if a else set()) | ({2} if b else set()))))
+        y.append(float(a == b))
+    m = toxicity.fit(rows, np.array(y))
+    assert ((m.score(rows) >= 0.5) == np.array(y)).mean() > 0.95
+
+
+def test_every_term_of_two_rows_has_a_vector():
+    m = toxicity.fit([np.array([1, 2, 3]), np.array([1, 2]), np.array([1]), np.array([1, 4])], np.array([1.0, 0.0, 0.0, 0.0]))
+    assert m.active.tolist() == [1, 2] and np.all(np.abs(m.v).max(axis=1) > 0)
+
+
 def test_discriminant_equals_the_normal_densities():
     r = np.random.default_rng(3)
     x = {c: r.multivariate_normal([c, 2 * c], [[1 + c, 0.3], [0.3, 1]], 4000) for c in (0, 1)}
