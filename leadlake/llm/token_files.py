@@ -99,14 +99,15 @@ class Encoder:
         if [self._of_model(p) for p in probe] != [self._whole(p) for p in probe]:
             raise ValueError("the tokenizer does not cut words, digits and marks as token files need it")
         # strings that are one token wherever they stand, whatever their case there
-        added = [re.escape(t.content.lower().encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(added) or rb"(?!)").search
+        added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)").search
+        self.wordy = any(_PIECE.fullmatch(t) for t in added)  # some can lie inside a piece
         self.pieces: dict[str, bytes] = {}
 
     def _cut(self, text: bytes) -> list[str]:
         low = text.lower()  # A-Z only; the tokenizer lower-cases too
         if self.special(low):
-            return [c.decode("utf-8", "replace") for c in text.split()]
+            return [p for chunk in text.split() for p in self._beside_special(chunk)]
         whole = low.decode("utf-8", "replace")
         if _SIMPLE.match(whole):
             return _PIECE.findall(whole)
@@ -116,6 +117,10 @@ class Encoder:
             out += _PIECE.findall(c) if _SIMPLE.match(c) else (c,)
         return out
 
+    def _beside_special(self, chunk: bytes) -> list[str]:
+        """The pieces of a chunk of a text with an added token; a chunk that holds one stays as it stands."""
+        return [chunk.decode("utf-8", "replace")] if self.special(chunk.lower()) else self._cut(chunk)
+
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -126,7 +131,7 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         for p in pieces:
-            ids = self._of_model(p) if _PIECE.fullmatch(p) else self._whole(p)
+            ids = self._of_model(p) if _PIECE.fullmatch(p) and not (self.wordy and self.special(p.lower().encode())) else self._whole(p)
             self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:

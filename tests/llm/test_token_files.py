@@ -30,6 +30,14 @@ def test_chunks_give_the_ids_of_the_library(tokenizer, text):
     assert enc.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    "Hello <|endoftext|> World", "<|endoftext|>Hello World", "HELLO\n<|STARTOFTEXT|> It's ÉTÉ Straße 12 <|EndOfText|>Ab cD!! don'T",
+    "x<|endoftext|>Y Hello", "Hello <|endoftext |> World"])
+def test_added_tokens_beside_capitals_give_the_ids_of_the_library(tokenizer, text):
+    enc = tf.Encoder(open(tf.word_bpe(), encoding="utf-8").read())
+    assert enc.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def brute(tokenizer, rows):
     out, at = [], 0
     for i, t in rows:
