@@ -18,6 +18,7 @@ from leadlake.llm.work import saved, table
 
 CONSTANT_PAGES = 8     # pages of a host from which a node's text can count as constant
 CONSTANT_SHARE = 0.9   # share of those pages that must have the same text
+SIDE_SHARE = 0.5       # a marked subtree with so much of the varying text is no side element
 ROOT_SHARE = 0.6       # a subtree with so much of the varying text is descended into
 LINK_SHARE = 0.8       # a list with so much of its text in links is a menu
 HOSTS_AT_ONCE = 2000   # wrappers that a task holds before it sends them on
@@ -46,6 +47,7 @@ SIDE_WORDS = frozenset(
     "modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus "
     "respond replies reply discussion complementary contentinfo search toolbar".split())
 MAIN_TAGS = frozenset({"article", "main"})
+NEVER_SIDE = MAIN_TAGS | {"html", "body"}
 LISTS = frozenset("ul ol div section table".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th dt dd".split())
 
@@ -67,7 +69,7 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
         words += (m[2] or m[3] or m[4] or "").lower().split()
     words = sorted({re.sub(r"\d+", "0", w) for w in words})
     pieces = {x for w in words for x in re.split(r"[^a-z]+", w)}
-    return ".".join([tag, *words]), tag in SIDE_TAGS or bool(pieces & SIDE_WORDS)
+    return ".".join([tag, *words]), tag in SIDE_TAGS or (tag not in NEVER_SIDE and bool(pieces & SIDE_WORDS))
 
 
 def parse(source: str) -> Node:
@@ -128,7 +130,7 @@ def parse(source: str) -> Node:
 # --- templates --------------------------------------------------------------------------
 # A template node is a dict: l label, t tag, x side, n pages, h hash of its own text, s pages with
 # that text (majority count), c characters of its own text, k those in links, r whether it stands
-# for several siblings, d its children.
+# for several siblings, d its children, z (at the root) whether unmark() is done.
 
 def _own(node: Node) -> str:
     return " ".join("".join(p for p in node.parts if isinstance(p, str)).split())
@@ -214,9 +216,38 @@ def constant(t: dict) -> bool:
 
 def _mass(t: dict) -> float:
     """Characters in the varying slots of a subtree that no mark excludes."""
-    if t["x"]:
-        return 0.0
-    return (0 if constant(t) else max(0, t["c"] - t["k"])) + sum(_mass(d) for d in t["d"])
+    return 0.0 if t["x"] else _inside(t)
+
+
+def _inside(t: dict) -> float:
+    """``_mass`` without regard to a mark of the subtree's root itself."""
+    return _own_mass(t) + sum(_mass(d) for d in t["d"])
+
+
+def _own_mass(t: dict) -> float:
+    return 0 if constant(t) else max(0, t["c"] - t["k"])
+
+
+def unmark(t: dict) -> dict:
+    """The template without the marks of subtrees that hold most of all varying text in elements
+    that are not marked themselves, such as a form or a ``with-sidebar`` around the whole page."""
+    if t.get("z"):  # done before
+        return t
+
+    def whole(x: dict) -> float:
+        return _own_mass(x) + sum(whole(d) for d in x["d"])
+
+    least = SIDE_SHARE * whole(t)
+
+    def look(x: dict) -> float:
+        inside = _own_mass(x) + sum(look(d) for d in x["d"])
+        if x["x"] and inside > least:
+            x["x"] = False
+        return 0.0 if x["x"] else inside
+
+    look(t)
+    t["z"] = True
+    return t
 
 
 def content_path(t: dict) -> list[int]:
@@ -271,7 +302,7 @@ def _blocks(node: Node, t: dict | None, strict: bool, out: list[str]) -> None:
             continue
         flush()
         below = placed.get(id(p))
-        if p.side or (strict and p.tag == "header"):
+        if (p.side if below is None else below["x"]) or (strict and p.tag == "header"):
             continue
         if below is not None and constant(below):
             continue
@@ -293,23 +324,23 @@ def extract(source: str | None, wrapper: dict | None) -> str:
     """The article of a page under the wrapper of its host (or under the page's own template)."""
     node = parse(source or "")
     if wrapper is not None:
-        at, t = node, wrapper
+        at, t = node, unmark(wrapper)
         for step in content_path(wrapper):
             groups = _grouped(at)
             to = {j: i for i, j in matching([template(g[0]) for g in groups], t["d"])}
             if step not in to:
                 break
             # of several like siblings the one with most text is the article
-            at = max(groups[to[step]], key=lambda n: _mass(template(n)))
+            at = max(groups[to[step]], key=lambda n: _inside(template(n)))
             t = t["d"][step]
         else:
             out: list[str] = []
             _blocks(at, t, at.tag in ("", "html", "body"), out)
             if out:  # else a host of copies, in which all is constant
                 return "\n".join(out)
-    own = t = template(node)
+    own = t = unmark(template(node))
     for step in content_path(own):
-        node = max(_grouped(node)[step], key=lambda n: _mass(template(n)))
+        node = max(_grouped(node)[step], key=lambda n: _inside(template(n)))
         t = t["d"][step]
     out: list[str] = []
     _blocks(node, t, node.tag in ("", "html", "body"), out)

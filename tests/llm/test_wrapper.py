@@ -38,6 +38,16 @@ def test_host_of_copies_keeps_its_article():
     assert wr.extract(pages[0], made(pages)) == "The same article on every page."
 
 
+def test_marked_containers_of_the_whole_article_are_no_side_elements():
+    text = "<h1>News {0}</h1><p>Text {0} goes on for long enough.</p><p>More of text {0}.</p><div class=comments><p>nice {0}</p></div>"
+    for form in ("<body class='no-sidebar'><div>%s</div></body>", "<body><article class='post comments-open'>%s</article></body>",
+                 "<body><div class='content-sidebar-wrap'><div>%s</div></div></body>", "<body><main class='search-results'>%s</main></body>",
+                 "<body><form action=x><div class='with-sidebar'><div>%s</div></div></form></body>"):
+        pages = [(form % text).format(k) for k in range(10)]
+        for w in (made(pages), None):
+            assert wr.extract(pages[3], w) == "News 3\nText 3 goes on for long enough.\nMore of text 3.", form
+
+
 def test_odd_pages():
     for source, want in ((None, ""), ("", ""), ("just &lt;text&gt;", "just <text>"), ("<p>a<p>b", "a\nb"), ("<<<", "<<<"),
                          ("<script>x", ""), ("<p>a<br>b  c</p>", "a b c"), ("<p title='a>b'>x</p>", "x"), ("<div>" * 300 + "deep", "deep")):
