@@ -32,6 +32,10 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)", re.I | re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
+#: what is no text of a page, for Spark's regular expressions
+NO_TEXT = (r"(?is)<!--.*?-->|<(script|style|noscript|template|textarea|iframe|svg|select|title)\b.*?</\1\s*>"
+           r"|<[a-z/!?][^>]*>|\s+|&nbsp;")
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
@@ -354,8 +358,17 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """Rows ``host, html``: one page for each host and hash of the text (tags, scripts and white
+    space aside), the least of its copies; each task sends at most one row of a host's copies."""
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), NO_TEXT, "")
+    return (pages.select(host(F.col("url")).alias("host"), F.xxhash64(text).alias("th"), "html")
+            .groupBy("host", "th").agg(F.min("html").alias("html")).select("host", "html"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Rows ``host, wrapper`` (JSON): all pages of a host aligned into one template.
+    """Rows ``host, wrapper`` (JSON): the distinct pages of a host aligned into one template, so
+    that many copies of one page don't make its text count as constant.
 
     Each task folds the pages it reads into one partial template for each host, so a host with a
     third of all pages sends one small row per task; partial templates are merged in ``SALTS``
@@ -384,7 +397,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             made = json.loads(w) if made is None else merge(made, json.loads(w))
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(made)]})
 
-    partial = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(fold, "host string, wrapper string")
+    partial = distinct_pages(pages).mapInArrow(fold, "host string, wrapper string")
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(
         join, "host string, wrapper string")
     return salted.groupBy("host").applyInPandas(join, "host string, wrapper string")

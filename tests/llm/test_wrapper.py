@@ -38,6 +38,17 @@ def test_host_of_copies_keeps_its_article():
     assert wr.extract(pages[0], made(pages)) == "The same article on every page."
 
 
+def test_copies_keep_title_and_lone_blocks(spark):
+    page = "<body><div>My shop</div><article><h1>{0}</h1><p>One {0}.</p><p>Two {0}.</p><h2>More {0}</h2><p>Three {0}.</p></article></body>"
+    rows = [(k, f"http://a.com/{k}", page.format("again").replace("<body>", f"<body data-at={k}>\n")) for k in range(300)]
+    rows += [(k, f"http://a.com/{k}", page.format(k)) for k in range(300, 308)]
+    got = {r.page_id: r.text for r in wr.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for k in range(308):
+        x = "again" if k < 300 else k
+        assert got[k] == f"{x}\nOne {x}.\nTwo {x}.\nMore {x}\nThree {x}."
+
+
 def test_marked_containers_of_the_whole_article_are_no_side_elements():
     text = "<h1>News {0}</h1><p>Text {0} goes on for long enough.</p><p>More of text {0}.</p><div class=comments><p>nice {0}</p></div>"
     for form in ("<body class='no-sidebar'><div>%s</div></body>", "<body><article class='post comments-open'>%s</article></body>",
