@@ -14,14 +14,23 @@ ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 HEX = r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9A-F]{32,128}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: characters of an IBAN by country; other countries take any length
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_KNOWN = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+_BY_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                       for n, c in IBAN_LENGTHS.items())
+IBAN = (rf"(?<![A-Za-z0-9])(?:{_BY_COUNTRY}|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+        r"(?![A-Za-z0-9])")
 IPV4 = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 YMD = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}\.[0-9]{2}\.[0-9]{2})(?![0-9])"
 DMY = r"(?<![0-9./-])(?:[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])"
 CARD = (r"(?<![0-9])(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4} [0-9]{6} [0-9]{4,5}"
         r"|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{13,19})(?![0-9])")
-PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
+PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?(?:[0-9]{2,4}|[0-9][ .-][0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
          r"|(?<![0-9(+-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])")
 KINDS = {"email": EMAIL, "hex": HEX, "iban": IBAN, "ipv4": IPV4, "ssn": SSN, "ymd": YMD, "dmy": DMY, "card": CARD, "phone": PHONE}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -204,10 +213,49 @@ def _hex(m: Column, key: str) -> Column:
 MAKERS = {"email": _email, "hex": _hex, "iban": _iban, "ipv4": _ipv4, "ssn": _ssn, "ymd": _ymd, "dmy": _dmy, "card": _card, "phone": _phone}
 
 
+def _tried(match: Column, key: str) -> Column:
+    """The pseudonym of a value by the first kind that it is valid for; null if there is none."""
+    tries = [F.when(match.rlike(f"^(?:{pattern})$"), MAKERS[kind](match, key)) for kind, pattern in KINDS.items()]
+    return F.coalesce(*tries)
+
+
 def pseudonym(match: Column, key: str = KEY) -> Column:
     """The pseudonym of a value by the first kind that it is valid for; itself if there is none."""
-    tries = [F.when(match.rlike(f"^(?:{pattern})$"), MAKERS[kind](match, key)) for kind, pattern in KINDS.items()]
-    return F.coalesce(*tries, match)
+    return F.coalesce(_tried(match, key), match)
+
+
+BREAK, ESCAPE = "\ue000", "\ue001"  # of the private use area; those of the text itself are written otherwise meanwhile
+_HEAD = "^([^A-Za-z0-9]*[A-Za-z0-9]+)(?=[^A-Za-z0-9])"  # first word or number of a value that has more
+
+
+def _all(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+
+
+def _joined(text: Column, new: Column) -> Column:
+    """``text`` with its matches replaced by ``new`` in turn."""
+    return F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def _broken(text: Column, key: str) -> Column:
+    """``text`` with a break behind the first word or number of every match that is no valid value,
+    until all matches are valid or have no more than one: so later values inside are found."""
+    plain = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "1")), F.lit(BREAK), F.lit(ESCAPE + "0"))
+    start = F.struct(plain.alias("text"), F.lit(True).alias("more"))
+
+    def again(x: Column) -> Column:
+        found = _all(x["text"])
+        new = F.transform(found, lambda m: F.when(m.rlike(_HEAD) & _tried(m, key).isNull(), F.regexp_replace(m, _HEAD, "$1" + BREAK)).otherwise(m))
+        return _let(_joined(x["text"], new), lambda t: F.struct(t.alias("text"), (t != x["text"]).alias("more")))
+
+    # each step but the last breaks behind at least one word or number with a digit
+    steps = F.sequence(F.lit(0), F.regexp_count(text, F.lit("[A-Za-z0-9]+")) + 1)
+    return F.aggregate(steps, start, lambda x, _: F.when(x["more"], again(x)).otherwise(x))["text"]
+
+
+def _unbroken(text: Column) -> Column:
+    text = F.replace(F.replace(text, F.lit(BREAK), F.lit("")), F.lit(ESCAPE + "0"), F.lit(BREAK))
+    return F.replace(text, F.lit(ESCAPE + "1"), F.lit(ESCAPE))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -219,13 +267,19 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     as the value. The same value has the same pseudonym in every document; two values of one format
     and length never share one (but for letters beyond a-z in an e-mail address, which go). Everything else stays as it is.
 
-    The text is split at the matches and joined again with their pseudonyms in between. Null text stays
+    The text is split at the matches and joined again with their pseudonyms in between; a match that
+    is no valid value is searched for values behind its first word or number. Null text stays
     null. Rows are never shuffled, so repeated rows, null ids and empty tables need no care."""
-    d = docs.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    d = docs.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), _all(F.col("text")))
                     .otherwise(F.array().cast("array<string>")).alias("found"))
-    new = F.transform("found", lambda m: pseudonym(m, key))
-    d = d.select("doc_id", "text", "found", F.when(F.size("found") > 0, new).alias("new"))
-    whole = F.array_join(F.zip_with(F.split("text", ANY, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    tried = F.transform("found", lambda m: _tried(m, key))
+    d = d.select("doc_id", "text", "found", F.when(F.size("found") > 0, tried).alias("tried"))
+    invalid = F.exists(F.zip_with("found", "tried", lambda a, b: b.isNull() & a.rlike(_HEAD)), lambda x: x)
+    d = d.select("doc_id", "text", "found", "tried", F.when((F.size("found") > 0) & invalid, _broken(F.col("text"), key)).alias("broken"))
+    d = d.select("doc_id", "text", "tried", "broken", F.when(F.col("broken").isNull(), F.col("found")).otherwise(_all(F.col("broken"))).alias("found"))
+    again = F.when(F.col("broken").isNull(), F.col("tried")).otherwise(F.transform("found", lambda m: _tried(m, key)))
+    d = d.select("doc_id", "text", "broken", "found", F.when(F.size("found") > 0, F.zip_with("found", again, lambda a, b: F.coalesce(b, a))).alias("new"))
+    whole = F.when(F.col("broken").isNull(), _joined(F.col("text"), F.col("new"))).otherwise(_unbroken(_joined(F.col("broken"), F.col("new"))))
     n = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
     return d.select("doc_id", F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"),
                     F.when(F.size("found") > 0, n).otherwise(F.lit(0)).cast("long").alias("n_replaced"))

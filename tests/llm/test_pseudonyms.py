@@ -48,6 +48,16 @@ def test_invalid_values_stay(spark):
     assert replaced(spark, INVALID) == [f"«{v}», then {v} end" for v in INVALID]
 
 
+def test_values_beside_words_and_numbers(spark):
+    cases = [("", "ES91 2100 0418 4502 0005 1332", " BIC CAIXESBB"), ("", "AT61 1904 3002 3457 3201", " EUR"), ("exp 2027 ", "4111 1111 1111 1111", ""),
+             ("2025 2026 2027 ", "4111 1111 1111 1111", " \ue000\ue001\ue0010"), ("tel ", "+33 1 42 68 53 00", ""), ("tel ", "+61 2 9374 4000", " at 12")]
+    df = spark.createDataFrame([(k, "".join(c)) for k, c in enumerate(cases)], "doc_id long, text string")
+    for (a, v, b), r in zip(cases, ps.pseudonymise(df).orderBy("doc_id").collect(), strict=True):
+        assert r.n_replaced == 1 and r.text.startswith(a) and r.text.endswith(b), r
+        got = r.text[len(a):len(r.text) - len(b)]
+        assert got != v and shape(got) == shape(v)
+
+
 def test_another_key_gives_other_pseudonyms(spark):
     assert not set(replaced(spark, VALID, "a")) & set(replaced(spark, VALID, "b"))
 
