@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from leadlake.llm import (
-    decontaminate, fingerprint, line_dedup, mixing, pseudonyms, quality, shingle_join, token_files, toxicity, wrapper,
+    decontaminate, fingerprint, line_dedup, manifest, mixing, pseudonyms, quality, shingle_join, simhash, token_files,
+    toxicity, whitening, wrapper,
 )
 
 QUERIES = {
@@ -17,10 +18,14 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_mixing": mixing.op9_mixing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
+    "op11_manifest": manifest.op11_manifest,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_simhash": simhash.op13_simhash,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_manifest": manifest.OP11_SQL,
 }
