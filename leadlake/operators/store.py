@@ -44,13 +44,13 @@ def _ts(now: str) -> Column:
     return F.to_timestamp(F.lit(now))
 
 
-def sequential_ids(df: DataFrame, order: list[str], last_id: int) -> DataFrame:
+def sequential_ids(df: DataFrame, order: list[str | Column], last_id: int) -> DataFrame:
     """``df`` with ``new_id`` = last_id + 1, + 2, ... in the given order.
 
     The rows are range-partitioned by the order and written to a checkpoint, so that
     their partitions stay as they are; a row's place is its place in its partition plus
     the rows of the partitions before, of which there is one count per partition."""
-    cols = [F.col(c) for c in order]
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
     r = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
            .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint())
     sizes = r.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))

@@ -977,3 +977,177 @@ def stream_upsert_job(spark, sf_dir):
     q = SS.stream_upsert(st, base + "/tables", _sfx(spark, sf_dir, "leads"), 9, FX.NOW, base + "/ckpt")
     _await(q)
     return _lead_rows(SS.latest_store(spark, base + "/tables"))
+
+
+@job("stream_sessions")
+def stream_sessions_job(spark, sf_dir):
+    base, events = _scratch(spark, "stream-sessions"), _events(spark, sf_dir)
+    st = _replayed(spark, events, base)
+    q = (SS.stream_sessions(st, "user_id", "ts", SESSION_GAP, "1 hour", *_session_sums()).writeStream.format("parquet")
+         .option("path", base + "/out").option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    _await(q)
+    return _session_rows(spark.read.parquet(base + "/out").where(F.col("user_id").isNotNull()))
+
+
+@job("stream_follow_ups")
+def stream_follow_ups_job(spark, sf_dir):
+    base, events = _scratch(spark, "stream-follow-ups"), _events(spark, sf_dir)
+    opens, closes = _follow_ups()
+    q = (SS.stream_unanswered(_replayed(spark, events, base), "user_id", "ts", opens, closes, 48 * 3600, "1 hour").writeStream.format("parquet")
+         .option("path", base + "/out").option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    _await(q)
+    return _follow_up_rows(spark.read.parquet(base + "/out"))
+
+
+# ---------------------------------------------------------------- time: as-of, interval, sessions, follow-ups
+
+from leadlake.operators import history as HI  # noqa: E402
+from leadlake.operators import summaries as SU  # noqa: E402
+from leadlake.operators import timeline as TL  # noqa: E402
+
+SESSION_GAP = "6 hours"
+_EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+def micros(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def _events(spark, sf_dir):
+    return FX.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+def _in_event_time(c):
+    """Order dates (years) moved into the month of the events."""
+    return F.timestamp_seconds(F.lit(1704067200) + F.floor((F.unix_seconds(c.cast("timestamp")) - 788918400) / 81))
+
+
+def _orders(spark, sf_dir):
+    o = FX.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", _in_event_time(F.col("o_orderdate")).alias("placed_at"))
+    return o.withColumnRenamed("o_custkey", "user_id")
+
+
+def _replayed(spark, events, base):
+    """The events as a stream: four ranges of time appended one after another, then a far row of no user, which
+    moves the watermark past everything that is open."""
+    day = F.dayofmonth("ts")
+    for i, (a, b) in enumerate(((1, 9), (9, 17), (17, 25), (25, 32))):
+        events.where((day >= a) & (day < b)).write.mode("append").parquet(base + "/in")
+    end = spark.createDataFrame([(None, None, None, None, None)], _EVENT_SCHEMA).withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp"))
+    end.write.mode("append").parquet(base + "/in")
+    return spark.readStream.schema(_EVENT_SCHEMA).option("maxFilesPerTrigger", 4).parquet(base + "/in")
+
+
+@job("asof_join")
+def asof_join_job(spark, sf_dir):
+    j = TL.asof_join(_events(spark, sf_dir).select("event_id", "user_id", "ts"), _orders(spark, sf_dir), "user_id", "ts", "placed_at",
+                     ["o_orderkey", "o_totalprice", "placed_at"], "o_orderkey")
+    return j.select("event_id", "user_id", "o_orderkey", "o_totalprice", tstr("placed_at").alias("placed_at"))
+
+
+@job("last_touch")
+def last_touch(spark, sf_dir):
+    """The last click before each purchase."""
+    e = _events(spark, sf_dir)
+    clicks = e.where(F.col("event_type") == "click").select("user_id", F.col("ts").alias("clicked_at"), F.col("event_id").alias("click_id"))
+    j = TL.asof_join(e.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value"), clicks, "user_id", "ts", "clicked_at",
+                     ["click_id", "clicked_at"], "click_id", strict=True)
+    return j.select("event_id", "user_id", "value", "click_id", micros("clicked_at").alias("clicked_at"))
+
+
+@job("interval_join")
+def interval_join_job(spark, sf_dir):
+    """Orders that are open (until the last of their lines is shipped) while their customer does something."""
+    shipped = FX.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("s"))
+    o = _orders(spark, sf_dir).join(shipped, "o_orderkey").select("o_orderkey", "user_id", "placed_at", _in_event_time(F.col("s")).alias("closed_at"))
+    e = _events(spark, sf_dir).select("event_id", "user_id", "ts")
+    return TL.interval_join(o, e, ["user_id"], ("placed_at", "closed_at"), ("ts", "ts")).select("o_orderkey", "event_id", "user_id")
+
+
+def _session_sums():
+    return F.sum("value").alias("total"), F.min("event_id").alias("first_event")
+
+
+def _session_rows(s):
+    return s.select("user_id", micros("session_start").alias("session_start"), micros("session_end").alias("session_end"), "n_events",
+                    F.round("total", 4).alias("total"), "first_event")
+
+
+@job("session_windows")
+def session_windows(spark, sf_dir):
+    return _session_rows(TL.sessions(_events(spark, sf_dir), "user_id", "ts", SESSION_GAP, *_session_sums()))
+
+
+def _follow_ups():
+    return F.col("event_type") == "signup", F.col("event_type") == "purchase"
+
+
+def _follow_up_rows(f):
+    return f.select("user_id", micros("opened_at").alias("opened_at"), micros("due_at").alias("due_at"))
+
+
+@job("follow_ups")
+def follow_ups(spark, sf_dir):
+    """Sign-ups that no purchase of the user follows within two days."""
+    return _follow_up_rows(TL.unanswered(_events(spark, sf_dir), "user_id", "ts", *_follow_ups(), "48 hours"))
+
+
+# ---------------------------------------------------------------- subtotals, sketches, ranks, history
+
+def _placed_leads(spark, sf_dir):
+    geo = _geo(spark, sf_dir)
+    c = FX.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = geo.select(F.regexp_replace("state_code", "^N", "").cast("int").alias("c_nationkey"), "country", "state").distinct()
+    city = F.when(F.col("c_custkey") % 11 != 0, F.concat(F.lit("City "), (F.col("c_custkey") % 5).cast("string")))
+    places = c.join(n, "c_nationkey").select(F.col("c_custkey").alias("id"), "country", "state", city.alias("city"))
+    return _leads(spark, sf_dir).join(places, "id")
+
+
+@job("lead_funnel")
+def lead_funnel(spark, sf_dir):
+    f = SU.lead_funnel(_placed_leads(spark, sf_dir), ["country", "state", "city"])
+    return f.withColumn("avg_score", F.round("avg_score", 6)).withColumn("grouping_id", big("grouping_id"))
+
+
+@job("lead_cube")
+def lead_cube(spark, sf_dir):
+    from leadlake.functions.scoring import score_band as sb
+    each = _leads(spark, sf_dir).select(F.explode_outer("channels").alias("channel"), "status", sb(F.col("score")).alias("band"), "score", "has_email")
+    c = SU.lead_cube(each, ["channel", "status", "band"])
+    return c.withColumn("avg_score", F.round("avg_score", 6)).withColumn("grouping_id", big("grouping_id"))
+
+
+@job("distinct_sketches")
+def distinct_sketches(spark, sf_dir):
+    """Sketches of the domains of each provider and hour, stored, then merged over the hours; close to the exact counts."""
+    hour = F.pmod(F.xxhash64("query", "rank"), F.lit(24))
+    hits = _serp(spark, sf_dir).select("provider_ord", hour.alias("hour"), U.host_of(F.col("url")).alias("domain"))
+    root = _scratch(spark, "sketches")
+    SK.save_table(SU.distinct_sketches(hits, ["provider_ord", "hour"], "domain"), root, "domains", 1)
+    stored = spark.read.parquet(f"{root}/domains/v=1")
+    merged = SU.merged_sketches(stored, ["provider_ord"]).select("provider_ord", SU.distinct_estimate().alias("estimate"))
+    exact = hits.groupBy("provider_ord").agg(F.count_distinct("domain").alias("domains"))
+    return merged.join(exact, "provider_ord").select(big("provider_ord").alias("provider_ord"), "domains",
+                                                     (F.abs(F.col("estimate") - F.col("domains")) <= 1 + 0.06 * F.col("domains")).alias("close"))
+
+
+@job("global_ntile")
+def global_ntile(spark, sf_dir):
+    l = _leads(spark, sf_dir).select("id", "score")
+    return SU.global_ntile(l, [F.col("score").desc(), F.col("id")], 10, "decile").select("id", big("decile").alias("decile"))
+
+
+@job("quantiles")
+def quantiles(spark, sf_dir):
+    q = SU.quantiles(_events(spark, sf_dir), "value", [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])
+    return q.select("probability", F.round("value", 6).alias("value"))
+
+
+@job("change_history")
+def change_history(spark, sf_dir):
+    """Three versions of the lead table (as stored, patched, some deleted) as validity periods."""
+    v0 = _leads(spark, sf_dir)
+    v1, _ = ST.patch_leads(v0, _sfx(spark, sf_dir, "patches"), FX.NOW)
+    v2, _ = ST.delete_leads(v1, _sfx(spark, sf_dir, "delete_ids"))
+    log = HI.change_log({0: v0, 1: v1, 2: v2}, "id", ["status", "notes", "updated_at"])
+    return HI.periods(log, "id").select("id", "valid_from", "valid_to", "change", "status", "notes", tstr("updated_at").alias("updated_at"))

@@ -28,6 +28,8 @@ DEFAULT_CONF = {
 
 # Runtime SQL settings a job applies to whatever session it is handed.
 RUNTIME_CONF = {
+    # a key with many rows sends the sessions of each task to the shuffle, not its rows
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }

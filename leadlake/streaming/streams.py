@@ -3,6 +3,8 @@
 * ``stream_enrich``: the stateless page pipeline over arriving page files;
 * ``stream_new_domains``: each unseen, unblocked, not-yet-stored domain once,
   with event-time deduplication bounded by a watermark;
+* ``stream_sessions``: sessions per key, emitted when the watermark passes them;
+* ``stream_unanswered``: openings without an answer in time, by a timer per key;
 * ``stream_upsert``: every micro-batch folded into the newest version of the lead
   table by ``upsert_leads``; the new version carries a marker with the query id of
   the stream and the batch id, so a replayed batch is known and does nothing.
@@ -19,6 +21,7 @@ from leadlake.functions import names as N
 from leadlake.functions.urls import host_of
 from leadlake.operators import pages as P
 from leadlake.operators import store as ST
+from leadlake.operators import timeline as T
 from leadlake.session import _fs, publish_table
 from leadlake.sources import sinks
 
@@ -40,6 +43,54 @@ def stream_new_domains(hits_stream: DataFrame, known: DataFrame, event_col: str
     return h.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["domain"])
 
 
+def stream_sessions(events_stream: DataFrame, key: str, time: str, gap: str, delay: str, *aggregates) -> DataFrame:
+    """Sessions (``timeline.sessions``) of a stream whose rows may be ``delay`` late; output mode append."""
+    return T.sessions(T.with_lateness(events_stream, time, delay), key, time, gap, *aggregates)
+
+
+def stream_unanswered(events_stream: DataFrame, key: str, time: str, opens, closes, within_seconds: int,
+                      delay: str) -> DataFrame:
+    """The rows of ``timeline.unanswered``, each when the watermark has passed its due time.
+
+    A key keeps its open and closing instants in state, and a timer at the earliest due time. At that
+    time every row up to it has come or is too late, so rows may come in any order within ``delay``; the
+    state then drops what can't matter any more, and goes when nothing is open."""
+    import pandas as pd
+
+    marks = T.with_lateness(events_stream, time, delay).select(
+        F.col(key).alias("k"), F.col(time).alias("t"), F.coalesce(opens, F.lit(False)).alias("o"), F.coalesce(closes, F.lit(False)).alias("c"))
+    # rows that neither open nor close move the watermark too: a condition without the time would be pushed below it
+    marks = marks.where(F.when(F.col("t").isNull(), F.lit(False)).otherwise(F.col("k").isNotNull() & (F.col("o") | F.col("c"))))
+    wait = within_seconds * 1_000_000
+
+    def follow(who, frames, state):
+        opened, closed = (set(x) for x in state.get) if state.exists else (set(), set())
+        for f in frames:
+            t = f["t"].astype("datetime64[us]").astype("int64")
+            opened.update(t[f["o"]].tolist())
+            closed.update(t[f["c"]].tolist())
+        passed = state.getCurrentWatermarkMs() * 1000
+        due = sorted(o for o in opened if o + wait < passed)
+        fired = [o for o in due if not any(o < c <= o + wait for c in closed)]
+        opened.difference_update(due)
+        needed = min([passed, *opened])
+        closed = {c for c in closed if c >= needed}
+        if opened or closed:
+            state.update((sorted(opened), sorted(closed)))
+            first = min([o + wait for o in opened] + [c + wait for c in closed])
+            state.setTimeoutTimestamp(max(first // 1000 + 1, passed // 1000 + 1))
+        else:
+            state.remove()
+        if fired:
+            at = pd.to_datetime(pd.Series(fired), unit="us")
+            yield pd.DataFrame({key: [who[0]] * len(fired), "opened_at": at, "due_at": at + pd.Timedelta(seconds=within_seconds)})
+
+    kind = events_stream.schema[key].dataType.simpleString()
+    return marks.groupBy("k").applyInPandasWithState(
+        follow, f"{key} {kind}, opened_at timestamp, due_at timestamp", "opened array<long>, closed array<long>",
+        "append", "EventTimeTimeout")
+
+
 def stream_upsert(leads_stream: DataFrame, root: str, base_store: DataFrame, run_id: int, now: str | None,
                   checkpoint: str, trigger_once: bool = True):
     """#95: fold each micro-batch into the lead table at ``root/leads/v=<n>``.

@@ -168,3 +168,7 @@ SELECT DISTINCT host AS domain FROM hh WHERE host IS NOT NULL AND NOT {_NS.is_bl
   AND host NOT IN (SELECT domain FROM known WHERE domain IS NOT NULL)"""
 
 ORACLE["stream_upsert"] = _S.Q["upsert_leads"]
+
+from oracle.analysissql import Q as _ANALYSIS  # noqa: E402
+
+ORACLE.update(_ANALYSIS)
