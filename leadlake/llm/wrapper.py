@@ -19,9 +19,11 @@ from leadlake.llm.work import saved, table
 CONSTANT_PAGES = 8     # pages of a host from which a node's text can count as constant
 CONSTANT_SHARE = 0.9   # share of those pages that must have the same text
 SIDE_SHARE = 0.5       # a marked subtree with so much of the varying text is no side element
+ONE_SHARE = 0.9        # share of the text of like siblings with which one of them is the article alone
 ROOT_SHARE = 0.6       # a subtree with so much of the varying text is descended into
 LINK_SHARE = 0.8       # a list with so much of its text in links is a menu
 HOSTS_AT_ONCE = 2000   # wrappers that a task holds before it sends them on
+DEPTH = 100            # blocks nested deeper are laid side by side at this depth, in page order
 SALTS = 64             # partial wrappers of one host are merged in so many groups first
 
 _TOKEN = re.compile(
@@ -50,8 +52,12 @@ SIDE_WORDS = frozenset(
     "navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus "
     "respond replies reply discussion complementary contentinfo search toolbar".split())
+#: names that sites compose of such words: commentlist, comment-form, adbox, advertising, sidebar1
+SIDE_PIECE = re.compile(r"comment(s|er|list|slist|form|area|box|thread|wrap|wrapper|section)*|ads?(box|slot|unit|wrap|wrapper|container|block|zone|space|frame)s?"
+                        r"|adverti[sz]\w*|sponsor\w*|sidebar\w*|cookie\w*|breadcrumb\w*|newsletter\w*|disqus\w*")
 MAIN_TAGS = frozenset({"article", "main"})
 NEVER_SIDE = MAIN_TAGS | {"html", "body"}
+SIDE_IDS = frozenset("comments respond sidebar footer nav menu masthead".split())
 LISTS = frozenset("ul ol div section table".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th dt dd".split())
 
@@ -69,30 +75,41 @@ class Node:
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
     words: list[str] = []
+    hints: list[str] = []
     for m in _NAMED.finditer(rest):
-        words += (m[2] or m[3] or m[4] or "").lower().split()
+        found = (m[2] or m[3] or m[4] or "").lower().split()
+        words += found
+        # generators give headings and sections ids made of their text: such an id is no mark
+        if m[1].lower() != "id" or (tag not in LEAVES and (tag != "section" or set(found) <= SIDE_IDS)):
+            hints += found
     words = sorted({re.sub(r"\d+", "0", w) for w in words})
-    pieces = {x for w in words for x in re.split(r"[^a-z]+", w)}
-    return ".".join([tag, *words]), tag in SIDE_TAGS or (tag not in NEVER_SIDE and bool(pieces & SIDE_WORDS))
+    pieces = {x for w in hints for x in re.split(r"[^a-z]+", w)}
+    side = bool(pieces & SIDE_WORDS) or any(SIDE_PIECE.fullmatch(x) for x in pieces)
+    return ".".join([tag, *words]), tag in SIDE_TAGS or (tag not in NEVER_SIDE and side)
 
 
 def parse(source: str) -> Node:
     """The tree of block elements of a page. Unclosed elements end as HTML lets them; character
-    references are decoded; comments, scripts and styles are gone."""
+    references are decoded; comments, scripts and styles are gone. Trees are at most ``DEPTH`` + 1 blocks
+    deep, so what walks them may recurse: deeper blocks become neighbours, their text and its order stay."""
     root = Node("", "", False)
-    stack, blocks = [("", root)], [root]
+    stack, blocks, links = [("", root)], [root], [0]
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            _, node = stack.pop()
+            tag, node = stack.pop()
+            links[0] -= tag == "a"
             if node is not None:
                 blocks.pop()
+                if len(blocks) > DEPTH + 1:  # what follows a block laid beside it goes to a node after both
+                    blocks[-1] = Node(blocks[-1].tag, blocks[-1].label, blocks[-1].side)
+                    blocks[DEPTH].parts.append(blocks[-1])
 
     for m in _TOKEN.finditer(source):
         if m["text"] is not None:
             text = entities.unescape(m["text"])
             blocks[-1].parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if links[0]:
                 blocks[-1].links += len("".join(text.split()))
             continue
         tag = (m["tag"] or "").lower()
@@ -115,6 +132,7 @@ def parse(source: str) -> Node:
         if tag in INLINE:
             if not m["rest"].endswith("/"):
                 stack.append((tag, None))
+                links[0] += tag == "a"
             continue
         ends = ENDS.get(tag, set()) | {"p"}
         for k in range(len(stack) - 1, 0, -1):
@@ -124,8 +142,8 @@ def parse(source: str) -> Node:
             if stack[k][0] in SCOPE:
                 break
         label, side = _label(tag, m["rest"])
-        node = Node(tag, label, side)
-        blocks[-1].parts.append(node)
+        node = Node(tag, label, side or (len(blocks) > DEPTH + 1 and blocks[-1].side))
+        blocks[min(len(blocks) - 1, DEPTH)].parts.append(node)
         stack.append((tag, node))
         blocks.append(node)
     return root
@@ -274,8 +292,8 @@ def content_path(t: dict) -> list[int]:
         inner = [f for f in found if f[2][:len(top[2])] == top[2] and f[0] >= 0.95 * top[0]]
         return max(inner, key=lambda f: len(f[2]))[2]
     path: list[int] = []
+    whole = _mass(t)  # of the page: shares of it, or many steps would lose much in all
     while True:
-        whole = _mass(t)
         best = max(range(len(t["d"])), key=lambda i: _mass(t["d"][i]), default=None)
         if best is None or whole <= 0 or _mass(t["d"][best]) < ROOT_SHARE * whole or t["d"][best]["t"] in LEAVES:
             return path
@@ -284,7 +302,8 @@ def content_path(t: dict) -> list[int]:
 
 
 def _blocks(node: Node, t: dict | None, strict: bool, out: list[str]) -> None:
-    """Text blocks of a subtree in page order, without side elements, constants and menus."""
+    """Text blocks of a subtree in page order, without side elements, and without constants and menus that
+    stand before or after all of its varying blocks."""
     placed: dict[int, dict] = {}
     if t is not None:
         groups = _grouped(node)
@@ -300,22 +319,32 @@ def _blocks(node: Node, t: dict | None, strict: bool, out: list[str]) -> None:
             out.append(text)
         run.clear()
 
-    for p in node.parts:
+    varying = [k for k, p in enumerate(node.parts) if isinstance(p, Node) and _varies(p, placed.get(id(p)))]
+    for k, p in enumerate(node.parts):
         if isinstance(p, str):
             run.append(p)
             continue
         flush()
         below = placed.get(id(p))
+        between = bool(varying) and varying[0] < k < varying[-1]
         if (p.side if below is None else below["x"]) or (strict and p.tag == "header"):
             continue
-        if below is not None and constant(below):
+        if below is not None and constant(below) and not (between and p.tag in LEAVES):
             continue
-        if below is not None and p.tag in LISTS and _links(below) >= LINK_SHARE * max(1, _chars(below)) and _links(below):
+        if below is not None and not between and p.tag in LISTS and _links(below) >= LINK_SHARE * max(1, _chars(below)) and _links(below):
             continue
         _blocks(p, below, strict, out)
     flush()
 
 
+def _varies(p: Node, t: dict | None) -> bool:
+    """A block of the article itself: what stands between two of them belongs to it, as a heading that all
+    articles of a host share or a list of links."""
+    if t is None:
+        return not p.side and p.tag in LEAVES
+    return not t["x"] and not constant(t) and _mass(t) > 0
+
+
 def _chars(t: dict) -> int:
     return t["c"] + sum(_chars(d) for d in t["d"])
 
@@ -324,6 +353,21 @@ def _links(t: dict) -> int:
     return t["k"] + sum(_links(d) for d in t["d"])
 
 
+def _has_leaf(t: dict) -> bool:
+    return any(d["t"] in LEAVES or _has_leaf(d) for d in t["d"])
+
+
+def _nearly_all(like: list[Node]) -> Node | None:
+    """The one of several like siblings with nearly all of their text; null if there is none. Those without
+    any block of text, such as a banner's, don't count beside others that have one."""
+    made = [template(n) for n in like]
+    mass = [_inside(t) if _has_leaf(t) else 0.0 for t in made]
+    if not any(mass):
+        mass = [_inside(t) for t in made]
+    k = max(range(len(like)), key=mass.__getitem__)
+    return like[k] if mass[k] >= ONE_SHARE * sum(mass) else None
+
+
 def extract(source: str | None, wrapper: dict | None) -> str:
     """The article of a page under the wrapper of its host (or under the page's own template)."""
     node = parse(source or "")
@@ -333,19 +377,27 @@ def extract(source: str | None, wrapper: dict | None) -> str:
             groups = _grouped(at)
             to = {j: i for i, j in matching([template(g[0]) for g in groups], t["d"])}
             if step not in to:
+                below = False
+                break
+            # of several like siblings the one with nearly all text is the article, else they all are
+            best = _nearly_all(groups[to[step]])
+            if best is None:
+                below = True
                 break
-            # of several like siblings the one with most text is the article
-            at = max(groups[to[step]], key=lambda n: _inside(template(n)))
-            t = t["d"][step]
+            at, t = best, t["d"][step]
         else:
+            below = True
+        if below:
             out: list[str] = []
             _blocks(at, t, at.tag in ("", "html", "body"), out)
             if out:  # else a host of copies, in which all is constant
                 return "\n".join(out)
     own = t = unmark(template(node))
     for step in content_path(own):
-        node = max(_grouped(node)[step], key=lambda n: _inside(template(n)))
-        t = t["d"][step]
+        best = _nearly_all(_grouped(node)[step])
+        if best is None:
+            break
+        node, t = best, t["d"][step]
     out: list[str] = []
     _blocks(node, t, node.tag in ("", "html", "body"), out)
     return "\n".join(out)

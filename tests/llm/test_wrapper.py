@@ -65,6 +65,37 @@ def test_odd_pages():
         assert wr.extract(source, None) == want
 
 
+def test_deep_pages_keep_their_text_in_order():
+    for n in (90, 150, 5000):
+        page = "<article>" + "".join(f"<div>t{k} " for k in range(n)) + "<p>deep</p>" + "".join(f"u{k}</div>" for k in reversed(range(n))) + "</article>"
+        text = wr.extract(page, made([page] * 2))
+        assert text.split() == [f"t{k}" for k in range(n)] + ["deep"] + [f"u{k}" for k in reversed(range(n))]
+        assert wr.extract(page, None) == text
+    side = "<div>" * 120 + "<p>" + "kept " * 20_000 + "</p><div class=comments>" + "<div>gone" * 5000 + "</div>" * 5000 + "</div><p>also kept</p>"
+    assert wr.extract(side, None) == "kept " * 19_999 + "kept\nalso kept"
+    assert wr.extract("<b>" * 20_000 + "bold", None) == "bold"
+
+
+ARTICLE = ("<h1>Dish {0}</h1><p>About dish {0}, at some length.</p><h2 id='search'>Ingredients</h2><ul><li>salt {0}</li><li>water {0}</li></ul>"
+           "<h2 id='sharing-data'>Method</h2><p>Stir {0} times.</p><section id='discussion'><p>Why {0}?</p></section>"
+           "<ul><li><a href=x>Source {0}</a></li><li><a href=y>Other {0}</a></li></ul><p>The end of {0}.</p>")
+ARTICLE_TEXT = ("Dish {0}\nAbout dish {0}, at some length.\nIngredients\nsalt {0}\nwater {0}\nMethod\nStir {0} times.\nWhy {0}?\n"
+                "Source {0}\nOther {0}\nThe end of {0}.")
+
+
+def test_the_article_keeps_shared_headings_ids_and_link_lists():
+    for form in ("<body><nav>n</nav><article>%s</article><footer>f</footer></body>", "<body><div class=top>Our site</div><div class=text>%s</div><div>All rights kept</div></body>"):
+        pages = [(form % ARTICLE).format(k) for k in range(12)]
+        assert wr.extract(pages[5], made(pages)) == ARTICLE_TEXT.format(5)
+
+
+def test_an_article_in_two_parts_and_unlisted_names():
+    form = ("<body><div class=adbox>Buy {0}</div><div class=part><p>First half of {0} is this text.</p></div><div class=part><p>Second half of {0} is that text.</p></div>"
+            "<ol class=commentlist><li>nice {0}</li><li>not nice {0}</li></ol></body>")
+    pages = [form.format(k) for k in range(12)]
+    assert wr.extract(pages[2], made(pages)) == "First half of 2 is this text.\nSecond half of 2 is that text."
+
+
 def test_matching_keeps_order_and_is_largest():
     a, b = (made([p])["d"][0]["d"] for p in ("<body><h1>x</h1><p>a</p><ul></ul><div></div></body>", "<body><p>a</p><div></div><ul></ul></body>"))
     pairs = wr.matching(a, b)
