@@ -74,6 +74,8 @@ class Node:
 
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
+    if not rest.strip():
+        return tag, tag in SIDE_TAGS
     words: list[str] = []
     hints: list[str] = []
     for m in _NAMED.finditer(rest):
@@ -319,19 +321,25 @@ def _blocks(node: Node, t: dict | None, strict: bool, out: list[str]) -> None:
             out.append(text)
         run.clear()
 
-    varying = [k for k, p in enumerate(node.parts) if isinstance(p, Node) and _varies(p, placed.get(id(p)))]
+    varying: list[int] | None = None
+
+    def between(k: int) -> bool:
+        nonlocal varying
+        if varying is None:
+            varying = [i for i, p in enumerate(node.parts) if isinstance(p, Node) and _varies(p, placed.get(id(p)))]
+        return bool(varying) and varying[0] < k < varying[-1]
+
     for k, p in enumerate(node.parts):
         if isinstance(p, str):
             run.append(p)
             continue
         flush()
         below = placed.get(id(p))
-        between = bool(varying) and varying[0] < k < varying[-1]
         if (p.side if below is None else below["x"]) or (strict and p.tag == "header"):
             continue
-        if below is not None and constant(below) and not (between and p.tag in LEAVES):
+        if below is not None and constant(below) and not (p.tag in LEAVES and between(k)):
             continue
-        if below is not None and not between and p.tag in LISTS and _links(below) >= LINK_SHARE * max(1, _chars(below)) and _links(below):
+        if below is not None and p.tag in LISTS and _links(below) >= LINK_SHARE * max(1, _chars(below)) and _links(below) and not between(k):
             continue
         _blocks(p, below, strict, out)
     flush()
@@ -360,6 +368,8 @@ def _has_leaf(t: dict) -> bool:
 def _nearly_all(like: list[Node]) -> Node | None:
     """The one of several like siblings with nearly all of their text; null if there is none. Those without
     any block of text, such as a banner's, don't count beside others that have one."""
+    if len(like) == 1:
+        return like[0]
     made = [template(n) for n in like]
     mass = [_inside(t) if _has_leaf(t) else 0.0 for t in made]
     if not any(mass):
