@@ -143,6 +143,13 @@ def upsert_leads(store: DataFrame, leads: DataFrame, run_id: int, now: str,
     return j.select(*cols)
 
 
+def counters(searches: DataFrame, runs: DataFrame, leads: DataFrame, stored: dict[str, int] | None = None) -> dict[str, int]:
+    """The three id counters (``next_search_id``, ``next_run_id``, ``next_lead_id``) to be stored with the tables: the
+    stored ones (``sinks.load_counters``), moved on past every id that the tables have."""
+    tables = {"next_search_id": searches, "next_run_id": runs, "next_lead_id": leads}
+    return {name: next_id(t, (stored or {}).get(name)) for name, t in tables.items()}
+
+
 def known_domains(store: DataFrame) -> DataFrame:
     """#67: distinct stored domains."""
     return store.select("domain").distinct()
@@ -219,10 +226,19 @@ def _search_key(loc: Column) -> Column:
     return F.coalesce(loc, F.lit(""))
 
 
-def upsert_searches(saved: DataFrame, new: DataFrame, now: str) -> DataFrame:
+def next_id(table: DataFrame, counter: int | None = None) -> int:
+    """The id to be given next: the stored counter, which is above every id ever given, or else (or if the table
+    has gone beyond it) one more than the highest id of the table."""
+    top = int(table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    return max(top + 1, counter or 1)
+
+
+def upsert_searches(saved: DataFrame, new: DataFrame, now: str, counter: int | None = None) -> DataFrame:
     """#71: key (niche, location or ''). Existing: lim (default 10), channels
     (empty -> null), label set and reactivated. New: next id in input order
-    (``input_ord`` of the key's first input), created now. The last input per key wins."""
+    (``input_ord`` of the key's first input), created now. The last input per key wins.
+    ``counter`` is the stored counter of ids (``next_id``); without it the id of a deleted last
+    search would be given again."""
     n = new.withColumn("_k", _search_key(F.col("location")))
     last = n.groupBy("niche", "_k").agg(F.max_by(F.struct(*new.columns), F.col("input_ord")).alias("_r"),
                                         F.min("input_ord").alias("first_ord"))
@@ -232,7 +248,7 @@ def upsert_searches(saved: DataFrame, new: DataFrame, now: str) -> DataFrame:
     has_old, has_new = F.col("id").isNotNull(), F.col("n_input_ord").isNotNull()
     lim = F.coalesce(F.col("n_lim"), F.lit(K.DEFAULT_LIMIT)).cast("int")
     ch = F.when(F.size(F.col("n_channels")) > 0, F.col("n_channels"))
-    base_id = saved.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    base_id = next_id(saved, counter) - 1
     upd = j.where(has_old).select(
         "id", "niche", "location",
         F.when(has_new, lim).otherwise(F.col("lim")).alias("lim"),
@@ -263,9 +279,9 @@ def list_searches(saved: DataFrame, active_only: bool = False) -> DataFrame:
     return s.orderBy(F.col("created_at").desc(), F.col("id").asc())
 
 
-def start_run(runs: DataFrame, search_count: int, enrich: bool, now: str) -> tuple[DataFrame, int]:
-    """#74: append a ``running`` ledger row; returns (ledger, new run id)."""
-    new_id = int(runs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
+def start_run(runs: DataFrame, search_count: int, enrich: bool, now: str, counter: int | None = None) -> tuple[DataFrame, int]:
+    """#74: append a ``running`` ledger row; returns (ledger, new run id). ``counter``: the stored counter of ids."""
+    new_id = next_id(runs, counter)
     spark = runs.sparkSession
     row = spark.createDataFrame([(new_id, None, None, "running", search_count, 0, enrich, None)], S.RUNS) \
                .withColumn("started_at", _ts(now))

@@ -5,9 +5,8 @@
   with event-time deduplication bounded by a watermark;
 * ``stream_sessions``: sessions per key, emitted when the watermark passes them;
 * ``stream_unanswered``: openings without an answer in time, by a timer per key;
-* ``stream_upsert``: every micro-batch folded into the newest version of the lead
-  table by ``upsert_leads``; the new version carries a marker with the query id of
-  the stream and the batch id, so a replayed batch is known and does nothing.
+* ``stream_upsert``: every micro-batch folded into a bucketed lead table by ``upsert_leads``; its
+  commit names the query id of the stream and the batch id, so a replayed batch does nothing.
 
 Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 """
@@ -20,10 +19,8 @@ from pyspark.sql import functions as F
 from leadlake.functions import names as N
 from leadlake.functions.urls import host_of
 from leadlake.operators import pages as P
-from leadlake.operators import store as ST
 from leadlake.operators import timeline as T
-from leadlake.session import _fs, publish_table
-from leadlake.sources import sinks
+from leadlake.sources import merge_table as MT
 
 
 def stream_enrich(pages_stream: DataFrame) -> DataFrame:
@@ -92,32 +89,26 @@ def stream_unanswered(events_stream: DataFrame, key: str, time: str, opens, clos
 
 
 def stream_upsert(leads_stream: DataFrame, root: str, base_store: DataFrame, run_id: int, now: str | None,
-                  checkpoint: str, trigger_once: bool = True):
-    """#95: fold each micro-batch into the lead table at ``root/leads/v=<n>``.
-
-    ``base_store`` becomes version 0 where the table has no version yet. A batch reads
-    the newest version and publishes the next one, together with a marker that names the
-    stream (the query id in its checkpoint) and the batch; a batch whose marker exists is
-    a replay and is skipped. A second stream on the same table goes on from its newest
-    version; if two write at once, one of them fails on the existing version and is
-    retried by its checkpoint. ``now`` stamps the rows; ``None`` takes each batch's time."""
+                  checkpoint: str, trigger_once: bool = True, buckets: int = MT.BUCKETS, next_id: int | None = None):
+    """#95: fold each micro-batch into the bucketed lead table at ``root/leads``.
+
+    ``base_store`` becomes its first commit where there is no table yet, with ``next_id`` as the stored
+    counter of ids. A batch reads the buckets that its domains fall into and writes the rows it
+    changes (``LeadTable.merge``), so its cost follows the batch; buckets with many deltas are compacted after it. A
+    commit names the stream (the query id in its checkpoint) and the batch, so a replayed batch is known
+    and skipped. A second stream on the table goes on from its newest commit; if two write at once, one of
+    them fails and is retried by its checkpoint. ``now`` stamps the rows; ``None`` takes each batch's time."""
     spark = leads_stream.sparkSession
-    if not sinks.versions(spark, root, "leads"):
-        sinks.save_table(base_store, root, "leads", 0)
+    table = MT.LeadTable(spark, f"{root.rstrip('/')}/leads", buckets)
+    if table.state() is None:
+        table.create(base_store, next_id)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         import json
         from datetime import UTC, datetime
         query_id = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
-        marker = f"batch-{query_id}-{batch_id}"
-        done = sinks.versions(spark, root, "leads")
-        fs, _ = _fs(spark, root)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        if any(fs.exists(path(f"{root.rstrip('/')}/leads/v={v}/_{marker}")) for v in done):
-            return
-        cur = spark.read.parquet(f"{root.rstrip('/')}/leads/v={done[-1]}")
-        stamp = now or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
-        publish_table(ST.upsert_leads(cur, batch, run_id, stamp), f"{root.rstrip('/')}/leads/v={int(done[-1]) + 1}", marker=marker)
+        table.merge(batch, run_id, now or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), query_id, batch_id)
+        table.compact()
 
     w = leads_stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     q = (w.trigger(availableNow=True) if trigger_once else w).start()
@@ -125,5 +116,5 @@ def stream_upsert(leads_stream: DataFrame, root: str, base_store: DataFrame, run
 
 
 def latest_store(spark: SparkSession, root: str) -> DataFrame:
-    from leadlake.sources import schemas as S
-    return sinks.read_table(spark, root, "leads", S.STORED_LEAD)
+    """The lead table that ``stream_upsert`` keeps at ``root``."""
+    return MT.LeadTable(spark, f"{root.rstrip('/')}/leads").read()
