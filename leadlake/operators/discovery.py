@@ -113,9 +113,10 @@ def _ord(*cols: Column) -> Column:
 
 # ------------------------------------------------------------------ channels
 
-def discover_web(planned: DataFrame, serp: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def discover_web(planned: DataFrame, serp: DataFrame, known: DataFrame | None = None, limit: bool = True) -> DataFrame:
     """#38: hit hosts minus blocked/known, first per host by (query, rank), name
-    from the title, first ``lim`` per spec."""
+    from the title, first ``lim`` per spec; without ``limit`` all of them, for
+    ``run_across_specs``, which takes the limit after its own exclusions."""
     h = query_hits(planned, serp, ["web"])
     h = h.where(F.col("host").isNotNull() & ~F.col("blocked"))
     if known is not None:
@@ -123,7 +124,7 @@ def discover_web(planned: DataFrame, serp: DataFrame, known: DataFrame | None =
     first = _first_per(h, ["spec_ord", "channel_ord", "host"], ["query_ord", "rank"],
                        ["lim", "title", "description", "query"])
     rn = F.row_number().over(W.partitionBy("spec_ord", "channel_ord").orderBy("query_ord", "rank"))
-    top = first.withColumn("_rn", rn).where(F.col("_rn") <= F.col("lim"))
+    top = first.withColumn("_rn", rn).where(F.col("_rn") <= F.col("lim")) if limit else first
     return top.select(
         "spec_ord", F.lit("web").alias("channel"), "channel_ord", _ord(F.col("query_ord"), F.col("rank")).alias("ord"),
         N.pick_name(F.col("title"), F.col("host")).alias("name"), website_of(F.col("host")).alias("website"),
@@ -251,7 +252,7 @@ def discover_places(planned: DataFrame, places: DataFrame, max_pages: int | None
 
 def discover_channels(planned: DataFrame, serp: DataFrame, places: DataFrame | None,
                       known: DataFrame | None = None, materialize: bool = True,
-                      skip_failed: bool = False) -> DataFrame:
+                      skip_failed: bool = False, limit_web: bool = True) -> DataFrame:
     """#44: union of every channel's candidates. With ``skip_failed`` a channel whose
     plan cannot be built contributes nothing and is logged, as in the application; by
     default the error is raised, so a missing column can't lose a channel unseen.
@@ -265,7 +266,7 @@ def discover_channels(planned: DataFrame, serp: DataFrame, places: DataFrame | N
         hits = hits.checkpoint()
     parts = []
     builders = [
-        lambda: discover_web(planned, hits, known),
+        lambda: discover_web(planned, hits, known, limit_web),
         lambda: discover_listing(planned, serp, hits),
         lambda: discover_intent(planned, hits),
         lambda: discover_profile(planned, serp, hits),
@@ -358,3 +359,38 @@ def cap_across_specs(merged: DataFrame, specs: DataFrame, factor: int | None = K
         kept = now
         if not changed:
             return capped
+
+
+def run_across_specs(cands: DataFrame, specs: DataFrame, factor: int | None = K.CANDIDATE_CAP_FACTOR,
+                     least: int = K.CANDIDATE_CAP_MIN) -> DataFrame:
+    """#76: merged and capped candidates of specs that run one after another: a domain that an earlier spec kept is
+    known to the later ones, before the web channel takes its first ``lim`` hosts and before the cap.
+
+    ``cands``: the candidates of all channels, those of the web channel without limit. As in ``cap_across_specs``
+    rounds go on until no spec changes; they work on narrow rows (spec, domain, channel, place), and the
+    candidates themselves are merged once, at the end."""
+    lim = specs.select(F.col("spec_ord").alias("_spec"), F.col("lim").alias("_lim"))
+    place = F.struct(F.col("channel_ord").cast("long").alias("c"), F.col("ord").alias("o"))
+    narrow = (cands.join(lim, F.col("spec_ord") == F.col("_spec"))
+              .select("spec_ord", "domain", "channel", place.alias("_o"), "_lim").checkpoint())
+
+    def allowed(rows: DataFrame, kept: DataFrame | None) -> DataFrame:
+        """Rows that earlier specs leave free; of the web channel the first ``lim`` of those."""
+        if kept is not None:
+            owner = kept.groupBy(F.col("domain").alias("_d")).agg(F.min("spec_ord").alias("_owner"))
+            rows = rows.join(owner, F.col("domain") == F.col("_d"), "left").where(
+                F.col("_owner").isNull() | (F.col("_owner") >= F.col("spec_ord"))).drop("_d", "_owner")
+        n = F.row_number().over(W.partitionBy("spec_ord", "channel").orderBy("_o"))
+        return rows.withColumn("_n", n).where((F.col("channel") != "web") | (F.col("_n") <= F.col("_lim"))).drop("_n")
+
+    kept = None
+    while True:
+        merged = allowed(narrow, kept).groupBy("spec_ord", "domain").agg(
+            F.collect_set("channel").alias("channels"), F.min("_o").alias("first_ord"))
+        now = cap_candidates(merged, specs, factor, least).select("spec_ord", "domain").checkpoint()
+        same = kept is not None and not now.exceptAll(kept).unionAll(kept.exceptAll(now)).limit(1).count()
+        kept = now
+        if same:
+            break
+    rows = cands.join(lim, F.col("spec_ord") == F.col("_spec")).withColumn("_o", place)
+    return cap_candidates(merge_candidates(allowed(rows, kept).drop("_spec", "_lim", "_o")), specs, factor, least)

@@ -8,7 +8,10 @@ joined back to the candidates -- the HTML itself never crosses a shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlake.functions import contacts as C
@@ -112,15 +115,60 @@ def run_search(specs: DataFrame, serp: DataFrame, places: DataFrame | None, page
     spec *kept* is known to later ones, which fill up with their next candidates."""
     from leadlake.plans.planning import plan_queries
     planned = plan_queries(specs)
-    cands = D.discover_channels(planned, serp, places, known)
+    cands = D.discover_channels(planned, serp, places, known, limit_web=not cross_spec)
     if known is not None:
         cands = D.exclude_known(cands, known)
-    merged = D.merge_candidates(cands)
     # the capped list feeds enrichment twice (URL semi-join and main join): checkpoint it so
     # discovery runs once
     if cross_spec:
-        merged = merged.checkpoint()
-        capped = D.cap_across_specs(merged, specs).checkpoint()
+        capped = D.run_across_specs(cands.checkpoint(), specs).checkpoint()
     else:
-        capped = D.cap_candidates(merged, specs).checkpoint()
+        capped = D.cap_candidates(D.merge_candidates(cands), specs).checkpoint()
     return build_leads(capped, pages, enrich_pages)
+
+
+@dataclass
+class SavedRun:
+    """What a saved run leaves: the new lead table, the ledger, the counters and a summary."""
+
+    leads: DataFrame
+    runs: DataFrame
+    counters: dict[str, int]
+    run_id: int
+    search_count: int
+    lead_count: int
+    errors: list[dict[str, str]]
+
+
+def saved_run(searches: DataFrame, runs: DataFrame, store: DataFrame, serp: DataFrame, places: DataFrame | None, pages: DataFrame | None,
+              now: str, finished: str | None = None, counters: dict[str, int] | None = None, enrich_pages: bool = True) -> SavedRun:
+    """#76, the whole of it: open a ledger row, run all active searches one after another (``run_search`` with
+    ``cross_spec`` over the stored domains), upsert all their leads at the end, close the row.
+
+    A search that can't be a spec (blank niche) is an entry of ``errors`` and the others go on. An error of the
+    run itself closes the row as ``error``, changes no lead and is told in ``errors`` as that of all
+    searches. Without active searches the row is closed at once. ``counters`` are the stored ids (``store.counters``)."""
+    from leadlake.operators import store as ST
+    from leadlake.plans.planning import normalize_specs
+
+    active = ST.list_searches(searches, active_only=True).select("id", "niche", "location", "lim", "channels", "created_at")
+    order = F.row_number().over(W.orderBy(F.col("created_at").desc(), F.col("id"))) - 1  # one row per saved search
+    specs = active.select(order.cast("int").alias("spec_ord"), "id", "niche", "location", "lim", "channels").checkpoint()
+    count = specs.count()
+    ledger, run_id = ST.start_run(runs, count, enrich_pages, now, (counters or {}).get("next_run_id"))
+    good = normalize_specs(specs.drop("id"), mode="saved")
+    bad = specs.join(good.select("spec_ord"), "spec_ord", "left_anti").orderBy("spec_ord")
+    errors = [{"search": str(r.id), "error": "no niche"} for r in bad.select("id").toLocalIterator()]
+    leads, found, failed = store, 0, None
+    if count > len(errors):
+        try:
+            new = run_search(good, serp, places, pages, store.select("domain"), enrich_pages, cross_spec=True).checkpoint()
+            found = new.count()
+            new = new.withColumn("score_ord", -F.col("score"))  # a search returns its leads by score
+            leads = ST.upsert_leads(store, new, run_id, now, ["spec_ord", "score_ord", "cand_rank"], (counters or {}).get("next_lead_id")).checkpoint()
+        except Exception as e:  # noqa: BLE001 - the ledger must say how the run ended
+            failed = str(e).splitlines()[0][:500]
+            errors.append({"search": "*", "error": failed})
+            leads, found = store, 0
+    ledger = ST.finish_run(ledger, run_id, found, finished or now, failed)
+    return SavedRun(leads, ledger, ST.counters(searches, ledger, leads, counters), run_id, count, found, errors)

@@ -974,7 +974,7 @@ def stream_upsert_job(spark, sf_dir):
     for i in range(3):
         t.where(F.col("_o") == i).drop("_o").write.mode("append").parquet(base + "/in")
     st = spark.readStream.schema(SC.LEAD).option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    q = SS.stream_upsert(st, base + "/tables", _sfx(spark, sf_dir, "leads"), 9, FX.NOW, base + "/ckpt")
+    q = SS.stream_upsert(st, base + "/tables", _sfx(spark, sf_dir, "leads"), 9, FX.NOW, base + "/ckpt", buckets=8)
     _await(q)
     return _lead_rows(SS.latest_store(spark, base + "/tables"))
 

@@ -425,22 +425,48 @@ SELECT {LEAD_OUT} FROM ld"""
 
 Q["run_search"] = Q["build_leads"]
 
-Q["run_discovery"] = f"""{FIX}, {MERGED},
-lists AS MATERIALIZED (
-  SELECT s.spec_ord, greatest(3 * s.lim, 40) AS cap,
-         coalesce(list(m.domain ORDER BY len(m.channels) DESC, m.first_ord) FILTER (m.domain IS NOT NULL), []) AS ds
-  FROM specs s LEFT JOIN merged m USING (spec_ord) GROUP BY s.spec_ord, s.lim),
-numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY spec_ord) AS step FROM lists),
--- one spec after another; taken: domains that the specs before kept
-loop AS (
+# specs one after another: the web channel takes its first lim hosts, and the cap counts, after the domains that
+# the specs before kept are gone
+_ALL_WEB = WEB.replace("web AS (", "all_web AS (", 1).replace("WHERE rn <= lim)", ")", 1)
+
+
+def _merged_of(src: str, name: str) -> str:
+    """The merge of the candidates ``src`` as ``name``."""
+    text = MERGED.split("chf AS", 1)[1].split(",\ncapped AS", 1)[0]
+    text = "chf AS" + text
+    return (text.replace("chf", f"chf_{name}").replace("merged AS", f"{name} AS").replace("FROM kc GROUP", f"FROM {src} GROUP")
+            .replace("kc.", f"{src}."))
+
+
+Q["run_discovery"] = f"""{FIX}, {CHANNELS}, {_ALL_WEB},
+kc AS (SELECT * FROM cands WHERE channel <> 'web' AND domain NOT IN (SELECT domain FROM known WHERE domain IS NOT NULL)),
+webs AS (SELECT spec_ord, list({{'d': domain, 'k': [CAST(channel_ord AS BIGINT), o1, o2, o3]}} ORDER BY o1, o2) AS ws FROM all_web GROUP BY spec_ord),
+others AS (
+  SELECT spec_ord, list({{'d': domain, 'n': n, 'k': k}}) AS os FROM (
+    SELECT spec_ord, domain, count(DISTINCT channel) AS n, min([CAST(channel_ord AS BIGINT), o1, o2, o3]) AS k FROM kc GROUP BY ALL) GROUP BY spec_ord),
+numbered AS MATERIALIZED (
+  SELECT s.spec_ord, s.lim, greatest(3 * s.lim, 40) AS cap, row_number() OVER (ORDER BY s.spec_ord) AS step,
+    coalesce(ws, []) AS ws, coalesce(os, []) AS os FROM specs s LEFT JOIN webs USING (spec_ord) LEFT JOIN others USING (spec_ord)),
+loop AS MATERIALIZED (
   WITH RECURSIVE l AS (
-    SELECT 0::BIGINT AS step, -1 AS spec_ord, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS taken
+    SELECT 0::BIGINT AS step, -1 AS spec_ord, CAST([] AS VARCHAR[]) AS web_kept, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS taken
     UNION ALL
-    SELECT step, spec_ord, kept, list_concat(taken, kept)
-    FROM (SELECT n.step, n.spec_ord, l.taken,
-                 list_filter(n.ds, lambda d: NOT list_contains(l.taken, d))[1:n.cap] AS kept
-          FROM l JOIN numbered n ON n.step = l.step + 1))
-  SELECT spec_ord, unnest(kept) AS domain FROM l),
-capped2 AS (SELECT m.* FROM merged m JOIN loop ON loop.spec_ord = m.spec_ord AND loop.domain = m.domain),
+    SELECT step, spec_ord, list_transform(w, lambda x: x.d), kept, list_concat(taken, kept) FROM (
+      SELECT *, list_transform(list_sort(list_transform(
+          list_distinct(list_concat(list_transform(w, lambda x: x.d), list_transform(o, lambda x: x.d))),
+          lambda d: {{'n': -(coalesce(list_filter(o, lambda x: x.d = d)[1].n, 0) + len(list_filter(w, lambda x: x.d = d))),
+                      'k': list_sort(list_concat(list_transform(list_filter(o, lambda x: x.d = d), lambda x: x.k), list_transform(list_filter(w, lambda x: x.d = d), lambda x: x.k)))[1],
+                      'd': d}})), lambda s: s.d)[1:cap] AS kept
+      FROM (
+        SELECT n.step, n.spec_ord, n.cap, l.taken, list_filter(n.ws, lambda x: NOT list_contains(l.taken, x.d))[1:n.lim] AS w,
+               list_filter(n.os, lambda x: NOT list_contains(l.taken, x.d)) AS o
+        FROM l JOIN numbered n ON n.step = l.step + 1)))
+  SELECT * FROM l),
+loop_kept AS (SELECT spec_ord, unnest(kept) AS domain FROM loop),
+loop_web AS (SELECT spec_ord, unnest(web_kept) AS domain FROM loop),
+kc2 AS (
+  SELECT c.* FROM kc c JOIN loop_kept USING (spec_ord, domain)
+  UNION ALL SELECT w.* FROM all_web w JOIN loop_kept USING (spec_ord, domain) JOIN loop_web USING (spec_ord, domain)),
+{_merged_of('kc2', 'capped2')},
 {leads_ctes('capped2')}
 SELECT {LEAD_OUT} FROM ld"""
