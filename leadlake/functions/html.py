@@ -37,6 +37,19 @@ def _meta_pattern(key: str) -> str:
             + key + r"""["']""")
 
 
+#: the keys that page signals are read from
+META_KEYS = ("description", "og:title", "og:description", "og:image", "icon", "shortcut icon")
+
+
+def meta_tags(html: Column, keys: tuple[str, ...] = META_KEYS) -> Column:
+    """The meta tags with one of the keys, to their ends, as a short text in which ``meta_content`` finds what it
+    finds in the page: one pass over the page instead of two for every key. The tags are captured in a
+    look-ahead, so that a tag inside a malformed one is found too. Only a tag that is never closed, before
+    one with ``>`` in a value, may have that value cut there."""
+    pattern = _meta_pattern("(?:" + "|".join(keys) + ")").removeprefix("(?i)").replace("([^", "(?:[^")
+    return F.array_join(F.regexp_extract_all(html, F.lit(f"(?i)(?=((?:{pattern})[^>]*))<meta"), F.lit(1)), ">")
+
+
 def meta_content(html: Column, key: str) -> Column:
     """Content of ``<meta name|property=key content=...>``, either attribute order,
     leftmost tag wins; trimmed, blank -> null (#50)."""

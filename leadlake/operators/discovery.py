@@ -171,6 +171,17 @@ def _number_names(df: DataFrame) -> DataFrame:
     return first.withColumn("name_ord", _ord(F.col("k1"), F.col("k2") * 1000000 + F.col("k3"), F.col("k4")))
 
 
+def on_channel_domain(host: Column) -> Column:
+    """Whether a hit is on its channel's own domain, sub-domains not counted."""
+    dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
+    return F.coalesce(host == dom, F.lit(False))
+
+
+def profile_hit_filter(host: Column, url: Column) -> Column:
+    """#26: hits on the channel's own domain whose URL is no list, comparison or hub page."""
+    return on_channel_domain(host) & ~url.rlike("(?i)" + K.PROFILE_URL_REJECT)
+
+
 def discover_profile(planned: DataFrame, serp: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """#40: profile hits on the channel's own domain (no sub-domains, no list/compare
     pages) -> company names from titles (+ g2 snippet names) -> distinct in order ->
@@ -178,12 +189,9 @@ def discover_profile(planned: DataFrame, serp: DataFrame, hits: DataFrame | None
     hits of the planned queries, where the caller has them."""
     chans = [c for c, _, _, kind, *_ in K.CHANNELS if kind == "profile"]
     h = query_hits(planned, serp if hits is None else hits, chans).withColumnRenamed("host", "rhost")
-    dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
     label = F.coalesce(*[F.when(F.col("channel") == c, F.lit(lb)) for c, lb, *_ in K.CHANNELS])
-    on_domain = F.coalesce(F.col("rhost") == dom, F.lit(False))
-    h = h.where(on_domain)
-    reject = F.col("url").rlike("(?i)" + K.PROFILE_URL_REJECT)
-    t = (h.where(~reject).withColumn("name", N.extract_company_name(F.col("title")))
+    h = h.where(on_channel_domain(F.col("rhost")))
+    t = (h.where(profile_hit_filter(F.col("rhost"), F.col("url"))).withColumn("name", N.extract_company_name(F.col("title")))
           .where(F.col("name").isNotNull() & (F.lower("name") != F.col("channel")) & (F.lower("name") != F.lower(label)))
           .select("spec_ord", "channel", "channel_ord", "location", "label", "lim", "name",
                   F.lit(0).alias("k1"), F.col("query_ord").alias("k2"), F.col("rank").alias("k3"), F.lit(0).alias("k4")))

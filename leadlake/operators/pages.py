@@ -44,18 +44,19 @@ def page_signals(pages: DataFrame, *, favicon_source: str = "meta", h1_source: s
     html = F.col("html")
     # the page's own links and the https rule go by the URL at which it was found
     base = pages.select(*keep, "url", "final_url", F.col("status_code").cast("int").alias("status_code"), "html",
-                        parse_url_parts(F.col("final_url")).alias("_base"))
+                        parse_url_parts(F.col("final_url")).alias("_base"), H.meta_tags(html).alias("_metas"))
+    metas = F.col("_metas")
     cols = [
         *[F.col(c) for c in keep],
         F.col("url"),
         F.col("status_code"),
         F.col("final_url"),
         H.extract_title(html).alias("title"),
-        H.meta_content(html, "description").alias("description"),
-        H.meta_content(html, "og:title").alias("og_title"),
-        H.meta_content(html, "og:description").alias("og_description"),
-        H.meta_content(html, "og:image").alias("og_image"),
-        H.favicon(html, favicon_source).alias("favicon"),
+        H.meta_content(metas, "description").alias("description"),
+        H.meta_content(metas, "og:title").alias("og_title"),
+        H.meta_content(metas, "og:description").alias("og_description"),
+        H.meta_content(metas, "og:image").alias("og_image"),
+        H.favicon(html if favicon_source == "link" else metas, favicon_source).alias("favicon"),
         H.html_to_text(html).alias("text"),
         H.extract_links(html, F.col("_base")).alias("links"),
     ]

@@ -289,15 +289,7 @@ def compose_location(spark, sf_dir):
 
 @job("location_cascade")
 def location_cascade(spark, sf_dir):
-    g = _geo(spark, sf_dir)
-    countries = PL.location_cascade(g).select(F.lit("country").alias("level"), F.lit("").alias("parent"),
-                                              "name", "iso_code")
-    states = (g.select("country_code", F.col("state").alias("name"), F.col("state_code").alias("iso_code"))
-               .distinct().select(F.lit("state").alias("level"), F.col("country_code").alias("parent"), "name",
-                                  "iso_code"))
-    cities = (g.select(F.concat_ws("/", "country_code", "state_code").alias("parent"), F.col("city").alias("name"))
-               .distinct().select(F.lit("city").alias("level"), "parent", "name", F.lit("").alias("iso_code")))
-    return countries.unionByName(states).unionByName(cities)
+    return PL.location_levels(_geo(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- hosts and names
@@ -348,13 +340,10 @@ def domain_matches_name(spark, sf_dir):
 
 @job("profile_hit_filter")
 def profile_hit_filter(spark, sf_dir):
-    from leadlake import constants as K
     h = _fx(spark, sf_dir, "profile_hits")
     p = _planned(spark, sf_dir).select("query", "channel").distinct()
     j = h.join(p, "query")
-    dom = F.coalesce(*[F.when(F.col("channel") == c, F.lit(d)) for c, _, d, *_ in K.CHANNELS if d])
-    keep = (F.coalesce(U.host_of(F.col("url")) == dom, F.lit(False))
-            & ~F.col("url").rlike("(?i)" + K.PROFILE_URL_REJECT))
+    keep = D.profile_hit_filter(U.host_of(F.col("url")), F.col("url"))
     return j.select("channel", "url", keep.alias("kept")).distinct()
 
 

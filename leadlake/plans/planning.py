@@ -214,3 +214,14 @@ def location_cascade(geo: DataFrame, country: str | None = None, state: str | No
                    .select(F.col("state").alias("name"), F.col("state_code").alias("iso_code"))
                    .distinct().orderBy("name"))
     return geo.select(F.col("country").alias("name"), F.col("country_code").alias("iso_code")).distinct().orderBy("name")
+
+
+def location_levels(geo: DataFrame) -> DataFrame:
+    """The whole cascade as one table: rows ``level`` (country, state, city), ``parent`` (codes of the levels
+    above, joined by /), ``name``, ``iso_code`` (empty for cities), each once (#18)."""
+    countries = location_cascade(geo).select(F.lit("country").alias("level"), F.lit("").alias("parent"), "name", "iso_code")
+    states = geo.select(F.lit("state").alias("level"), F.col("country_code").alias("parent"), F.col("state").alias("name"),
+                        F.col("state_code").alias("iso_code")).distinct()
+    cities = geo.select(F.lit("city").alias("level"), F.concat_ws("/", "country_code", "state_code").alias("parent"),
+                        F.col("city").alias("name"), F.lit("").alias("iso_code")).distinct()
+    return countries.unionByName(states).unionByName(cities)

@@ -159,3 +159,18 @@ def test_url_resolution(spark):
     assert r("//cdn.ex.com/x y") == "http://cdn.ex.com/x%20y"
     assert r("HTTPS://Other.com:443") == "https://other.com/"
     assert r("ftp://x.com/") is None
+
+
+def test_meta_tags_hold_what_the_page_holds(spark):
+    import random
+    from leadlake.functions import html as H
+    r = random.Random(8)
+    bits = ["<meta ", "<META ", "name=", "property=", "content=", '"', "'", "description", "og:title", "icon", "x y", ">", "> ", " ", "a>b", "\n"]
+    pages = ["".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(1500)]
+    attrs = ['name="description"', "property='og:title'", 'name="icon"', 'content="one"', "content='two > 2'", "content=''", "charset=x"]
+    pages += ["".join("<meta " + " ".join(r.sample(attrs, r.randrange(1, 6))) + r.choice([">", "/>"]) for _ in range(r.randrange(1, 5))) for _ in range(1500)]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    df = df.withColumn("metas", H.meta_tags(F.col("html")))
+    for key in ("description", "og:title", "icon"):
+        bad = df.where(~H.meta_content(F.col("html"), key).eqNullSafe(H.meta_content(F.col("metas"), key)))
+        assert bad.count() == 0, (key, bad.first())
