@@ -25,6 +25,7 @@ STEPS, STEPS_PAIRS = 200, 60
 SEED = 7
 ROWS = 1000          # texts that are scored together
 FOLDS, HELD_OUT = 5, 0
+CROSS_FOLDS = 4      # parts of the sample that are scored by a model of the others, to place the cut
 
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -129,10 +130,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, l1: float = L1, l2: float = L2, l
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT,
-          sample_rows: int = SAMPLE_ROWS, **options) -> Machine:
+          sample_rows: int = SAMPLE_ROWS, cross_folds: int = CROSS_FOLDS, **options) -> Machine:
     """Fit on the first ``sample_rows`` labelled documents outside the held-out fold by hash of
     doc_id. The ids and labels of the sample are broadcast; the executors hash its texts, and
-    the term columns of at most ``sample_rows`` rows come to the driver."""
+    the term columns of at most ``sample_rows`` rows come to the driver, which hands them to the
+    tasks that fit."""
     sample = (labels.where(F.col("toxic").isin(0, 1) & ~held_out(folds, fold))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -146,8 +148,49 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HE
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
             .select("doc_id", "y", "text").mapInPandas(run, "doc_id long, y int, cols binary").toPandas())
     rows = rows.sort_values(["doc_id", "cols"])  # the same order, and so the same sums, in every run
-    return fit([np.frombuffer(b, np.int32) for b in rows["cols"]],
-               rows["y"].to_numpy(float), **options)
+    return _fit_in_tasks(docs.sparkSession, list(rows["cols"]), rows["y"].to_numpy(float), cross_folds, options)
+
+
+def best_cut(margins: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the fewest errors: halfway between neighbouring margins, or 0; of equal ones the nearest to 0."""
+    m, at = np.unique(margins, return_inverse=True)
+    if len(m) < 2:
+        return 0.0
+    missed = np.cumsum(np.bincount(at, y, len(m)))[:-1]
+    wrong = np.cumsum(np.bincount(at, 1 - y, len(m))[::-1])[::-1][1:]
+    cuts = np.append((m[:-1] + m[1:]) / 2, 0.0)
+    errors = np.append(missed + wrong, np.sum((margins >= 0) != (y > 0)))
+    return float(cuts[np.lexsort((np.abs(cuts), errors))[0]])
+
+
+def _fit_in_tasks(spark, cols: list[bytes], y: np.ndarray, folds: int, options: dict) -> Machine:
+    """The machine of all sampled rows, its bias moved so that 0 is the best cut between the classes.
+
+    Every row is also scored by a machine fitted without its part of the sample (equal rows are in
+    one part), because margins of rows that were fitted lie too far apart. Each fit is a task of its own."""
+    part = np.array([zlib.crc32(b) % folds for b in cols], np.int64)
+    shared = spark.sparkContext.broadcast((cols, y, part))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols, y, part = shared.value
+        rows = [np.frombuffer(b, np.int32) for b in cols]
+        for f in frames:
+            for k in f["id"]:
+                use = np.flatnonzero(part != k)
+                m = fit([rows[i] for i in use], y[use], **options)
+                out = m.margins([rows[i] for i in np.flatnonzero(part == k)])
+                whole = k == folds
+                yield pd.DataFrame({"k": [k], "bias": [m.bias], "active": [m.active.astype(np.int64).tobytes() if whole else b""],
+                                    "w": [m.w.tobytes() if whole else b""], "v": [m.v.tobytes() if whole else b""], "margins": [out.tobytes()]})
+
+    fits = {r.k: r for r in spark.range(0, folds + 1, 1, folds + 1).mapInPandas(
+        run, "k long, bias double, active binary, w binary, v binary, margins binary").collect()}
+    margins = np.zeros(len(cols))
+    for k in range(folds):
+        margins[part == k] = np.frombuffer(fits[k].margins)
+    m, active = fits[folds], np.frombuffer(fits[folds].active, np.int64)
+    v = np.frombuffer(m.v).reshape(len(active), -1) if len(active) else np.zeros((0, 1))
+    return Machine(m.bias - best_cut(margins, y), active, np.frombuffer(m.w), v)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT,
