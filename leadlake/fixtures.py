@@ -555,3 +555,20 @@ def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                              for c in r.columns]).alias("x")).agg(F.collect_list("x").alias("runs"))
     extra = s0.withColumn("doc", F.lit(0).cast("long")).join(r0.withColumn("doc", F.lit(0).cast("long")), "doc")
     return docs.join(extra, "doc", "left").select("searches", "runs", "leads")
+
+
+def drifting_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose ``props`` drift with ``event_id``: retyped, nested, unknown and null fields, lists, broken and missing payloads."""
+    i, k = F.col("event_id"), F.regexp_extract("props", "[0-9]+", 0)
+    of = lambda m, r: i % m == r
+    text = (F.when(of(13, 1), F.concat(F.lit('{"k": "'), k, F.lit('"}')))
+            .when(of(17, 2), F.concat(F.lit('{"k": {"v": '), k, F.lit('}, "src": "a"}')))
+            .when(of(19, 3), F.concat(F.lit('{"k": '), k, F.lit(', "ref": "x'), _s(i), F.lit('", "w": '), k, F.lit(".5}")))
+            .when(of(23, 4), F.concat(F.lit('{"k": '), k))
+            .when(of(29, 5), F.lit(None).cast("string"))
+            .when(of(31, 6), F.concat(F.lit("["), k, F.lit("]")))
+            .when(of(37, 7), F.lit('{"k": null}'))
+            .when(of(41, 8), F.concat(F.lit('{"k": '), k, F.lit(".25}")))
+            .when(of(43, 9), F.concat(F.lit('{"items": [{"sku": "a", "n": 1}, {"sku": '), _s(i), F.lit(', "n": "2"}, 3]}')))
+            .otherwise(F.col("props")))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("props"))

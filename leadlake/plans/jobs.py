@@ -1140,3 +1140,53 @@ def change_history(spark, sf_dir):
     v2, _ = ST.delete_leads(v1, _sfx(spark, sf_dir, "delete_ids"))
     log = HI.change_log({0: v0, 1: v1, 2: v2}, "id", ["status", "notes", "updated_at"])
     return HI.periods(log, "id").select("id", "valid_from", "valid_to", "change", "status", "notes", tstr("updated_at").alias("updated_at"))
+
+
+# ---------------------------------------------------------------- payloads that drift, captures that arrive
+
+from leadlake.sources import captures as CA  # noqa: E402
+from leadlake.sources import payloads as PY  # noqa: E402
+
+
+def _drifting(spark, sf_dir):
+    return PY.parsed(FX.drifting_props(spark, sf_dir), "props")
+
+
+@job("drifting_payloads")
+def drifting_payloads(spark, sf_dir):
+    t = PY.typed_fields(_drifting(spark, sf_dir), "payload", {"k": ("$.k", "long"), "ref": ("$.ref", "string"), "w": ("$.w", "double")}, "props")
+    return t.select("event_id", "k", "ref", "w", "reason", joined("unknown").alias("unknown"))
+
+
+@job("payload_items")
+def payload_items(spark, sf_dir):
+    each = PY.elements(_drifting(spark, sf_dir), "payload", "$.items")
+    t = PY.typed_fields(each, "payload", {"sku": ("$.sku", "string"), "n": ("$.n", "long")})
+    return t.select("event_id", big("pos").alias("pos"), "sku", "n", "reason")
+
+
+@job("payload_shape")
+def payload_shape_job(spark, sf_dir):
+    return PY.payload_shape(_drifting(spark, sf_dir), "payload")
+
+
+@job("stream_captures")
+def stream_captures_job(spark, sf_dir):
+    """The pages as four captures, taken in two runs of the stream; the third is closed between them."""
+    base, pages = _scratch(spark, "stream-captures"), _pages(spark, sf_dir).drop("status_code")
+    for i in range(4):
+        part = pages.where(F.pmod("page_id", F.lit(4)) == i)
+        if i == 2:
+            late = part
+        else:
+            part.write.parquet(f"{base}/in/capture-{i}")
+
+    def run():
+        q = (CA.stream_captures(spark, f"{base}/in", "page_id long, url string, html string").writeStream.format("parquet")
+             .option("path", base + "/out").option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+        _await(q)
+    late.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/in/capture-2")
+    run()
+    spark.range(0).write.mode("append").parquet(f"{base}/in/capture-2")  # leaves the marker
+    run()
+    return spark.read.parquet(base + "/out").select("page_id", "url", F.md5("html").alias("html_md5"))

@@ -85,3 +85,35 @@ SELECT v0.id, CAST(0 AS BIGINT) AS valid_from, CAST(CASE WHEN changed THEN 1 WHE
   v0.status, v0.notes, v0.updated_at FROM v0 JOIN d ON v0.id = d.id
 UNION ALL
 SELECT v1.id, 1, CASE WHEN deleted THEN 2 END, 'update', v1.status, v1.notes, v1.updated_at FROM v1 JOIN d ON v1.id = d.id WHERE changed"""
+
+_DRIFT = """WITH e AS (SELECT event_id, props, event_id AS i, regexp_extract(props, '[0-9]+') AS k FROM events),
+d AS (SELECT event_id, CASE
+    WHEN i % 13 = 1 THEN '{"k": "' || k || '"}' WHEN i % 17 = 2 THEN '{"k": {"v": ' || k || '}, "src": "a"}'
+    WHEN i % 19 = 3 THEN '{"k": ' || k || ', "ref": "x' || i || '", "w": ' || k || '.5}' WHEN i % 23 = 4 THEN '{"k": ' || k
+    WHEN i % 29 = 5 THEN NULL WHEN i % 31 = 6 THEN '[' || k || ']' WHEN i % 37 = 7 THEN '{"k": null}' WHEN i % 41 = 8 THEN '{"k": ' || k || '.25}'
+    WHEN i % 43 = 9 THEN '{"items": [{"sku": "a", "n": 1}, {"sku": ' || i || ', "n": "2"}, 3]}' ELSE props END AS p FROM e),
+j AS (SELECT event_id, p, CASE WHEN json_valid(p) THEN CAST(p AS JSON) END AS j FROM d)"""
+
+
+def _long(path: str, j: str = "j") -> str:
+    return f"CASE WHEN json_type({j}, '{path}') IN ('UBIGINT', 'BIGINT', 'VARCHAR') THEN TRY_CAST({j}->>'{path}' AS BIGINT) END"
+
+
+Q["drifting_payloads"] = f"""{_DRIFT}
+SELECT event_id, {_long('$.k')} AS k, j->>'$.ref' AS ref, CAST(j->>'$.w' AS DOUBLE) AS w,
+  CASE WHEN p IS NULL THEN 'no payload' WHEN j IS NULL THEN 'malformed' WHEN json_type(j) <> 'OBJECT' THEN 'not an object'
+    WHEN json_type(j, '$.k') = 'OBJECT' THEN 'k: object' WHEN json_type(j, '$.k') = 'DOUBLE' THEN 'k: number' END AS reason,
+  CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string(list_sort(list_filter(json_keys(j), lambda n: n NOT IN ('k', 'ref', 'w'))), '; ') END AS unknown
+FROM j"""
+
+Q["payload_items"] = f"""{_DRIFT},
+x AS (SELECT event_id, unnest(json_extract(j, '$.items[*]')) AS x, generate_subscripts(json_extract(j, '$.items[*]'), 1) - 1 AS pos FROM j WHERE json_type(j, '$.items') = 'ARRAY')
+SELECT event_id, CAST(pos AS BIGINT) AS pos, x->>'$.sku' AS sku, {_long('$.n', 'x')} AS n, CASE WHEN json_type(x) <> 'OBJECT' THEN 'not an object' END AS reason FROM x"""
+
+Q["payload_shape"] = f"""{_DRIFT},
+f AS (SELECT j, unnest(json_keys(j)) AS field FROM j WHERE json_type(j) = 'OBJECT'),
+t AS (SELECT field, json_type(j, '$.' || field) AS t FROM f)
+SELECT field, CASE WHEN t = 'VARCHAR' THEN 'string' WHEN t IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(t) ELSE 'number' END AS kind,
+  count(*) AS n FROM t GROUP BY 1, 2"""
+
+Q["stream_captures"] = "SELECT page_id, url, md5(html) AS html_md5 FROM pages"
