@@ -91,3 +91,23 @@ def test_long_runs_do_not_exhaust_the_stack(spark):
     df = spark.createDataFrame(list(enumerate(texts[:3] + texts[6:])), "doc_id long, text string")
     got = ps.pseudonymise(df, KEY).collect()
     assert len(got) == 5 and all(len(r.text) > n for r in got)
+
+
+def test_every_document_against_plain_python(spark):
+    """The registered query over whole texts, value by value; and values that stand beside one another."""
+    from leadlake.llm.pseudonyms import op5_pseudonyms, pseudonymise
+
+    from . import plain_pseudonyms
+    key = "key of the test query"
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op5_pseudonyms(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and sum(r.n_replaced for r in rows) > 50
+    for r in rows:
+        assert (r.text, r.n_replaced) == plain_pseudonyms.pseudonymised(texts[r.doc_id], key), r.doc_id
+    beside = ["exp 2027 4111 1111 1111 1111, ES91 2100 0418 4502 0005 1332 BIC X", "10.0.0.256 10.0.0.25 999-12-3456 219-09-9999",
+              "31/12/1999 12/31/1999 1.2.2003 31.02.2000 2024-02-29 2023-02-29 1899-12-31", "+33 1 42 68 53 00 or (212) 555-0100, a.b+c@x.example",
+              "deadbeef00112233445566778899aabb DEADBEEF00112233445566778899AABB " + "a" * 32, "GB82 WEST 1234 5698 7654 32 4111111111111112"]
+    df = spark.createDataFrame(list(enumerate(beside)), "doc_id long, text string")
+    for r in pseudonymise(df, "k").collect():
+        assert (r.text, r.n_replaced) == plain_pseudonyms.pseudonymised(beside[r.doc_id], "k"), beside[r.doc_id]
