@@ -6,21 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+from leadlake import constants as K
 from leadlake.functions.regex import WS, NWS, blank_to_null, js_trim
 from leadlake.functions.urls import resolve_url
 
-_SCRIPT = r"(?is)<script.*?</script>"
-_STYLE = r"(?is)<style.*?</style>"
-_TAG = r"<[^>]+>"
-_TITLE = r"(?i)<title[^>]*>([^<]*)</title>"
-_ANCHOR = r"""(?i)<a[^>]+href=["']([^"'#]+)["']"""
+_SCRIPT = "(?is)" + K.SCRIPT_PATTERN
+_STYLE = "(?is)" + K.STYLE_PATTERN
+_TITLE = "(?i)" + K.TITLE_PATTERN
+_ANCHOR = "(?i)" + K.ANCHOR_PATTERN
 
 
 def html_to_text(html: Column) -> Column:
     """Scripts and styles dropped, tags -> space, whitespace collapsed, trimmed (#48)."""
     t = F.regexp_replace(html, _SCRIPT, " ")
     t = F.regexp_replace(t, _STYLE, " ")
-    t = F.regexp_replace(t, _TAG, " ")
+    t = F.regexp_replace(t, K.TAG_PATTERN, " ")
     t = F.regexp_replace(t, f"{WS}+", " ")
     # every whitespace run is now one U+0020, so trimming spaces is the full trim
     return F.btrim(t, F.lit(" "))

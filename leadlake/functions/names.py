@@ -163,13 +163,8 @@ def _quote(niche: Column) -> Column:
 
 
 _UPPER_START = "^[A-Z]"
-_LISTING_STRIP = [
-    (js_regex(r"\b[A-Z][\w\s]+,\s*[A-Z]{2}\s+\d{5}\b\.?\s*"), False),
-    (js_regex(r"\b\d{3,5}\s+[A-Z][^.]*\.\s*"), False),
-    (js_regex(r"\b(?:closed now|open now|open \d|temporarily closed)[.,]\s*", ignore_case=True), False),
-]
-_FROM_RE = js_regex(r"From Business:\s*([A-Za-z][\w\s&'.]{2,60}?)\s+(?:is |was |has |provides |offers )",
-                    ignore_case=True)
+_LISTING_STRIP = [js_regex(K.LISTING_ADDRESS_PATTERN), js_regex(K.LISTING_STREET_PATTERN), js_regex(K.LISTING_HOURS_PATTERN, ignore_case=True)]
+_FROM_RE = js_regex(K.FROM_BUSINESS_PATTERN, ignore_case=True)
 
 
 def _name_ok(n: Column) -> Column:
@@ -181,7 +176,7 @@ def extract_names_listing(description: Column, niche: Column) -> Column:
     open/closed text, ``Name - {niche or trade}...[,.]``; plus ``From Business:
     Name is ...`` on the raw text. Upper-case start, not generic; in order."""
     cleaned = description
-    for p, _ in _LISTING_STRIP:
+    for p in _LISTING_STRIP:
         cleaned = F.regexp_replace(cleaned, p, "")
     kw = F.concat(F.lit("(?:(?u:"), _quote(niche), F.lit(")|" + "|".join(K.LISTING_TRADE_STEMS) + ")"))
     niche_re = F.concat(F.lit("(?i)" + js_regex(r"([A-Za-z][\w\s&'.]{2,50})\s*[-–]\s*")), kw,
@@ -191,11 +186,11 @@ def extract_names_listing(description: Column, niche: Column) -> Column:
     return F.filter(F.concat(a, b), lambda n: _name_ok(n))
 
 
-_BULLET_SPLIT = js_regex(r"\s*·\s*")
-_BULLET_COUNT = js_regex(r"\s*\([\d,]+\).*")
+_BULLET_SPLIT = js_regex(K.BULLET_SPLIT_PATTERN)
+_BULLET_COUNT = js_regex(K.BULLET_COUNT_PATTERN)
 _G2_FEATURE = js_regex(K.G2_FEATURE_PATTERN, ignore_case=True)
-_LIKE_RE = js_regex(r"(?:like|including|such as)\s+([A-Z][\w]+(?:,\s*(?:and\s+)?[A-Z][\w]+)*)")
-_LIKE_SPLIT = js_regex(r",\s*(?:and\s+)?")
+_LIKE_RE = js_regex(K.LIKE_PATTERN)
+_LIKE_SPLIT = js_regex(K.LIKE_SPLIT_PATTERN)
 
 
 def extract_names_bullets(description: Column) -> Column:
