@@ -7,8 +7,6 @@ independently in SQL (``oracle/fixtures_sql.py``).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +17,17 @@ FILES = 16  # files of a fixture: the base tables are single files of one row gr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stamp(sf_dir: str) -> str:
+def _stamp(spark: SparkSession, sf_dir: str) -> str:
+    """A key of the input files (names, sizes, times), listed by the file system that Spark reads."""
     import hashlib
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
-    for f in sorted(os.listdir(sf_dir)):
-        st = os.stat(os.path.join(sf_dir, f))
-        h.update(f"{f}:{st.st_size}:{int(st.st_mtime)}".encode())
-    return h.hexdigest()[:16]
+
+    from leadlake.session import _fs
+    fs, folder = _fs(spark, sf_dir)
+    files = sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime() // 1000}" for f in fs.listStatus(folder))
+    return hashlib.sha1("\n".join([fs.makeQualified(folder).toString(), *files]).encode()).hexdigest()[:16]
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str = "parquet") -> DataFrame:
@@ -37,7 +36,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str =
     fixture's lineage out of every job that uses it."""
     from leadlake.session import configure, publish_table, table_exists, work_dir
     configure(spark)
-    path = work_dir(spark, f"fixtures/{_stamp(sf_dir)}/{name}")
+    path = work_dir(spark, f"fixtures/{_stamp(spark, sf_dir)}/{name}")
     if not table_exists(spark, path):
         publish_table(build(spark, sf_dir).repartition(FILES), path, fmt)
     return spark.read.parquet(path) if fmt == "parquet" else None
@@ -45,7 +44,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str =
 
 def fixture_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     from leadlake.session import work_dir
-    return work_dir(spark, f"fixtures/{_stamp(sf_dir)}/{name}")
+    return work_dir(spark, f"fixtures/{_stamp(spark, sf_dir)}/{name}")
 
 
 def _s(c: Column) -> Column:

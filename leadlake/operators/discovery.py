@@ -3,7 +3,7 @@
 Plan shape (per spec, all specs in one job):
 
 * hits are joined to the planned queries on the query text; provider fallback is
-  a window over the query (one shuffle by query, reused by the join);
+  a minimum per query and a semi-join, both on the query;
 * "first seen per host" is a ``min(struct(ordinals..., payload))`` aggregate, so
   a hot host is pre-aggregated map-side instead of being collected in one task;
 * top-k per spec is ``row_number() <= lim`` with the spec's own limit, over rows
@@ -44,14 +44,17 @@ def top_hits(hits: DataFrame, depth: Column | int) -> DataFrame:
 def prepare_hits(serp: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """The hits of the given queries (column ``query``, and ``depth`` for the ranks that
     are wanted; all hits without it) after provider fallback, with ``host`` and ``blocked``.
-    The captured hits are pruned to the queries before any URL is parsed."""
-    h = serp
-    if queries is not None:
-        wanted = queries.groupBy(F.col("query").alias("_wq")).agg(F.max("depth").alias("_wd"))
-        h = h.join(wanted.select("_wq"), F.col("query") == F.col("_wq"), "left_semi")
-        h = provider_fallback(h).join(wanted, (F.col("query") == F.col("_wq")) & (F.col("rank") <= F.col("_wd")), "left_semi")
+    The captured hits are pruned to the queries before any URL is parsed: the first provider
+    and the depth of each query come from one aggregate over two columns, then one semi-join
+    takes the hits themselves, so titles and descriptions are shuffled once."""
+    if queries is None:
+        h = provider_fallback(serp)
     else:
-        h = provider_fallback(h)
+        wanted = queries.groupBy(F.col("query").alias("_wq")).agg(F.max("depth").alias("_wd"))
+        best = (serp.select("query", "provider_ord").join(wanted, F.col("query") == F.col("_wq"))
+                .groupBy("_wq").agg(F.min("provider_ord").alias("_best"), F.max("_wd").alias("_wd")))
+        h = serp.join(best, (F.col("query") == F.col("_wq")) & (F.col("provider_ord") == F.col("_best"))
+                      & (F.col("rank") <= F.col("_wd")), "left_semi")
     h = h.drop("provider_ord").withColumn("host", host_of(F.col("url")))
     return h.withColumn("blocked", N.is_blocked(F.col("host")))
 

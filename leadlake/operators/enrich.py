@@ -24,10 +24,16 @@ from leadlake.operators import discovery as D
 from leadlake.operators.pages import audit_column, page_contacts, page_signals, with_status
 
 
+def with_url_key(pages: DataFrame) -> DataFrame:
+    """Captures with ``url_key``, the normal form of ``url``. A table that has the column keeps it,
+    so captures that are enriched often can be stored with it."""
+    return pages if "url_key" in pages.columns else pages.withColumn("url_key", normalize_url(F.col("url")))
+
+
 def _wanted(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """The captures of the URLs, compared in normal form, with that form as ``url_key``."""
     need = urls.select(normalize_url(F.col("url")).alias("_u")).where(F.col("_u").isNotNull()).distinct()
-    p = with_status(pages).withColumn("url_key", normalize_url(F.col("url")))
+    p = with_url_key(with_status(pages))
     return p.join(need, F.col("url_key") == F.col("_u"), "left_semi")
 
 
