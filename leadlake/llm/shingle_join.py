@@ -17,8 +17,10 @@ from leadlake.llm.work import saved, table
 WORDS = 5              # words of a shingle
 LEAST_PERCENT = 67     # see ``shingle_components``
 PERCENT = 75           # 100 * intersection >= PERCENT * union
-SAMPLE_SHARE = 1 / 8   # share of the texts in which a shingle must occur twice to be of the frequent class
+FREQUENT = 12          # classes of texts, of 64 by their hash, in which a shingle must occur to be frequent
 CLASS_BITS = 27        # hashed table of the frequent class: a fixed 16 MB
+PIECE_BITS = 12        # first bits of a shingle's hash by which occurrences are dealt to tasks
+MARKS = 1 << 21        # occurrences that a task sends together
 SMALL_BUCKET = 32      # nodes of a signature that are compared in pairs; larger buckets go by pivots
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -145,34 +147,59 @@ def _texts(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.xxhash64("text").alias("th"), F.xxhash64(F.lit("copy"), "text").alias("th2"), "text")
 
 
+def _occurrences(docs: DataFrame, words: int) -> DataFrame:
+    """Rows ``piece, marks``: the distinct shingles of every text by their first ``PIECE_BITS`` bits.
+
+    A mark is a shingle's hash with the class of the text, a number below 64, in the low six bits.
+    A task sends those of some texts together, ascending and each once."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        marks = np.unique(np.concatenate(held))
+        piece, first = np.unique(marks >> np.uint64(64 - PIECE_BITS), return_index=True)
+        ends = pa.py_buffer(np.append(first, len(marks)).astype(np.int32) * np.int32(8))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(piece.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(piece), [None, ends, pa.py_buffer(marks)])],
+            names=["piece", "marks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for th, text in zip(batch.column("th").to_pylist(), batch.column("text"), strict=True):
+                held.append((shingles(text.as_py(), words) & ~np.uint64(63)) | np.uint64(th & 63))
+                size += len(held[-1])
+                if size >= MARKS:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return _texts(docs).select("th", F.col("text").cast("binary").alias("text")).mapInArrow(run, "piece int, marks binary")
+
+
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """The table of the frequent class, a bit for each slot: the slots of the shingles that occur in
-    two texts or more of a sample, the texts with the lowest ``SAMPLE_SHARE`` of all hashes.
+    texts of ``FREQUENT`` classes or more, counted over all texts. Equal texts are of one class, so
+    copies don't make a shingle frequent.
 
     The class only decides how a shingle is indexed, never whether a link is found; slots that
-    shingles share by chance do no harm. The table comes to the driver in pieces of 8 KB, 16 MB in
+    shingles share by chance do no harm. The table comes to the driver in pieces of 4 KB, 16 MB in
     all at any size."""
-    limit = -(1 << 63) + int((1 << 64) * SAMPLE_SHARE) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("th"), pa.array([x.view(np.int64) for x in each], pa.list_(pa.int64()))], names=["th", "tokens"])
+    width = 1 << (CLASS_BITS - PIECE_BITS)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 16, bool)
-        bits[frame["slot"].to_numpy() & 0xFFFF] = True
-        return pd.DataFrame({"piece": [int(frame["slot"].iloc[0]) >> 16], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    sample = _texts(docs).where(F.col("th") <= limit).select("th", F.col("text").cast("binary").alias("text"))
-    tokens = sample.mapInArrow(run, "th long, tokens array<long>").select("th", F.explode("tokens").alias("token"))
-    slots = (tokens.groupBy("token").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high")
-             .select(F.shiftrightunsigned("token", 64 - CLASS_BITS).cast("int").alias("slot")).distinct())
-    pieces = saved(slots.groupBy(F.shiftright("slot", 16)).applyInPandas(pack, "piece int, bits binary"), "frequent-class")
+        marks = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["marks"]]))
+        token, classes = np.unique(marks >> np.uint64(6), return_counts=True)
+        slot = token[classes >= FREQUENT] >> np.uint64(64 - 6 - CLASS_BITS)
+        bits = np.zeros(width, bool)
+        bits[(slot & np.uint64(width - 1)).astype(np.int64)] = True
+        return pd.DataFrame({"piece": [int(frame["piece"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})[:len(slot)]
+
+    pieces = saved(_occurrences(docs, words).groupBy("piece").applyInPandas(pack, "piece int, bits binary"), "frequent-class")
     frequent = np.zeros(1 << (CLASS_BITS - 3), np.uint8)
     for r in pieces.collect():
-        frequent[r.piece << 13:(r.piece + 1) << 13] = np.frombuffer(r.bits, np.uint8)
+        at = r.piece * (width // 8)
+        frequent[at:at + width // 8] = np.frombuffer(r.bits, np.uint8)
     return frequent
 
 

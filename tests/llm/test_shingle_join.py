@@ -158,3 +158,24 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_frequent_class_counts_every_text_once(spark):
+    """A shingle in ``FREQUENT`` classes of texts is of the class wherever these texts fall, copies of one text make none."""
+    from pyspark.sql import functions as F
+    texts = [f"a b c d e x{i}" for i in range(4000)]
+    hashed = [(r.text, r.th) for r in spark.createDataFrame([(t,) for t in texts], "text string")
+              .select("text", F.xxhash64("text").alias("th")).collect()]
+    late = [(t, h) for t, h in hashed if h > 0]  # the upper half of all hashes
+    one_of_class = list({h & 63: t for t, h in late}.values())[:sj.FREQUENT]
+    assert len(one_of_class) == sj.FREQUENT
+    copies = ["p q r s t"] * 500
+    rows = list(enumerate([*one_of_class, *copies]))
+
+    def often(texts, shingle):
+        table = sj._frequent(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sj.WORDS)
+        return len(sj.by_class(sj.shingles(shingle), table)[1]) == 1
+
+    assert often([t for _, t in rows], b"a b c d e")
+    assert not often([t for _, t in rows], b"p q r s t")
+    assert not often(one_of_class[1:], b"a b c d e")
