@@ -15,7 +15,8 @@ PHONE_RE = js_regex(K.PHONE_PATTERN)
 
 def extract_emails(text: Column) -> Column:
     """Email-pattern matches, trimmed, distinct in first-seen order (case-sensitive) (#52)."""
-    return clean_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL_RE), 0))
+    found = clean_distinct(F.regexp_extract_all(text, F.lit(EMAIL_RE), 0))
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
 
 
 def digits(col: Column) -> Column:

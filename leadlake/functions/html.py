@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 from leadlake import constants as K
-from leadlake.functions.regex import WS, NWS, blank_to_null, js_trim
-from leadlake.functions.urls import resolve_url
+from leadlake.functions.regex import WS, WS_CHARS, NWS, blank_to_null, js_trim
+from leadlake.functions.urls import let, resolve_url
 
 _SCRIPT = "(?is)" + K.SCRIPT_PATTERN
 _STYLE = "(?is)" + K.STYLE_PATTERN
+# runs of whitespace that aren't one U+0020 already
+_RUNS = f"(?: {WS}|[{WS_CHARS.replace(' ', '')}]){WS}*"
 _TITLE = "(?i)" + K.TITLE_PATTERN
 _ANCHOR = "(?i)" + K.ANCHOR_PATTERN
 
@@ -21,7 +23,7 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(html, _SCRIPT, " ")
     t = F.regexp_replace(t, _STYLE, " ")
     t = F.regexp_replace(t, K.TAG_PATTERN, " ")
-    t = F.regexp_replace(t, f"{WS}+", " ")
+    t = F.regexp_replace(t, _RUNS, " ")
     # every whitespace run is now one U+0020, so trimming spaces is the full trim
     return F.btrim(t, F.lit(" "))
 
@@ -77,10 +79,14 @@ def extract_links(html: Column, base_parts: Column) -> Column:
     hrefs = F.regexp_extract_all(html, F.lit(_ANCHOR), 1)
     resolved = F.filter(F.transform(hrefs, lambda h: resolve_url(h, base_parts, base_parsed=True)),
                         lambda r: r.isNotNull())
-    internal = F.transform(F.filter(resolved, lambda r: r["host"] == base_host), lambda r: r["url"])
-    external = F.transform(F.filter(resolved, lambda r: ~r["host"].eqNullSafe(base_host)), lambda r: r["url"])
-    return F.struct(F.array_distinct(internal).alias("internal"),
-                    F.array_distinct(external).alias("external"))
+
+    def by_host(links: Column) -> Column:
+        internal = F.transform(F.filter(links, lambda r: r["host"] == base_host), lambda r: r["url"])
+        external = F.transform(F.filter(links, lambda r: ~r["host"].eqNullSafe(base_host)), lambda r: r["url"])
+        return F.struct(F.array_distinct(internal).alias("internal"),
+                        F.array_distinct(external).alias("external"))
+
+    return let(resolved, by_host)
 
 
 def word_count(text: Column, normalized: bool = False) -> Column:

@@ -56,9 +56,11 @@ def _remove_dot_segments(path: Column) -> Column:
                 .when(s == ".", acc)
                 .otherwise(F.concat(acc, F.array(s))))
 
-    acc = F.aggregate(segs, F.array().cast("array<string>"), step)
-    trailing = F.when(F.element_at(segs, -1).isin(".", "..") & (F.size(acc) > 0), F.lit("/")).otherwise(F.lit(""))
-    out = F.concat(F.lit("/"), F.array_join(acc, "/"), trailing)
+    def joined(acc):
+        trailing = F.when(F.element_at(segs, -1).isin(".", "..") & (F.size(acc) > 0), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(F.lit("/"), F.array_join(acc, "/"), trailing)
+
+    out = let(F.aggregate(segs, F.array().cast("array<string>"), step), joined)
     return F.when(path.rlike(r"(^|/)\.\.?(/|\z)"), out).otherwise(path)
 
 
@@ -76,15 +78,19 @@ def parse_url_parts(url: Column) -> Column:
 
 
 def _parse_clean(u: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(u, _ABS, 1))
-    auth = F.regexp_extract(u, _ABS, 2)
+    cut = F.struct(F.lower(F.regexp_extract(u, _ABS, 1)).alias("scheme"), F.regexp_extract(u, _ABS, 2).alias("auth"))
+    return F.when(u.rlike(_ABS), let(cut, lambda c: let(
+        F.struct(c["scheme"].alias("scheme"), F.lower(F.regexp_extract(c["auth"], _AUTH, 1)).alias("host"),
+                 F.regexp_extract(c["auth"], _AUTH, 2).alias("port")), lambda p: _parse_parts(u, p))))
+
+
+def _parse_parts(u: Column, parts: Column) -> Column:
+    scheme, host, port = parts["scheme"], parts["host"], parts["port"]
     path = F.replace(F.regexp_extract(u, _ABS, 3), F.lit("\\"), F.lit("/"))
     query = F.regexp_extract(u, _ABS, 4)
-    host = F.lower(F.regexp_extract(auth, _AUTH, 1))
-    port = F.regexp_extract(auth, _AUTH, 2)
     # without "//" only the special schemes have a host ("mailto:a@b.com", "acme.com:8080/x" don't)
     has_host = scheme.isin(*SPECIAL_SCHEMES) | u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
-    ok = (u.rlike(_ABS) & (scheme != "") & has_host & (host != "") & ~host.rlike(_BAD_HOST)
+    ok = ((scheme != "") & has_host & (host != "") & ~host.rlike(_BAD_HOST)
           & port.rlike(r"^[0-9]*\z") & (F.coalesce(port.try_cast("int"), F.when(port == "", 0).otherwise(65536)) <= 65535))
     return F.when(ok, F.struct(scheme.alias("scheme"), host.alias("host"),
                                port.alias("port"), path.alias("path"), query.alias("query")))
@@ -102,7 +108,7 @@ def _port_suffix(scheme: Column, port: Column) -> Column:
 
 def _serialize(c: Column) -> Column:
     path = c["path"]
-    p = _remove_dot_segments(F.when(path == "", F.lit("/")).otherwise(path))
+    p = let(F.when(path == "", F.lit("/")).otherwise(path), _remove_dot_segments)
     return F.concat(c["scheme"], F.lit("://"), c["host"], _port_suffix(c["scheme"], c["port"]),
                     _encode_path(p), _encode_query(c["query"]))
 
@@ -132,7 +138,7 @@ def resolve_url(href: Column, base: Column, base_parsed: bool = False) -> Column
 def _resolve_clean(h: Column, b: Column) -> Column:
     # fast path: root-relative links (the common case) are origin + path
     root = h.rlike(r"^/[^/\\]") | (h == "/")
-    root_path = _remove_dot_segments(F.replace(F.regexp_extract(h, r"^([^?]*)", 1), F.lit("\\"), F.lit("/")))
+    root_path = let(F.replace(F.regexp_extract(h, r"^([^?]*)", 1), F.lit("\\"), F.lit("/")), _remove_dot_segments)
     fast = F.struct(F.concat(origin_of(b), _encode_path(root_path),
                              _encode_query(F.regexp_extract(h, r"(?s)(\?.*)\z", 1))).alias("url"),
                     b["host"].alias("host"))
