@@ -30,15 +30,16 @@ def _stamp(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("\n".join([fs.makeQualified(folder).toString(), *files]).encode()).hexdigest()[:16]
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str = "parquet") -> DataFrame:
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, fmt: str = "parquet", by: tuple[str, ...] = ()) -> DataFrame:
     """A derived fixture written once as Parquet under the session's shared
     checkpoint folder (keyed by the input files), then read back. Cuts the
-    fixture's lineage out of every job that uses it."""
+    fixture's lineage out of every job that uses it. ``by``: columns that deal the rows to
+    the files; without them they are dealt in turn, for which Spark sorts the whole rows of a task."""
     from leadlake.session import configure, publish_table, table_exists, work_dir
     configure(spark)
     path = work_dir(spark, f"fixtures/{_stamp(spark, sf_dir)}/{name}")
     if not table_exists(spark, path):
-        publish_table(build(spark, sf_dir).repartition(FILES), path, fmt)
+        publish_table(build(spark, sf_dir).repartition(FILES, *by), path, fmt)
     return spark.read.parquet(path) if fmt == "parquet" else None
 
 
@@ -47,6 +48,11 @@ def fixture_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     return work_dir(spark, f"fixtures/{_stamp(spark, sf_dir)}/{name}")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base pages, read once from their single row group (one task) and dealt to several files."""
+    return materialized(spark, sf_dir, "pages", lambda s, d: table(s, d, "pages"), by=("page_id", "url"))
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -138,6 +144,11 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered queries of all specs, written once: four fixtures are made from them."""
+    return materialized(spark, sf_dir, "planned", _numbered_queries)
+
+
+def _numbered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadlake.plans.planning import normalize_specs, plan_queries
     from pyspark.sql import Window as W
     q = plan_queries(normalize_specs(specs(spark, sf_dir)))
@@ -147,16 +158,16 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadlake.functions.html import extract_title
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(extract_title(F.col("html")),
+    return pages(spark, sf_dir).select("page_id", "url", F.coalesce(extract_title(F.col("html")),
                                                                              F.lit("")).alias("ptitle"))
 
 
-def serp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def serp(spark: SparkSession, sf_dir: str, assigned: DataFrame | None = None) -> DataFrame:
     """``fx_serp``: every page is a hit of 12 web/intent/listing queries; some
     urls are aggregators, microsites or malformed; titles vary by page; queries
     with ``gno % 3 = 0`` have no results from provider 0."""
     from pyspark.sql import Window as W
-    h = _serp_assign(spark, sf_dir)
+    h = _serp_assign(spark, sf_dir) if assigned is None else assigned
     pid = F.col("page_id")
     url = (F.when(pid % 11 == 0, F.concat(F.lit("https://www.yelp.com/biz/p"), pid.cast("string")))
            .when(pid % 11 == 1, F.concat(F.lit("https://p"), pid.cast("string"), F.lit(".square.site/")))
@@ -191,7 +202,7 @@ def _serp_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("page_id")
     hits = p.select("page_id", "url", "ptitle", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
     hits = hits.withColumn("gno", ((pid * 7 + F.col("j") * 13) % F.lit(n)).cast("long"))
-    return hits.join(qn, "gno")
+    return hits.join(F.broadcast(qn), "gno")  # as many rows as the specs have queries
 
 
 def _profile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,14 +215,14 @@ def _profile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     k = F.col("k")
     return (s.select("k", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
-             .withColumn("pno", ((k * 3 + F.col("j") * 7) % F.lit(n)).cast("long")).join(qn, "pno"))
+             .withColumn("pno", ((k * 3 + F.col("j") * 7) % F.lit(n)).cast("long")).join(F.broadcast(qn), "pno"))
 
 
-def profile_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def profile_hits(spark: SparkSession, sf_dir: str, assigned: DataFrame | None = None) -> DataFrame:
     """``fx_profile_hits``: suppliers as profile pages on the channel domains, with
     sub-domain and ``/compare`` rows mixed in and junk title suffixes."""
     from pyspark.sql import Window as W
-    h = _profile_assign(spark, sf_dir)
+    h = _profile_assign(spark, sf_dir) if assigned is None else assigned
     k = F.col("k")
     dom = F.col("channel")
     domain = F.coalesce(*[F.when(dom == c, F.lit(d)) for c, d in PROFILE_DOMAIN.items()])
@@ -237,12 +248,12 @@ def profile_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     url.alias("url"), title.alias("title"), desc.alias("description"))
 
 
-def resolve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolve_hits(spark: SparkSession, sf_dir: str, profiles: DataFrame | None = None, assigned: DataFrame | None = None) -> DataFrame:
     """``fx_resolve_hits``: for every (brand, spec location) that a profile or
     listing hit can produce, the two resolution queries; hosts that match the
     name, that belong to another name, and blocked hosts."""
-    pa = _profile_assign(spark, sf_dir).select("k", "location")
-    sa = _serp_assign(spark, sf_dir).where(F.col("channel") == "yellowpages")
+    pa = (_profile_assign(spark, sf_dir) if profiles is None else profiles).select("k", "location")
+    sa = (_serp_assign(spark, sf_dir) if assigned is None else assigned).where(F.col("channel") == "yellowpages")
     names = (pa.unionByName(sa.select(F.col("page_id").alias("k"), "location"))
                .unionByName(sa.select((F.col("page_id") + 1).alias("k"), "location"))
                .unionByName(pa.select((F.col("k") + 1).alias("k"), "location"))
@@ -268,7 +279,8 @@ def resolve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_serp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serp(spark, sf_dir).unionByName(profile_hits(spark, sf_dir)).unionByName(resolve_hits(spark, sf_dir))
+    pa, sa = _profile_assign(spark, sf_dir), _serp_assign(spark, sf_dir)
+    return serp(spark, sf_dir, sa).unionByName(profile_hits(spark, sf_dir, pa)).unionByName(resolve_hits(spark, sf_dir, pa, sa))
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +318,7 @@ def home_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest are sub-pages no candidate needs."""
     from pyspark.sql import Window as W
     from leadlake.functions.urls import host_of
-    p = table(spark, sf_dir, "pages").select("page_id", "html", host_of(F.col("url")).alias("host"))
+    p = pages(spark, sf_dir).select("page_id", "html", host_of(F.col("url")).alias("host"))
     r = F.row_number().over(W.partitionBy("host").orderBy("page_id"))
     p = p.withColumn("r", r)
     pid = F.col("page_id")
@@ -321,7 +333,7 @@ def home_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_known``: hosts of every fifth page are already stored."""
     from leadlake.functions.urls import host_of
-    p = table(spark, sf_dir, "pages")
+    p = pages(spark, sf_dir)
     return p.where(F.col("page_id") % 5 == 0).select(host_of(F.col("url")).alias("domain")).distinct()
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from leadlake import constants as K
 from leadlake.functions import names as N
 from leadlake.functions.urls import host_of, website_of
+from leadlake.operators.prune import prune
 from leadlake.plans.planning import resolve_queries
 
 CAND_COLS = ["spec_ord", "channel", "channel_ord", "ord", "name", "website", "domain", "description",
@@ -46,14 +47,17 @@ def prepare_hits(serp: DataFrame, queries: DataFrame | None = None) -> DataFrame
     are wanted; all hits without it) after provider fallback, with ``host`` and ``blocked``.
     The captured hits are pruned to the queries before any URL is parsed: the first provider
     and the depth of each query come from one aggregate over two columns, then one semi-join
-    takes the hits themselves, so titles and descriptions are shuffled once."""
+    takes the hits themselves. Hits of other queries, or of other providers, are left out in
+    the scan (``prune``), so only those that may be wanted are shuffled."""
     if queries is None:
         h = provider_fallback(serp)
     else:
-        wanted = queries.groupBy(F.col("query").alias("_wq")).agg(F.max("depth").alias("_wd"))
-        best = (serp.select("query", "provider_ord").join(wanted, F.col("query") == F.col("_wq"))
-                .groupBy("_wq").agg(F.min("provider_ord").alias("_best"), F.max("_wd").alias("_wd")))
-        h = serp.join(best, (F.col("query") == F.col("_wq")) & (F.col("provider_ord") == F.col("_best"))
+        wanted = queries.groupBy(F.col("query").alias("_wq")).agg(F.max("depth").alias("_wd")).checkpoint()
+        asked = prune(serp.select("query", "provider_ord"), ["query"], wanted.select("_wq"))
+        best = (asked.join(wanted, F.col("query") == F.col("_wq"))
+                .groupBy("_wq").agg(F.min("provider_ord").alias("_best"), F.max("_wd").alias("_wd"))).checkpoint()
+        few = prune(serp, ["query", "provider_ord"], best.select("_wq", "_best"))
+        h = few.join(best, (F.col("query") == F.col("_wq")) & (F.col("provider_ord") == F.col("_best"))
                       & (F.col("rank") <= F.col("_wd")), "left_semi")
     h = h.drop("provider_ord").withColumn("host", host_of(F.col("url")))
     return h.withColumn("blocked", N.is_blocked(F.col("host")))
@@ -152,6 +156,7 @@ def resolve_websites(names: DataFrame, serp: DataFrame) -> DataFrame:
 def _resolved_candidates(named: DataFrame, serp: DataFrame, limit: bool) -> DataFrame:
     """names (spec_ord, channel, channel_ord, name_ord, name, location, label, lim)
     -> resolved, first name per host, optionally first ``lim`` by name order."""
+    named = named.checkpoint()  # names cost much, and are read by each step of the resolution
     res = resolve_websites(named, serp)
     r = named.join(res, ["spec_ord", "channel", "name"])
     first = _first_per(r, ["spec_ord", "channel", "channel_ord", "host"], ["name_ord"], ["name", "label", "lim"])

@@ -3,7 +3,8 @@
 The captured-page table is semi-joined to the URLs the candidates need, once for the
 home pages and once for the contact pages of those without an email; every signal is
 derived in one projection, and only narrow results (audit struct, contacts, brand name) are
-joined back to the candidates -- the HTML itself never crosses a shuffle.
+joined back to the candidates. Other pages are left out in the scan (``prune``), so their
+HTML crosses no shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from leadlake.functions.seo import AuditRules
 from leadlake.functions.urls import contact_url, normalize_url
 from leadlake.operators import discovery as D
 from leadlake.operators.pages import audit_column, page_contacts, page_signals, with_status
+from leadlake.operators.prune import prune
 
 
 def with_url_key(pages: DataFrame) -> DataFrame:
@@ -32,8 +34,8 @@ def with_url_key(pages: DataFrame) -> DataFrame:
 
 def _wanted(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """The captures of the URLs, compared in normal form, with that form as ``url_key``."""
-    need = urls.select(normalize_url(F.col("url")).alias("_u")).where(F.col("_u").isNotNull()).distinct()
-    p = with_url_key(with_status(pages))
+    need = urls.select(normalize_url(F.col("url")).alias("_u")).where(F.col("_u").isNotNull()).distinct().checkpoint()
+    p = prune(with_url_key(with_status(pages)), ["url_key"], need)
     return p.join(need, F.col("url_key") == F.col("_u"), "left_semi")
 
 

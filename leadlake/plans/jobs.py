@@ -46,7 +46,7 @@ def big(c: Column | str) -> Column:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    FX.materialized(spark, sf_dir, "pages", lambda s, d: FX.table(s, d, "pages"))
+    FX.pages(spark, sf_dir)
     return read_pages(spark, FX.fixture_path(spark, sf_dir, "pages"))
 
 
