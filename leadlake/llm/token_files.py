@@ -29,14 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from leadlake.llm.work import parts, saved, table
+from leadlake.llm.work import batches_of, parts, saved, table
 from leadlake.session import ensure_checkpoint_dir
 
 END_ID = 2            # appended to each document
 BLOCK_DOCS = 512      # documents of a block at most
 BLOCK_IDS = 1 << 20   # a block ends after the document that reaches so many ids
-CACHED_PIECES = 1_000_000  # pieces whose ids a Python worker remembers before it starts anew
-ROWS = 256            # documents that are encoded together
+CACHED_BYTES = 32 << 20  # of a generation of pieces and their ids that a Python worker remembers; it has two
+PIECE_BYTES = 150     # a remembered piece takes so much besides its characters and ids
+ROWS = 256            # documents that are encoded together at most
+TEXT_BYTES = 1 << 20  # a group of documents ends after the one that reaches so many bytes of text
+BATCH_BYTES = 8 << 20  # of texts or ids that are sent to a Python worker at once, or one row
 
 # --- variable-length coding -------------------------------------------------------------
 
@@ -85,9 +88,12 @@ class Encoder:
 
     Such a tokenizer gives the ids of a text as those of its chunks one after another, and those of
     a simple chunk or text (see ``_SIMPLE``) as those of its pieces; any other chunk is one piece.
-    So each distinct piece goes through the library once and is then looked up. Pieces of simple
+    So a distinct piece goes through the library once and is then looked up. Pieces of simple
     texts are what the tokenizer's normalizer and pre-tokenizer make of them anyhow, so they go
-    straight to its model; others go through all of it."""
+    straight to its model; others go through all of it.
+
+    A full generation of pieces becomes the older one and the older one goes; pieces that come
+    again move to the new one, so rare pieces are forgotten and memory does not grow with the texts."""
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -103,6 +109,8 @@ class Encoder:
         self.special = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)").search
         self.wordy = any(_PIECE.fullmatch(t) for t in added)  # some can lie inside a piece
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of self.pieces
 
     def _cut(self, text: bytes) -> list[str]:
         low = text.lower()  # A-Z only; the tokenizer lower-cases too
@@ -131,12 +139,16 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         for p in pieces:
-            ids = self._of_model(p) if _PIECE.fullmatch(p) and not (self.wordy and self.special(p.lower().encode())) else self._whole(p)
-            self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+            known = self.older.get(p)
+            if known is None:
+                ids = self._of_model(p) if _PIECE.fullmatch(p) and not (self.wordy and self.special(p.lower().encode())) else self._whole(p)
+                known = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces[p] = known
+            self.held += PIECE_BYTES + len(p) + len(known)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
+        if self.held > CACHED_BYTES:
+            self.older, self.pieces, self.held = self.pieces, {}, 0
         known, cuts = self.pieces, [self._cut(t) for t in texts]
         found = [list(map(known.get, c)) for c in cuts]
         missing = [k for k, f in enumerate(found) if None in f]
@@ -160,10 +172,15 @@ def encoder(description: str) -> Encoder:
 def _encoded(batch: pa.RecordBatch, enc: Encoder, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with the end id) of a batch."""
     end = np.array([end_id], "<u4")
-    for at in range(0, len(batch), ROWS):
-        texts = [t or b"" for t in batch.column("text").slice(at, ROWS).to_pylist()]
-        for k, ids in enumerate(enc.encode(texts)):
-            yield at + k, np.concatenate([ids, end])
+    texts: list[bytes] = []
+    size = 0
+    for row, text in enumerate(batch.column("text")):
+        texts.append(text.as_py() or b"")
+        size += len(texts[-1])
+        if len(texts) >= ROWS or size >= TEXT_BYTES or row + 1 == len(batch):
+            for k, ids in enumerate(enc.encode(texts), row + 1 - len(texts)):
+                yield k, np.concatenate([ids, end])
+            texts, size = [], 0
 
 
 RAW = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary"
@@ -206,7 +223,8 @@ def raw_blocks(docs: DataFrame, description: str, end_id: int = END_ID) -> DataF
              .repartitionByRange(parts(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "th")
              .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
              .select("doc_id", "text", F.spark_partition_id().alias("shard")))
-    return saved(dealt.mapInArrow(run, RAW), "raw-ids")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return saved(dealt.mapInArrow(run, RAW), "raw-ids")
 
 
 def id_counts(raw: DataFrame) -> DataFrame:
@@ -240,7 +258,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     with open(tokenizer_file, encoding="utf-8") as f:
         description = f.read()
     raw = raw_blocks(docs, description, end_id)
-    counted = [(r.id, r.n) for r in id_counts(raw).collect()]  # the vocabulary's size at most
+    with batches_of(spark, BATCH_BYTES):
+        counted = [(r.id, r.n) for r in id_counts(raw).collect()]  # the vocabulary's size at most
     ranked = sorted(counted, key=lambda r: (-r[1], r[0]))
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(ranked)], "rank int, id int, n long").coalesce(1).write.parquet(f"{path}/vocabulary")
     rank_of = np.zeros(max((i for i, _ in ranked), default=0) + 1, "<u4")
@@ -257,7 +276,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
                      pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                     names=["shard", "block", "start", "doc_ids", "lengths", "control", "data"])
 
-    raw.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    with batches_of(spark, BATCH_BYTES):
+        raw.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -275,7 +295,8 @@ def _read(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_of = shared.value
         for batch in batches:
-            for b in batch.to_pylist():
+            for k in range(len(batch)):
+                b = batch.slice(k, 1).to_pylist()[0]
                 lengths = np.array(b["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 ids = id_of[unpack(b["control"], b["data"], int(ends[-1]))]

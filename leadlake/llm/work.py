@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Actions in this context send Python functions Arrow batches of about ``size`` bytes at most,
+    or of one row; the executor and its Python worker each hold a batch whole."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def ascii_lower(col):
     """A-Z lower-cased, every other character kept."""
     return F.translate(col, UPPER, LOWER)

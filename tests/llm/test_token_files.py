@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +74,52 @@ def test_awkward_rows(spark, tmp_path, tokenizer):
 
 def test_no_rows(spark):
     assert tables.plain(tf.encode_documents(tables.none(spark), tf.word_bpe())) == []
+
+
+def test_remembered_pieces_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(tf, "CACHED_BYTES", 200_000, raising=False)
+    enc = tf.Encoder(open(tf.word_bpe(), encoding="utf-8").read())
+    texts = [f"the common words {chr(97 + k % 26)}{'xyzq' * (k * 10)} and x{k}y{k}" for k in range(200)]
+    for at in range(0, len(texts), 5):
+        got = enc.encode([t.encode() for t in texts[at:at + 5]])
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at:at + 5]]
+        held = sum(len(p) + len(ids) for d in vars(enc).values() if isinstance(d, dict) for p, ids in d.items())
+        assert held < 2 * (200_000 + 5 * 40_000)  # two generations, each with the group that filled it
+    assert "the" in enc.pieces or "the" in enc.older
+
+
+def test_documents_are_encoded_in_groups_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(tf, "TEXT_BYTES", 1000, raising=False)
+    groups = []
+
+    class Fake:
+        def encode(self, texts):
+            groups.append([len(t) for t in texts])
+            return [np.array([len(t)], "<u4") for t in texts]
+
+    sizes = [600, None, 600, 5000, 0, 10, *[1] * 300]
+    batch = pa.record_batch([pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())], names=["text"])
+    assert [(k, x.tolist()) for k, x in tf._encoded(batch, Fake(), 2)] == [(k, [n or 0, 2]) for k, n in enumerate(sizes)]
+    assert groups == [[600, 0, 600], [5000], [0, 10, *[1] * 254], [1] * 46]
+    assert list(tf._encoded(batch.slice(0, 0), Fake(), 2)) == []
+
+
+def test_executors_send_small_batches(spark, tmp_path, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, saved, counts = spark.conf.get(key), [], tf.saved, tf.id_counts
+    monkeypatch.setattr(tf, "saved", lambda *a: seen.append(spark.conf.get(key)) or saved(*a))
+    monkeypatch.setattr(tf, "id_counts", lambda raw: seen.append(spark.conf.get(key)) or counts(raw))
+    tf.write_token_files(tables.awkward(spark), f"{tmp_path}/files", tf.word_bpe())
+    assert seen == [str(8 << 20)] * 2 and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 100000) AS t")
+    with tf.batches_of(spark, 1 << 20):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 40 and max(got) <= 11
+    with pytest.raises(ValueError), tf.batches_of(spark, 1 << 20):
+        raise ValueError
+    assert spark.conf.get(key) == before
