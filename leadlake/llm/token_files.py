@@ -21,7 +21,7 @@ import sys
 import types
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +51,16 @@ LENGTHS = ((np.arange(256)[:, None] >> _SHIFTS) & 3).astype(np.uint8) + 1
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of the ranks."""
     v = np.ascontiguousarray(ranks, "<u4")
-    extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    most = int(v.max(initial=0))
+    size = 1 + (most > 0xFF) + (most > 0xFFFF) + (most > 0xFFFFFF)  # bytes of the largest
+    used = np.ones((len(v), size), bool)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[:len(v)] = extra
-    control = (padded.reshape(-1, 4) << _SHIFTS).sum(axis=1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    for k in range(1, size):
+        used[:, k] = v > (1 << 8 * k) - 1
+        padded[:len(v)] += used[:, k]
+    a, b, c, d = padded.reshape(-1, 4).T
+    control = a | b << 2 | c << 4 | d << 6
+    data = v.view(np.uint8).reshape(-1, 4)[:, :size][used]
     return control.tobytes(), data.tobytes()
 
 
@@ -83,6 +88,22 @@ _SIMPLE = re.compile(r"[ \t-\r!-&(-~À-ÖØ-öø-ÿ]*\Z")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
+class _Pieces(dict):
+    """Ids of a generation of pieces, each as bytes; a piece that is looked up and missing is taken
+    from the generation before or made."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        self.make, self.older, self.held = make, older, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        self.held += PIECE_BYTES + len(piece) + len(ids)
+        return ids
+
+
 class Encoder:
     """Ids of texts under a tokenizer that never joins pieces across ASCII white space.
 
@@ -100,7 +121,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # every piece comes once
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = {ord(c): to_bytes.pre_tokenize_str(c.lower())[0][0] for c in map(chr, range(0xC0, 0x100)) if _PIECE.match(c)}
+        self.as_bytes = lambda piece: piece.translate(letters)
         probe = ["the", "qwzxv", "naïve", "straße", "7", "!!", "$%&", "été"]
         if [self._of_model(p) for p in probe] != [self._whole(p) for p in probe]:
             raise ValueError("the tokenizer does not cut words, digits and marks as token files need it")
@@ -108,9 +131,8 @@ class Encoder:
         added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(re.escape(t.encode()) for t in added) or rb"(?!)").search
         self.wordy = any(_PIECE.fullmatch(t) for t in added)  # some can lie inside a piece
-        self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.held = 0  # bytes of self.pieces
+        self.pieces = _Pieces(self._of_piece, self.older)
 
     def _cut(self, text: bytes) -> list[str]:
         low = text.lower()  # A-Z only; the tokenizer lower-cases too
@@ -133,30 +155,21 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _of_model(self, piece: str) -> list[int]:
-        if not piece.isascii():
-            piece = self.bytes.pre_tokenize_str(piece.lower())[0][0]
-        return [t.id for t in self.model.tokenize(piece)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        for p in pieces:
-            known = self.older.get(p)
-            if known is None:
-                ids = self._of_model(p) if _PIECE.fullmatch(p) and not (self.wordy and self.special(p.lower().encode())) else self._whole(p)
-                known = struct.pack(f"<{len(ids)}I", *ids)
-            self.pieces[p] = known
-            self.held += PIECE_BYTES + len(p) + len(known)
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else self.as_bytes(piece))]
+
+    def _of_piece(self, piece: str) -> bytes:
+        plain = _PIECE.fullmatch(piece) and not (self.wordy and self.special(piece.lower().encode()))
+        ids = self._of_model(piece) if plain else self._whole(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if self.held > CACHED_BYTES:
-            self.older, self.pieces, self.held = self.pieces, {}, 0
-        known, cuts = self.pieces, [self._cut(t) for t in texts]
-        found = [list(map(known.get, c)) for c in cuts]
-        missing = [k for k, f in enumerate(found) if None in f]
-        if missing:
-            self._learn({p for k in missing for p, f in zip(cuts[k], found[k], strict=True) if f is None})
-            for k in missing:
-                found[k] = list(map(known.get, cuts[k]))
-        return [np.frombuffer(b"".join(f), "<u4") for f in found]
+        out = []
+        for text in texts:
+            if self.pieces.held > CACHED_BYTES:
+                self.older = dict(self.pieces)
+                self.pieces = _Pieces(self._of_piece, self.older)
+            out.append(np.frombuffer(b"".join(map(self.pieces.__getitem__, self._cut(text))), "<u4"))
+        return out
 
 
 def encoder(description: str) -> Encoder:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -123,3 +124,34 @@ def test_executors_send_small_batches(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError), tf.batches_of(spark, 1 << 20):
         raise ValueError
     assert spark.conf.get(key) == before
+
+
+def test_texts_of_a_group_are_cut_one_after_another(tokenizer):
+    """The pieces of one text are held at a time, not those of the group."""
+    enc = tf.Encoder(open(tf.word_bpe(), encoding="utf-8").read())
+    texts = [b"a b c, d. e f g 7 h i! " * 200] * 250
+    want = tokenizer.encode(texts[0].decode(), add_special_tokens=False).ids
+    enc.encode(texts[:1])
+    tracemalloc.start()
+    got = enc.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(g.tolist() == want for g in got)
+    assert peak < sum(g.nbytes for g in got) + (2 << 20)
+
+
+def test_words_of_latin_letters_give_the_ids_of_the_library(tokenizer):
+    enc = tf.Encoder(open(tf.word_bpe(), encoding="utf-8").read())
+    for c in map(chr, range(0xA0, 0x100)):
+        text = f"{c} x{c}y {c}{c.upper()}b, A{c}7{c}!"
+        assert enc.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_that_come_again_are_made_once(monkeypatch):
+    monkeypatch.setattr(tf, "CACHED_BYTES", 20_000)
+    enc = tf.Encoder(open(tf.word_bpe(), encoding="utf-8").read())
+    made, of_piece = [], enc._of_piece
+    enc.pieces.make = enc._of_piece = lambda p: made.append(p) or of_piece(p)
+    for k in range(300):
+        enc.encode([f"the common words and x{chr(97 + k % 26)}{chr(97 + k // 26)}".encode()])
+    assert len(made) == len(set(made)) == 304 and len(enc.pieces) + len(enc.older) < 300
