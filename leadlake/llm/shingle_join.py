@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm.components import components
-from leadlake.llm.work import saved, table
+from leadlake.llm.work import batches_of, saved, table
 
 WORDS = 5              # words of a shingle
 LEAST_PERCENT = 67     # see ``shingle_components``
@@ -20,7 +20,8 @@ PERCENT = 75           # 100 * intersection >= PERCENT * union
 FREQUENT = 12          # classes of texts, of 64 by their hash, in which a shingle must occur to be frequent
 CLASS_BITS = 27        # hashed table of the frequent class: a fixed 16 MB
 PIECE_BITS = 12        # first bits of a shingle's hash by which occurrences are dealt to tasks
-MARKS = 1 << 21        # occurrences that a task sends together
+MARKS = 1 << 20        # occurrences that a task sends together
+BATCH_BYTES = 8 << 20  # of rows that are sent to a Python worker at once, or one row
 SMALL_BUCKET = 32      # nodes of a signature that are compared in pairs; larger buckets go by pivots
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -32,6 +33,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values. ``np.unique`` builds a table of them in memory, many times the size
+    of the values and slower than sorting."""
+    values = np.sort(values)
+    if len(values) < 2:
+        return values
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values if new.all() else values[new]
+
+
 def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct shingles of a text.
 
@@ -46,7 +58,7 @@ def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = _mixed(out * _A + h[i:i + n])
-    return np.unique(out)
+    return _distinct(out)
 
 
 def _allowed(n: int, percent: int) -> int:
@@ -141,6 +153,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(len(a)) and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """``saved`` for rows that Python functions make, with small Arrow batches."""
+    with batches_of(df.sparkSession, BATCH_BYTES):
+        return saved(df, name)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """Rows ``doc_id, th, th2, text`` with a 128-bit hash of the text."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -154,9 +172,12 @@ def _occurrences(docs: DataFrame, words: int) -> DataFrame:
     A task sends those of some texts together, ascending and each once."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        marks = np.unique(np.concatenate(held))
-        piece, first = np.unique(marks >> np.uint64(64 - PIECE_BITS), return_index=True)
-        ends = pa.py_buffer(np.append(first, len(marks)).astype(np.int32) * np.int32(8))
+        marks = _distinct(np.concatenate(held))
+        held.clear()
+        pieces = np.arange(1 << PIECE_BITS, dtype=np.uint64)
+        first = np.searchsorted(marks, pieces << np.uint64(64 - PIECE_BITS))
+        piece = np.flatnonzero(np.diff(first, append=len(marks)))  # those that have marks
+        ends = pa.py_buffer(np.append(first[piece], len(marks)).astype(np.int32) * np.int32(8))
         return pa.RecordBatch.from_arrays(
             [pa.array(piece.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(piece), [None, ends, pa.py_buffer(marks)])],
             names=["piece", "marks"])
@@ -170,7 +191,7 @@ def _occurrences(docs: DataFrame, words: int) -> DataFrame:
                 size += len(held[-1])
                 if size >= MARKS:
                     yield packed(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield packed(held)
 
@@ -188,14 +209,16 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     width = 1 << (CLASS_BITS - PIECE_BITS)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        marks = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["marks"]]))
-        token, classes = np.unique(marks >> np.uint64(6), return_counts=True)
-        slot = token[classes >= FREQUENT] >> np.uint64(64 - 6 - CLASS_BITS)
+        marks = _distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["marks"]]))
+        token = marks >> np.uint64(6)
+        # a token's marks lie together, one for each class
+        often = token[FREQUENT - 1:][token[FREQUENT - 1:] == token[:len(token) - FREQUENT + 1]] if len(token) >= FREQUENT else token[:0]
+        slot = often >> np.uint64(64 - 6 - CLASS_BITS)
         bits = np.zeros(width, bool)
         bits[(slot & np.uint64(width - 1)).astype(np.int64)] = True
         return pd.DataFrame({"piece": [int(frame["piece"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})[:len(slot)]
 
-    pieces = saved(_occurrences(docs, words).groupBy("piece").applyInPandas(pack, "piece int, bits binary"), "frequent-class")
+    pieces = _saved(_occurrences(docs, words).groupBy("piece").applyInPandas(pack, "piece int, bits binary"), "frequent-class")
     frequent = np.zeros(1 << (CLASS_BITS - 3), np.uint8)
     for r in pieces.collect():
         at = r.piece * (width // 8)
@@ -248,12 +271,12 @@ def _checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
             df = df.join(r, F.col(side) == F.col(f"rep_{side}")).drop(f"rep_{side}")
         return df
 
-    left = saved(beside(pairs, nodes, ["n", "bits"]).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    left = _saved(beside(pairs, nodes, ["n", "bits"]).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
                  .mapInArrow(possible, "a long, b long"), "possible-links")
     wanted = left.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = saved(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
                   .join(wanted, "rep", "left_semi"), "texts-to-compare")
-    return saved(beside(left, texts, ["text"]).select("a", "b", "text_a", "text_b")
+    return _saved(beside(left, texts, ["text"]).select("a", "b", "text_a", "text_b")
                  .mapInArrow(certain, "a long, b long").distinct(), "links")
 
 
@@ -343,7 +366,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     members = _texts(docs).select("doc_id", "th", "th2")
     groups = saved(members.groupBy("th", "th2").agg(F.min("doc_id").alias("rep")), "equal-texts")
     frequent = _frequent(docs, words)
-    index = saved(_index(docs, frequent, words, percent), "shingle-index")
+    index = _saved(_index(docs, frequent, words, percent), "shingle-index")
     sizes = saved(index.select("th", "th2", "n").distinct().join(groups, ["th", "th2"]), "shingle-sizes")
     nodes = saved(index.where("n > 0").select("th", "th2", "n", "bits").join(groups.where("rep is not null"), ["th", "th2"])
                   .groupBy("rep", "n").agg(F.first("bits").alias("bits")), "shingle-nodes")
@@ -365,7 +388,7 @@ def shingle_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                   .join(clusters, F.col("rep") == F.col("node"), "left")
                   .select("rep", "least", "most", F.coalesce("label", "rep").alias("label")), "clusters")
     small = rows.join(buckets.where(F.col("size") <= SMALL_BUCKET).select("key"), "key").join(sized, "rep")
-    residues = saved(_residues(stars, docs, frequent, words, percent).join(sized.select("rep", "label"), "rep"), "residues")
+    residues = _saved(_residues(stars, docs, frequent, words, percent).join(sized.select("rep", "label"), "rep"), "residues")
     rest = residues.select("rep", F.explode("keys").alias("key"))
     met = rest.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     rest = rest.join(saved(met, "shared-residues"), "key").distinct().join(sized, "rep")

@@ -179,3 +179,36 @@ def test_frequent_class_counts_every_text_once(spark):
     assert often([t for _, t in rows], b"a b c d e")
     assert not often([t for _, t in rows], b"p q r s t")
     assert not often(one_of_class[1:], b"a b c d e")
+
+
+@given(st.lists(st.one_of(st.integers(0, 9), st.integers(0, 2**64 - 1)), max_size=60))
+def test_distinct_values_ascend(values):
+    assert sj._distinct(np.array(values, np.uint64)).tolist() == sorted(set(values))
+
+
+def test_rows_go_to_python_in_small_batches(spark, monkeypatch):
+    """Whatever is made by Python functions; the setting is as before afterwards."""
+    from leadlake.llm import work
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, saved = spark.conf.get(key), {}, work.saved
+    monkeypatch.setattr(sj, "saved", lambda df, name: seen.update({name: spark.conf.get(key)}) or saved(df, name))
+    monkeypatch.setattr(sj, "SMALL_BUCKET", 1)
+    rows = near_copies(60, 5)
+    sj.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {seen[k] for k in ("frequent-class", "shingle-index", "possible-links", "links", "residues")} == {str(8 << 20)}
+    assert spark.conf.get(key) == before
+
+
+def test_occurrences_are_sent_by_pieces_in_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    texts = [f"a b c d e x{i} y{i % 7} z" for i in range(300)] + ["", None, "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(int(s) >> 6, r.th & 63) for r in sj._texts(df).select("th", F.col("text").cast("binary").alias("text")).collect()
+            for s in sj.shingles(bytes(r.text))}
+    monkeypatch.setattr(sj, "MARKS", 200)
+    got = set()
+    for r in sj._occurrences(df, sj.WORDS).collect():
+        marks = np.frombuffer(bytes(r.marks), np.uint64).tolist()
+        assert marks and marks == sorted(set(marks)) and {m >> (64 - sj.PIECE_BITS) for m in marks} == {r.piece}
+        got |= {(m >> 6, m & 63) for m in marks}
+    assert got == want
